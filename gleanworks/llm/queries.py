@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from gleanworks.llm.langid import op1_language_id
 from gleanworks.llm.licenses import op9_licenses
 from gleanworks.llm.media import op4_media
 from gleanworks.llm.sharding import op2_sharding
+from gleanworks.llm.toxicity import op7_toxicity
 
-QUERIES = {"op2_sharding": op2_sharding, "op4_media": op4_media, "op9_licenses": op9_licenses}
+QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op2_sharding": op2_sharding,
+    "op4_media": op4_media,
+    "op7_toxicity": op7_toxicity,
+    "op9_licenses": op9_licenses,
+}
 ORACLES: dict[str, str] = {}
