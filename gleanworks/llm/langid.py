@@ -148,6 +148,11 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
+def _log_softmax(x: np.ndarray) -> np.ndarray:
+    x = x - x.max(axis=-1, keepdims=True)
+    return x - np.log(np.exp(x).sum(axis=-1, keepdims=True))
+
+
 def train(rows: list[tuple[str, np.ndarray, np.ndarray]], settings: Settings) -> Model:
     """Fits a model to (language, buckets, counts) rows, in an order given by the seed."""
     languages = sorted({lang for lang, _, _ in rows})
@@ -180,12 +185,12 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], settings: Settings) ->
     right = np.array([lang for lang, _, _ in held], int)
     temperature, level = 1.0, 0.0
     if len(held):
-        grid = np.exp(np.linspace(np.log(0.05), np.log(20), 61))
+        grid = np.exp(np.linspace(np.log(0.05), np.log(200), 81))
         # n right texts prove no more than 1 - 1 / (n + 2): the rest is spread over the languages
         doubt = 1 / (len(held) + 2)
         wanted = np.full(logits.shape, doubt / len(languages))
         wanted[np.arange(len(right)), right] += 1 - doubt
-        loss = [-(wanted * np.log(np.maximum(_softmax(logits / t), 1e-12))).sum(axis=1).mean() for t in grid]
+        loss = [-(wanted * _log_softmax(logits / t)).sum(axis=1).mean() for t in grid]
         temperature = float(grid[int(np.argmin(loss))])
         best = _softmax(logits / temperature).max(axis=1)
         level = float(min(settings.most_level, np.quantile(best, settings.false_rejections)))
