@@ -5,6 +5,7 @@ from __future__ import annotations
 from gleanworks.llm.langid import op1_language_id
 from gleanworks.llm.licenses import op9_licenses
 from gleanworks.llm.media import op4_media
+from gleanworks.llm.neardup import op10_near_duplicates
 from gleanworks.llm.packing import op6_packing
 from gleanworks.llm.sharding import op2_sharding
 from gleanworks.llm.toxicity import op7_toxicity
@@ -16,5 +17,6 @@ QUERIES = {
     "op6_packing": op6_packing,
     "op7_toxicity": op7_toxicity,
     "op9_licenses": op9_licenses,
+    "op10_near_duplicates": op10_near_duplicates,
 }
 ORACLES: dict[str, str] = {}

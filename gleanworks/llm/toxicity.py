@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from gleanworks.llm.arrow import map_batches, utf8
 from gleanworks.llm.langid import remainder
@@ -68,11 +69,7 @@ class Hasher:
             if len(known) > KEPT_WORDS:
                 known.clear()
                 new = set(words)
-            for word in new:
-                h = 0xCBF29CE484222325
-                for c in word:
-                    h = (h ^ c) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
-                known[word] = h
+            known.update((word, xxh3_64_intdigest(word)) for word in new)
         return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
     def features(self, h: np.ndarray) -> np.ndarray:
