@@ -254,6 +254,21 @@ def identify_languages(docs: DataFrame, model: Model) -> DataFrame:
     return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id bigint, lang_pred string, score double, rejected boolean")
 
 
+def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` whose text is not rejected, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets * languages floats
+    at = docs.columns.index("text")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        model = shared.value
+        values = batch.column(at).to_pylist()
+        known = np.array([bool(v) and bool(model.languages) and _LETTER.search(v) is not None for v in values], bool)
+        p = model.probabilities([v.encode() if k else b"" for v, k in zip(values, known, strict=True)]) if model.languages else np.zeros((len(values), 1))
+        return batch.filter(pa.array(known & (p.max(axis=1) >= model.level)))
+
+    return map_batches(docs, run, docs.schema)
+
+
 def remainder(doc_id, n: int):
     """crc32 of the id as text, modulo ``n``."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n

@@ -5,6 +5,7 @@ from __future__ import annotations
 from gleanworks.llm.langid import op1_language_id
 from gleanworks.llm.licenses import op9_licenses
 from gleanworks.llm.media import op4_media
+from gleanworks.llm.mixing import op8_mixing
 from gleanworks.llm.neardup import op10_near_duplicates
 from gleanworks.llm.packing import op6_packing
 from gleanworks.llm.sharding import op2_sharding
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_media": op4_media,
     "op6_packing": op6_packing,
     "op7_toxicity": op7_toxicity,
+    "op8_mixing": op8_mixing,
     "op9_licenses": op9_licenses,
     "op10_near_duplicates": op10_near_duplicates,
 }

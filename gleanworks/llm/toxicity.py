@@ -131,6 +131,23 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = Settin
     return train([(toxic[i], lists[i]) for i in order], settings)
 
 
+def _scores(texts: list[bytes | None], model: Model) -> np.ndarray:
+    weight, hasher, scores = _dense(model), _hasher(model.bits), []
+    for text in texts:
+        at = hasher.features(hasher.words(text or b""))
+        at = at[weight[at] != 0]
+        total = model.constant + float(weight[np.unique(at)].sum())
+        scores.append(1 / (1 + np.exp(-max(-35.0, min(35.0, total)))))
+    return np.array(scores, float)
+
+
+def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` with a score under 0.5, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # weights other than 0, 2 ** bits at most
+    at = docs.columns.index("text")
+    return map_batches(docs, lambda batch: batch.filter(pa.array(_scores(utf8(batch.column(at)), shared.value) < 0.5)), docs.schema)
+
+
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score in 0 to 1 and predicted (1 from 0.5 on), from the whole text alone.
 
@@ -140,16 +157,7 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # weights other than 0, 2 ** bits at most
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        model = shared.value
-        weight = _dense(model)
-        hasher = _hasher(model.bits)
-        scores = []
-        for text in utf8(batch.column(1)):
-            at = hasher.features(hasher.words(text or b""))
-            at = at[weight[at] != 0]
-            total = model.constant + float(weight[np.unique(at)].sum())
-            scores.append(1 / (1 + np.exp(-max(-35.0, min(35.0, total)))))
-        score = np.array(scores, float)
+        score = _scores(utf8(batch.column(1)), shared.value)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id bigint, score double, predicted int")
