@@ -59,6 +59,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     folder is deleted when the application ends.
     """
     spark = df.sparkSession
+    ship_package(spark)
     path = f"{staging_root(spark)}/staged-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm = spark._jvm
