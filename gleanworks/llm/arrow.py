@@ -8,18 +8,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
+from gleanworks.session import ship_package
+
 #: Bytes of text that one inner block of a batch function works on; it bounds the size of
 #: temporary arrays, never what is read.
 BLOCK_BYTES = 1 << 20
 
 
-def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
-    """``mapInArrow`` over single batches, slices of at most 512 rows at a time."""
+def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType, rows: int = 512) -> DataFrame:
+    """``mapInArrow`` over single batches, slices of at most ``rows`` rows at a time."""
+
+    ship_package(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                made = function(batch.slice(at, 512))
+            for at in range(0, batch.num_rows, rows):
+                made = function(batch.slice(at, rows))
                 if made is not None and made.num_rows:
                     yield made
 

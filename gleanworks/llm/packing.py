@@ -30,6 +30,8 @@ END = 1
 KEPT_WORDS = 1_000_000
 #: Bytes of the longest word that a worker keeps.
 LONGEST_KEPT = 64
+#: Bytes of text worked on at a time; it bounds memory, never what is read.
+BLOCK = 16 << 20
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if c in (9, 10, 13) else c for c in range(256))
 #: Marks that may end a word; not the apostrophe, which may start a token of its own with letters.
 _MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -64,27 +66,69 @@ class WordTokenizer:
         return [np.array(g.ids, "<u4").tobytes() for g in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text."""
-        split = [None if b"<|" in t else t.translate(_FOLD).split(b" ") for t in texts]
-        forms: dict[bytes, bytes] = dict.fromkeys(w for words in split if words is not None for w in words)
-        known, later, missing = self.known, [], set()
+        """The ids of each text; longer ones are cut at spaces into blocks and put together again."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        held: list[tuple[int, bytes]] = []
+        size = 0
+
+        def flush() -> None:
+            for (k, _), ids in zip(held, self._words([part for _, part in held]), strict=True):
+                out[k].append(ids)
+            held.clear()
+
+        for k, text in enumerate(texts):
+            if b"<|" in text:
+                out[k] = self._ask([text.decode()])
+                continue
+            at = 0
+            while at < len(text):
+                cut = text.rfind(b" ", at, at + BLOCK) if at + BLOCK < len(text) else -1
+                end = cut + 1 if cut > at else text.find(b" ", at + BLOCK) + 1 or len(text) if at + BLOCK < len(text) else len(text)
+                held.append((k, text[at:end]))
+                size, at = size + end - at, end
+                if size >= BLOCK:
+                    flush()
+                    size = 0
+        flush()
+        return [b"".join(parts) for parts in out]
+
+    def _words(self, texts: list[bytes]) -> list[bytes]:
+        split = [t.translate(_FOLD).split(b" ") for t in texts]
+        forms: dict[bytes, bytes] = dict.fromkeys(w for words in split for w in words)
+        known, get = self.known, self.known.get
+        cut, whole, missing = [], [], set()
         for w in forms:
-            ids = known.get(w)
-            if ids is None:
-                core = w.rstrip(_MARKS)
-                parts = (core, w[len(core) :]) if core and len(core) < len(w) and core[-1] in _PLAIN else (w,)
-                missing.update(x for x in parts if x not in known)
-                later.append((w, parts))
-            else:
+            ids = get(w)
+            if ids is not None:
                 forms[w] = ids
-        asked = list(missing)
-        ids = dict(zip(asked, self._ask([w.decode() for w in asked]), strict=True)) if asked else {}
-        for w, parts in later:
-            forms[w] = b"".join([ids[x] if x in ids else known[x] for x in parts])
-        if len(known) + len(ids) > KEPT_WORDS:
-            known.clear()
-        known.update((w, i) for w, i in ids.items() if len(w) <= LONGEST_KEPT)
-        return [self._ask([t.decode()])[0] if words is None else b"".join(map(forms.__getitem__, words)) for t, words in zip(texts, split, strict=True)]
+                continue
+            core = w.rstrip(_MARKS)
+            n = len(core)
+            if n and n < len(w) and core[-1] in _PLAIN:
+                tail = w[n:]
+                first, second = get(core), get(tail)
+                if first is not None and second is not None:
+                    forms[w] = first + second
+                    continue
+                cut.append((w, core, tail))
+                if first is None:
+                    missing.add(core)
+                if second is None:
+                    missing.add(tail)
+            else:
+                whole.append(w)
+                missing.add(w)
+        if missing:
+            asked = list(missing)
+            ids = dict(zip(asked, self._ask([w.decode() for w in asked]), strict=True))
+            for w in whole:
+                forms[w] = ids[w]
+            for w, core, tail in cut:
+                forms[w] = (ids.get(core) or known[core]) + (ids.get(tail) or known[tail])
+            if len(known) + len(ids) > KEPT_WORDS:
+                known.clear()
+            known.update((w, i) for w, i in ids.items() if len(w) <= LONGEST_KEPT)
+        return [b"".join(map(forms.__getitem__, words)) for words in split]
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -117,7 +161,7 @@ def pieces_of(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None
         kinds = (("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()))
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, (_, kind) in enumerate(kinds)], [name for name, _ in kinds])
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint", rows=4096)
 
 
 class CapacityTree:
