@@ -11,12 +11,14 @@ from gleanworks.llm.packing import op6_packing
 from gleanworks.llm.sharding import op2_sharding
 from gleanworks.llm.toxicity import op7_toxicity
 from gleanworks.llm.vectorjoin import op3_vector_join
+from gleanworks.llm.wrappers import op5_html
 
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_sharding": op2_sharding,
     "op3_vector_join": op3_vector_join,
     "op4_media": op4_media,
+    "op5_html": op5_html,
     "op6_packing": op6_packing,
     "op7_toxicity": op7_toxicity,
     "op8_mixing": op8_mixing,
