@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from gleanworks.plans import analytics, passages  # noqa: F401  analytics registers into passages' tables
+
+QUERIES = dict(passages.QUERIES)
+ORACLES = dict(passages.ORACLES)
