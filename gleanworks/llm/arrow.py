@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
@@ -34,3 +36,12 @@ def utf8(column: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of each value, None for null."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
     return column.view(kind).to_pylist() if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else column.to_pylist()
+
+
+def lists_of(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The lists of numbers of a column, as views of its buffer."""
+    out: list[np.ndarray] = []
+    for chunk in column.chunks:
+        values, ends = chunk.values.to_numpy(zero_copy_only=False), chunk.offsets.to_numpy()
+        out += [values[a:b] for a, b in pairwise(ends.tolist())]
+    return out
