@@ -121,7 +121,7 @@ def manual_pass(spark, sf_dir):
 )
 def metric_by_type(spark, sf_dir):
     rows = docs(spark, sf_dir).select("doc_id", "source", "lang").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    return rows.groupBy(F.col("source").alias("config")).pivot("lang", ["de", "en", "es", "fr"]).agg(F.round(F.avg("quality"), 9).alias("mean"), F.count("quality").alias("n"))
+    return rows.groupBy(F.col("source").alias("config")).pivot("lang", ["de", "en", "es", "fr"]).agg(F.round(F.avg("quality"), 9).alias("mean"), F.count("quality").alias("n")).fillna(0, [f"{x}_n" for x in ("de", "en", "es", "fr")])
 
 
 @query("latest_per_config", "SELECT event_type AS config, max(event_id) AS event_id, max_by(round(value, 6), (ts, event_id)) AS value FROM (SELECT * FROM events WHERE event_id % 11 <> 0) GROUP BY event_type")
