@@ -8,10 +8,11 @@ registers of a band share its bucket:
 
 * In a first round every member of a bucket is compared with the bucket's smallest member.
 * Buckets whose members are not yet in one component are then compared within, in blocks,
-  between different components only; pairs are drawn from the sketches inside a task, and
-  only those whose likelihood estimate comes near the threshold leave it.
+  between different components only. Candidates are drawn from the sketches and confirmed
+  inside a task, and only links that join components leave it.
 
-Each candidate is confirmed on the full sets before it becomes a link. So no group of copies
+Pairs whose likelihood estimate comes near the threshold are candidates, and each is confirmed
+on the full sets before it becomes a link. So no group of copies
 is expanded into its pairs, and a link is given up only where it joins what other links have
 joined already. Two sets at the threshold of 0.8 share none of 32 bands of 5 registers with
 probability 3e-6.
@@ -160,31 +161,59 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFr
     return both.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def _links_of_block(rows: list[tuple], settings: Settings) -> list[tuple[int, int]]:
+    """Links that join the components of a block's members, as far as they are not joined yet.
+
+    Rows are (rep, component, n, registers, text, centre, band, block). A pair is looked at
+    where it first shares a band, once; pairs with the centre were looked at before.
+    """
+    rows = list({(r[0], r[4]): r for r in rows}.values())
+    rep = np.array([r[0] for r in rows])
+    component = [r[1] for r in rows]
+    n = np.array([r[2] for r in rows], float)
+    sketches = np.frombuffer(b"".join(r[3] for r in rows), np.uint16).reshape(len(rows), settings.bands, settings.rows)
+    centre, band = rows[0][5], rows[0][6]
+    block = np.array([r[7] for r in rows])
+    cross = bool((block != block[0]).any())
+    names, sizes = np.unique(component, return_counts=True)
+    rank = dict(zip(names.tolist(), np.argsort(np.argsort(sizes, kind="stable"), kind="stable").tolist(), strict=True))
+    order = np.array([rank[c] for c in component])
+    root = {c: c for c in names.tolist()}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    sets: dict[int, np.ndarray] = {}
+
+    def members(k: int) -> np.ndarray:
+        if k not in sets:
+            sets[k] = shingles(rows[k][4], settings.words)
+        return sets[k]
+
+    links = []
+    for i in np.flatnonzero(rep != centre).tolist():  # against the larger components only: the largest has no turn
+        at = np.flatnonzero((order > order[i]) & (rep != centre) & (block != block[i] if cross else True))
+        at = at[(sketches[at] == sketches[i]).all(axis=2).argmax(axis=1) == band]
+        if len(at):
+            at = at[_near(sketches[i].reshape(1, -1), sketches[at].reshape(len(at), -1), n[i], n[at], settings)]
+        for j in at.tolist():
+            one, other = find(component[i]), find(component[j])
+            if one == other:
+                continue
+            common = len(np.intersect1d(members(i), members(j), assume_unique=True))
+            if 100 * common >= settings.least * (len(members(i)) + len(members(j)) - common):
+                links.append((int(rep[i]), int(rep[j])))
+                root[one] = other
+    return links
+
+
 def _within_buckets(open_rows: DataFrame, settings: Settings) -> DataFrame:
-    """Pairs of a bucket in different components whose sketches may reach the threshold.
+    """Confirmed links (a, b) between the components that share a bucket.
 
     Rows come sorted by bucket and block; a block is held at a time.
     """
-    width = settings.registers
-
-    def pairs(rows: list[tuple]) -> list[tuple[int, int]]:
-        rows = sorted(set(rows))
-        rep = np.array([r[0] for r in rows])
-        component = np.array([r[1] for r in rows])
-        n = np.array([r[2] for r in rows], float)
-        block = np.array([r[4] for r in rows])
-        sketches = np.frombuffer(b"".join(r[3] for r in rows), np.uint16).reshape(-1, width)
-        names, sizes = np.unique(component, return_counts=True)
-        rank = dict(zip(names.tolist(), np.argsort(np.argsort(sizes, kind="stable"), kind="stable").tolist(), strict=True))
-        order = np.array([rank[c] for c in component.tolist()])
-        cross = len(set(block.tolist())) > 1
-        out = []
-        for i in range(len(rows)):  # against the larger components only: the largest has no turn
-            at = np.flatnonzero((order > order[i]) & (block != block[i])) if cross else np.flatnonzero(order > order[i])
-            if len(at):
-                hit = at[_near(sketches[i][None], sketches[at], n[i], n[at], settings)]
-                out += [(min(int(rep[i]), int(rep[j])), max(int(rep[i]), int(rep[j]))) for j in hit]
-        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made(found):
@@ -193,21 +222,22 @@ def _within_buckets(open_rows: DataFrame, settings: Settings) -> DataFrame:
         held, name = [], None
         for batch in batches:
             found = []
-            for key, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (key, i, j) != name:
+            columns = [utf8(c) if pa.types.is_string(c.type) or pa.types.is_large_string(c.type) else c.to_pylist() for c in batch.columns]
+            for bucket, i, j, *row in zip(*columns, strict=True):
+                if (bucket, i, j) != name:
                     if len(held) > 1:
-                        found += pairs(held)
-                    held, name = [], (key, i, j)
+                        found += _links_of_block(held, settings)
+                    held, name = [], (bucket, i, j)
                 held.append(tuple(row))
             if found:
-                yield made(sorted(set(found)))
+                yield made(found)
         if len(held) > 1:
-            yield made(sorted(set(pairs(held))))
+            yield made(_links_of_block(held, settings))
 
     blocks = F.ceil(F.col("members") / settings.block).cast("int")
     own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
     spread = open_rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    spread = spread.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "component", "n", "registers", F.col("own").alias("block"))
+    spread = spread.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "component", "n", "registers", "text", "centre", "band", F.col("own").alias("block"))
     return spread.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
@@ -229,7 +259,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     )
     step = 2 * settings.rows
     keys = F.array(*[F.xxhash64(F.substring("registers", step * k + 1, step), F.lit(k)) for k in range(settings.bands)])
-    banded = classes.select("rep", F.explode(keys).alias("bucket"))
+    banded = classes.select("rep", F.posexplode(keys).alias("band", "bucket"))
     shared = banded.groupBy("bucket").agg(F.min("rep").alias("centre"), F.count("*").alias("members")).where("members > 1")
     buckets = staged(banded.join(shared, "bucket"), "buckets")
     texts = staged(docs.join(buckets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), F.coalesce("text", F.lit("")).alias("text")), "texts")
@@ -238,11 +268,10 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     links = staged(_confirmed(_estimated(first, classes, settings), texts, settings), "first-links")
     found = connected_components(links)
 
-    placed = buckets.select("bucket", "rep", "members").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    placed = buckets.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     opened = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("bucket")
-    open_rows = placed.join(opened, "bucket").join(classes.select("rep", "n", "registers"), "rep")
-    rest = _within_buckets(open_rows, settings).join(first, ["a", "b"], "left_anti")
-    more = staged(_confirmed(rest, texts, settings), "more-links")
+    open_rows = placed.join(opened, "bucket").join(classes.select("rep", "n", "registers"), "rep").join(texts, "rep")
+    more = staged(_within_buckets(open_rows, settings), "more-links")
     # components of components: what the second round joins of the first one's
     name = lambda x: found.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
     merged = connected_components(more.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b")))
