@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleanworks.functions.stem import stem
 from gleanworks.functions.text import lexemes, words
 from gleanworks.session import ship_package
 
@@ -28,12 +29,28 @@ def postings(passages: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return passages.where(F.col(text).isNotNull()).select(key, F.explode(lexemes(F.col(text))).alias("lexeme")).groupBy(key, "lexeme").agg(F.count("*").alias("n"))
 
 
-def lexical_search(questions: DataFrame, index: DataFrame, limit: int = CANDIDATES, key: str = "doc_id") -> DataFrame:
+def stemmed(rows: DataFrame, lexeme: str = "lexeme") -> DataFrame:
+    """Rows with English stems for lexemes: every distinct lexeme is stemmed once."""
+    ship_package(rows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([stem(w) for w in batch.column(0).to_pylist()], pa.string())], [lexeme, "__stem"])
+
+    stems = rows.select(lexeme).distinct().mapInArrow(run, f"{lexeme} string, __stem string")
+    return rows.join(stems, lexeme).withColumn(lexeme, F.col("__stem")).drop("__stem")
+
+
+def lexical_search(questions: DataFrame, index: DataFrame, limit: int = CANDIDATES, key: str = "doc_id", stems: bool = False) -> DataFrame:
     """qid, key, score, rank: any lexeme of the question matches; every matching position counts.
 
+    With ``stems``, words match that have the same English stem.
+
     ``questions`` has qid and question. One of stop words only finds nothing.
     """
     asked = questions.select("qid", F.explode(F.array_distinct(lexemes(F.col("question")))).alias("lexeme"))
+    if stems:
+        asked, index = stemmed(asked).distinct(), stemmed(index)
     scored = asked.join(index, "lexeme").groupBy("qid", key).agg((F.sum("n") * POSITION_WEIGHT).alias("score"))
     return ranked(scored, "qid", [F.desc("score"), F.col(key)], limit)
 

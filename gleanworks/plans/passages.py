@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gleanworks.functions.text import STOP_WORDS, collapse, iso_date, lexemes, page_label, preview, words
 from gleanworks.operators import checks, chunking, models, retrieval
-from gleanworks.session import table
+from gleanworks.session import spread, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -40,7 +40,7 @@ def _lexemes(x: str) -> str:
 
 
 def docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
 
 
 # ------------------------------------------------------------------ chunking
@@ -196,6 +196,11 @@ def lexical_search(spark, sf_dir):
     return lexical(spark, sf_dir).withColumn("score", F.round(F.col("score").cast("double"), 6))
 
 
+@query("lexical_search_stemmed")
+def lexical_search_stemmed(spark, sf_dir):
+    return retrieval.lexical_search(questions(spark, sf_dir), retrieval.postings(docs(spark, sf_dir)), stems=True)
+
+
 @query("vector_search", f"WITH {_SEARCH} SELECT qid, doc_id, round(score, 6)::DOUBLE AS score, rank::INT AS rank FROM vector")
 def vector_search(spark, sf_dir):
     return vector(spark, sf_dir).withColumn("score", F.round("score", 6))

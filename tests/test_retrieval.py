@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from gleanworks.functions.stem import stem
 from gleanworks.operators import checks, evals, models, retrieval, traces
 from gleanworks.operators.components import connected_components
 
@@ -22,6 +23,15 @@ def test_lexical_search(spark):
     assert [(r.qid, r.doc_id, round(r.score, 3)) for r in found] == [(1, 1, 0.3), (1, 2, 0.1)]
 
 
+def test_stems(spark):
+    pairs = {"consistently": "consist", "knives": "knive", "hopping": "hop", "hoping": "hope", "cries": "cri", "ties": "tie", "generously": "generous", "relational": "relat", "happiness": "happi", "sky": "sky", "electricity": "electr"}
+    assert {w: stem(w) for w in pairs} == pairs
+    docs = spark.createDataFrame([(1, "He was running"), (2, "runs and runs"), (3, "walk")], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "run")], "qid long, question string")
+    found = retrieval.lexical_search(asked, retrieval.postings(docs), stems=True).orderBy("rank").collect()
+    assert [(r.doc_id, round(r.score, 3)) for r in found] == [(2, 0.2), (1, 0.1)]
+
+
 def test_search_reranks_the_shortlist_only_in_hybrid_mode(spark):
     bodies = spark.createDataFrame([(i, "blue whale" if i == 4 else "red") for i in range(1, 6)], "doc_id long, text string")
     lex, vec = (ranking(spark, ids).withColumn("score", 1.0 / F.col("rank")) for ids in ([1, 2, 3, 4, 9], [1, 2, 3, 5]))
