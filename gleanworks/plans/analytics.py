@@ -124,9 +124,9 @@ def metric_by_type(spark, sf_dir):
     return rows.groupBy(F.col("source").alias("config")).pivot("lang", ["de", "en", "es", "fr"]).agg(F.round(F.avg("quality"), 9).alias("mean"), F.count("quality").alias("n")).fillna(0, [f"{x}_n" for x in ("de", "en", "es", "fr")])
 
 
-@query("latest_per_config", "SELECT event_type AS config, max(event_id) AS event_id, max_by(round(value, 6), (ts, event_id)) AS value FROM (SELECT * FROM events WHERE event_id % 11 <> 0) GROUP BY event_type")
+@query("latest_per_config", "SELECT event_type AS config, max(event_id) AS event_id, max_by(round(value, 6), (ts, event_id)) AS value FROM (SELECT * FROM events WHERE (props::JSON ->> 'k')::BIGINT <> 7) GROUP BY event_type")
 def latest_per_config(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").where("event_id % 11 <> 0").select(F.col("event_type").alias("config"), "ts", "event_id", F.round("value", 6).alias("value"))
+    rows = table(spark, sf_dir, "events").where(F.get_json_object("props", "$.k").cast("long") != 7).select(F.col("event_type").alias("config"), "ts", "event_id", F.round("value", 6).alias("value"))
     return evals.latest(rows, "config", ["ts", "event_id"]).select("config", "event_id", "value")
 
 
@@ -378,21 +378,22 @@ def content_hashes(spark, sf_dir):
     return store.hash_matches(pinned, "text", "pin").select("doc_id", "sha256", "verified")
 
 
-@query("upsert_documents", """WITH old AS (SELECT doc_id, source, n_chars FROM documents WHERE doc_id % 3 <> 0), new AS (SELECT doc_id, 'changed' AS source, n_chars + 1 AS n_chars FROM documents WHERE doc_id % 2 = 0)
+@query("upsert_documents", """WITH old AS (SELECT doc_id, source, n_chars FROM documents WHERE lang <> 'fr'), new AS (SELECT doc_id, 'changed' AS source, n_chars + 1 AS n_chars FROM documents WHERE lang <> 'de')
     SELECT * FROM old WHERE doc_id NOT IN (SELECT doc_id FROM new) UNION ALL SELECT n.doc_id, coalesce(o.source, n.source), n.n_chars FROM new AS n LEFT JOIN old AS o USING (doc_id)""")
 def upsert_documents(spark, sf_dir):
-    d = docs(spark, sf_dir).select("doc_id", "source", "n_chars")
-    changes = d.where("doc_id % 2 = 0").select("doc_id", F.lit("changed").alias("source"), (F.col("n_chars") + 1).alias("n_chars"))
-    return store.upsert(d.where("doc_id % 3 <> 0"), changes, "doc_id", fixed=("source",))
+    d = docs(spark, sf_dir).select("doc_id", "source", "n_chars", "lang")
+    changes = d.where("lang <> 'de'").select("doc_id", F.lit("changed").alias("source"), (F.col("n_chars") + 1).alias("n_chars"))
+    return store.upsert(d.where("lang <> 'fr'").drop("lang"), changes, "doc_id", fixed=("source",))
 
 
 @query("replace_chunk_set", f"""WITH {_WINDOWS}, old AS (SELECT doc_id, 'fixed-220w' AS chunk_set, ordinal FROM windows UNION ALL SELECT doc_id, 'other', ordinal FROM windows),
-    new AS (SELECT doc_id, 'fixed-220w' AS chunk_set, 1000 + ordinal AS ordinal FROM windows WHERE doc_id % 2 = 0)
+    new AS (SELECT doc_id, 'fixed-220w' AS chunk_set, 1000 + ordinal AS ordinal FROM windows JOIN documents USING (doc_id) WHERE lang = 'en')
     SELECT * FROM old WHERE (doc_id, chunk_set) NOT IN (SELECT doc_id, chunk_set FROM new) UNION ALL SELECT * FROM new""")
 def replace_chunk_set(spark, sf_dir):
     own = windows(spark, sf_dir).select("doc_id", "ordinal")
     named = lambda name: own.select("doc_id", F.lit(name).alias("chunk_set"), "ordinal")
-    new = named("fixed-220w").where("doc_id % 2 = 0").withColumn("ordinal", F.col("ordinal") + 1000)
+    english = docs(spark, sf_dir).where("lang = 'en'").select("doc_id")
+    new = named("fixed-220w").join(english, "doc_id", "left_semi").withColumn("ordinal", F.col("ordinal") + 1000)
     return store.replace_set(named("fixed-220w").unionByName(named("other")), new, ["doc_id", "chunk_set"])
 
 

@@ -299,18 +299,18 @@ def evidence_check(spark, sf_dir):
 @query(
     "citation_check",
     f"""WITH cited AS (
-      SELECT doc_id % 50 AS qid, doc_id, array_to_string(list_slice({_words('text')}, 3, 8), '  ') AS quote FROM documents WHERE doc_id % 3 = 0
+      SELECT doc_id % 50 AS qid, doc_id, array_to_string(list_slice({_words('text')}, 3, 8), '  ') AS quote FROM documents WHERE text IS NOT NULL
       UNION ALL SELECT item_id % 50, item_id, text FROM benchmark),
-    retrieved AS (SELECT doc_id % 50 AS qid, doc_id, text FROM documents WHERE doc_id % 7 < 5)
+    retrieved AS (SELECT doc_id % 50 AS qid, doc_id, text FROM documents WHERE lang <> 'fr')
     SELECT c.qid, c.doc_id, quote, r.text IS NOT NULL AS known,
       coalesce({_collapse('quote')} <> '' AND contains({_collapse('r.text')}, {_collapse('quote')}), false) AS quote_verified
     FROM cited AS c LEFT JOIN retrieved AS r USING (qid, doc_id)""",
 )
 def citation_check(spark, sf_dir):
     d = docs(spark, sf_dir)
-    own = d.where("doc_id % 3 = 0").select((F.col("doc_id") % 50).alias("qid"), "doc_id", F.array_join(F.slice(words(F.col("text")), 3, 6), "  ").alias("quote"))
+    own = d.where("text is not null").select((F.col("doc_id") % 50).alias("qid"), "doc_id", F.array_join(F.slice(words(F.col("text")), 3, 6), "  ").alias("quote"))
     other = table(spark, sf_dir, "benchmark").select((F.col("item_id") % 50).alias("qid"), F.col("item_id").alias("doc_id"), F.col("text").alias("quote"))
-    retrieved = d.where("doc_id % 7 < 5").select((F.col("doc_id") % 50).alias("qid"), "doc_id", "text")
+    retrieved = d.where("lang <> 'fr'").select((F.col("doc_id") % 50).alias("qid"), "doc_id", "text")
     return checks.check_citations(own.unionByName(other), retrieved)
 
 
