@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanworks.llm.arrow import BLOCK_BYTES, map_batches, utf8
+from gleanworks.llm.arrow import BLOCK_BYTES, lists_of, map_batches, utf8
 from gleanworks.session import table
 
 ORDERS = (2, 3, 4)
@@ -33,7 +33,8 @@ class Settings:
 
     ``per_language`` rows of each language, and ``languages`` languages at most (those with
     the most rows), are the training sample. ``false_rejections`` is the share of held-back
-    texts that the rejection level may reject; the level never exceeds ``most_level``.
+    texts that the rejection level may reject; the level never exceeds ``most_level``, and is 0
+    (nothing but ``und`` is rejected) with fewer than ``least_held`` texts to set it by.
     """
 
     per_language: int = 400
@@ -45,6 +46,7 @@ class Settings:
     held_back: float = 0.25
     false_rejections: float = 0.0005
     most_level: float = 0.5
+    least_held: int = 50
     seed: int = 7
 
 
@@ -193,7 +195,8 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], settings: Settings) ->
         loss = [-(wanted * _log_softmax(logits / t)).sum(axis=1).mean() for t in grid]
         temperature = float(grid[int(np.argmin(loss))])
         best = _softmax(logits / temperature).max(axis=1)
-        level = float(min(settings.most_level, np.quantile(best, settings.false_rejections)))
+        if len(held) >= settings.least_held:
+            level = float(min(settings.most_level, np.quantile(best, settings.false_rejections)))
     return Model(languages, scores, bias.astype(float), temperature, level, settings.bits)
 
 
@@ -219,11 +222,14 @@ def fit_languages(docs: DataFrame, settings: Settings = Settings()) -> Model:
 
     # at most languages * per_language ids: a proven bound
     sample = map_batches(named.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").select("doc_id", "lang", "text"), counts, "doc_id bigint, lang string, at array<int>, n array<int>").toArrow()
-    rows = sorted(
-        ((i, lang, np.asarray(a, np.int64), np.asarray(n, np.float64)) for i, lang, a, n in zip(*(sample.column(c).to_pylist() for c in range(4)), strict=True)),
-        key=lambda r: (r[0], r[1], len(r[2])),
-    )
-    return train([r[1:] for r in rows], settings)
+    sample = sample.combine_chunks()
+    ids, langs = sample.column(0).to_pylist(), sample.column(1).to_pylist()
+    at, n = lists_of(sample.column(2)), lists_of(sample.column(3))
+    rows = [(langs[i], at[i], n[i]) for i in sorted(range(len(ids)), key=lambda i: (ids[i], langs[i], len(at[i])))]
+    model = train(rows, settings)
+    del sample, at, n, rows
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def identify_languages(docs: DataFrame, model: Model) -> DataFrame:

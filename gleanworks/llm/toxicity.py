@@ -16,15 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from gleanworks.llm.arrow import map_batches, utf8
+from gleanworks.llm.arrow import lists_of, map_batches, utf8
 from gleanworks.llm.langid import remainder
 from gleanworks.session import table
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))
 #: Distances of the two words of a pair: 1 is an n-gram, 2 and 3 are skip-grams.
 STEPS = (1, 2, 3)
-#: Words whose hashes a worker keeps.
-KEPT_WORDS = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -35,7 +33,7 @@ class Settings:
     as the summed gradients of a useless feature do.
     """
 
-    rows: int = 12288
+    rows: int = 8192
     bits: int = 20
     epochs: int = 5
     alpha: float = 0.5
@@ -55,22 +53,14 @@ class Model:
 
 
 class Hasher:
-    """Feature numbers of texts; remembers the hashes of words."""
+    """Feature numbers of texts."""
 
     def __init__(self, bits: int):
         self.bits = bits
-        self.known: dict[bytes, int] = {}
 
     def words(self, text: bytes) -> np.ndarray:
         words = text.translate(_FOLD).split()
-        known = self.known
-        new = set(words).difference(known)
-        if new:
-            if len(known) > KEPT_WORDS:
-                known.clear()
-                new = set(words)
-            known.update((word, xxh3_64_intdigest(word)) for word in new)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        return np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
 
     def features(self, h: np.ndarray) -> np.ndarray:
         """Feature numbers of word hashes, with repeats."""
@@ -126,9 +116,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = Settin
     # at most settings.rows ids: a proven bound
     sample = map_batches(texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text"), features, "doc_id bigint, toxic int, at array<int>").toArrow()
     ids, toxic = sample.column("doc_id").to_pylist(), sample.column("toxic").to_pylist()
-    lists = [np.asarray(x.values.to_numpy(zero_copy_only=False), np.int64) for x in sample.column("at")]
+    lists = lists_of(sample.column("at"))
     order = sorted(range(len(ids)), key=lambda i: ((ids[i] * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> 11, ids[i], len(lists[i])))
-    return train([(toxic[i], lists[i]) for i in order], settings)
+    model = train([(toxic[i], lists[i]) for i in order], settings)
+    del sample, lists
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def _scores(texts: list[bytes | None], model: Model) -> np.ndarray:
