@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gleanworks.functions import calendar, money
 from gleanworks.functions.text import written
 from gleanworks.operators import checks, evals, retrieval, traces
-from gleanworks.plans.passages import _LINES, _SEARCH, _WINDOWS, docs, lexical, query, windows  # noqa: F401
+from gleanworks.plans.passages import _SEARCH, _WINDOWS, docs, lexical, query, windows
 from gleanworks.session import table
 from gleanworks.sources import store
 
