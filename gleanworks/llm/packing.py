@@ -27,11 +27,11 @@ CAPACITY = 4096
 VOCABULARY = "word_bpe_49k.json"
 END = 1
 #: Words whose ids a worker keeps; beyond that it starts anew.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 600_000
 #: Bytes of the longest word that a worker keeps.
 LONGEST_KEPT = 64
 #: Bytes of text worked on at a time; it bounds memory, never what is read.
-BLOCK = 4 << 20
+BLOCK = 8 << 20
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if c in (9, 10, 13) else c for c in range(256))
 #: Marks that may end a word; not the apostrophe, which may start a token of its own with letters.
 _MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
