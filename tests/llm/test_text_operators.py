@@ -153,6 +153,21 @@ def test_pages(spark):
     assert wrappers.extract_pages(pages.where("false")).count() == 0
 
 
+PLAIN = "<html><body><div><p>Site name</p></div><div><p>{}</p></div><div><p>Contact us</p></div></body></html>"
+
+
+def test_copies_and_unmatched_pages_keep_their_texts_and_lose_constants(spark):
+    copies = [(i, f"http://copies.example/{i}", PLAIN.format("One text")) for i in range(30)]
+    mostly = [(100 + i, f"http://mostly.example/{i}", PLAIN.format("One text" if i < 40 else f"Text {i}")) for i in range(45)]
+    odd = [(200 + i, f"http://odd.example/{i}", PLAIN.format(f"A {i}</p>" + "<ul><li>x</li></ul><table><tr><td>y</td></tr></table>" * (i % 9) + "<p>Site name" * (i % 2))) for i in range(40)]
+    pages = spark.createDataFrame(copies + mostly + odd, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in wrappers.extract_pages(pages).collect()}
+    assert {got[i] for i in range(30)} == {"Site name One text Contact us"}  # a host of one page: nothing tells what is constant
+    assert all(got[100 + i] == ("One text" if i < 40 else f"Text {i}") for i in range(45))
+    # matched by the wrapper or not, a constant goes in its place and stays elsewhere
+    assert all(got[200 + i] == " ".join([f"A {i}", *["x y"] * (i % 9), *["Site name"] * (i % 2)]) for i in range(40))
+
+
 # ------------------------------------------------------------------ op6
 
 
