@@ -8,7 +8,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from gleanworks.llm import langid, mixing, neardup, packing, toxicity
 from gleanworks.session import ship_package, staged, table
@@ -35,8 +34,8 @@ def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled to the target weights of sources, languages and topics."""
-    return mixing.mix(docs).where(F.col("__kept")).select(docs.columns)
+    """Documents sampled, or repeated, to the target weights of sources, languages and topics."""
+    return mixing.copied(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

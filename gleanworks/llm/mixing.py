@@ -3,13 +3,16 @@
 The corpus is summed into cells of (source, lang, topic). Sweeps rake the cells' token weights
 to the target share of every source, every language and every topic in turn, until no
 marginal is off by more than a tolerance. A cell's weight against its tokens, scaled to the
-tokens wanted in all and cut at 1, is the probability with which its documents are kept; a
-hash of the document decides. Everything is built-in Spark functions over tables in the
+tokens wanted in all, is the number of copies of its documents in the mean: over 1 where the
+targets want more of a rare cell than there is. A document has the whole part of that number
+of copies, and one more by a hash of the document with the rest as its probability, so no
+target is missed by a cut at 1. A topic is a class by format and length, no subject. Everything is built-in Spark functions over tables in the
 staging folder: only single numbers reach the driver.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 from functools import reduce
@@ -27,7 +30,7 @@ class Settings:
     """``temperature`` by dimension: a value's target is its share of tokens to that power, normalized.
 
     1 keeps a marginal as it is, 0 makes it even. ``fraction`` of all tokens is kept in the
-    mean. Raking ends at ``tolerance`` or after ``sweeps``.
+    mean, copies counted. Raking ends at ``tolerance``, or after ``sweeps`` with a warning.
     """
 
     temperature: Mapping[str, float] = field(default_factory=lambda: {"source": 0.5, "lang": 0.7, "topic": 0.8})
@@ -78,6 +81,7 @@ def rake(cells: DataFrame, settings: Settings = Settings()) -> DataFrame:
         shares = raked.groupBy(name).agg(F.pow(F.sum("tokens") / F.lit(float(total)), F.lit(float(settings.temperature[name]))).alias("raised"))
         scale = shares.agg(F.sum("raised")).first()[0]
         targets[name] = staged(shares.select(name, (F.col("raised") * F.lit(total / scale)).alias("target")), f"target-{name}")
+    most = float("inf")
     for _ in range(settings.sweeps):
         swept = raked
         for name in DIMENSIONS:
@@ -88,46 +92,46 @@ def rake(cells: DataFrame, settings: Settings = Settings()) -> DataFrame:
             raked.groupBy(name).agg(F.sum("weight").alias("now")).join(targets[name], name).select(F.max(F.abs(F.col("now") / F.col("target") - 1)).alias("off"))
             for name in DIMENSIONS
         ]
-        if reduce(DataFrame.unionByName, off).agg(F.max("off")).first()[0] <= settings.tolerance:
+        most = reduce(DataFrame.unionByName, off).agg(F.max("off")).first()[0]
+        if most <= settings.tolerance:
             break
+    else:
+        warnings.warn(f"raking stopped after {settings.sweeps} sweeps, a marginal {most:.2g} off its target: the tolerance is {settings.tolerance:.2g}", stacklevel=2)
     return raked
 
 
-def _scale(cells: DataFrame, wanted: float) -> float:
-    """The factor under which the cells' kept tokens, each cut at its tokens, sum to ``wanted``."""
-    ratio = F.col("weight") / F.col("tokens")
-    top = cells.agg(F.max(1 / ratio)).first()[0]
-    low, high = 0.0, float(top)
-    for _ in range(4):
-        grid = [low + (high - low) * k / 32 for k in range(1, 33)]
-        sums = cells.agg(*[F.sum(F.col("tokens") * F.least(F.lit(1.0), ratio * F.lit(c))) for c in grid]).first()
-        k = next((k for k, got in enumerate(sums) if got >= wanted), 31)
-        low, high = (grid[k - 1] if k else low), grid[k]
-    return high
-
-
 def mix(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """``docs`` with __source, __lang, __topic, __tokens, __weight, __probability and __kept.
+    """``docs`` with __source, __lang, __topic, __tokens, __weight, __probability, __copies and __kept.
 
-    A null source or lang is a value of its own, ``(none)``. Documents without words have no
-    tokens to weigh: weight 1, always kept. Repeated rows are judged alike; an empty table
+    ``__probability`` is the number of copies in the mean, over 1 for what is repeated;
+    ``__copies`` is how many a document has, and ``__kept`` whether any. A null source or lang is a value of its own, ``(none)``. Documents without words have no
+    tokens to weigh: weight 1, one copy. Repeated rows are judged alike; an empty table
     gives an empty result.
     """
     described = _described(docs)
     cells = described.where("__tokens > 0").groupBy(*[F.col(f"__{name}").alias(name) for name in DIMENSIONS]).agg(F.sum("__tokens").alias("tokens"))
     raked = rake(cells, settings)
-    total = raked.agg(F.sum("tokens")).first()[0] or 0
-    scale = _scale(raked, settings.fraction * total) if total else 1.0
+    total, weighed = raked.agg(F.sum("tokens"), F.sum("weight")).first()
+    scale = settings.fraction * total / weighed if total else 1.0
     ratio = F.col("weight") / F.col("tokens")
-    weights = staged(raked.select(*[F.col(name).alias(f"__{name}") for name in DIMENSIONS], ratio.alias("__w"), F.least(F.lit(1.0), ratio * F.lit(scale)).alias("__p")), "weights")
+    weights = staged(raked.select(*[F.col(name).alias(f"__{name}") for name in DIMENSIONS], ratio.alias("__w"), (ratio * F.lit(scale)).alias("__p")), "weights")
     draw = (F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")), F.lit(settings.seed)), 11).cast("double")) * F.lit(2.0**-53)
     mixed = described.join(weights, [f"__{name}" for name in DIMENSIONS], "left")
     probability = F.when(F.col("__tokens") == 0, 1.0).otherwise(F.coalesce("__p", F.lit(1.0)))
-    return mixed.withColumns({"__weight": F.coalesce("__w", F.lit(1.0)), "__probability": probability}).withColumn("__kept", draw < F.col("__probability")).drop("__w", "__p")
+    mixed = mixed.withColumns({"__weight": F.coalesce("__w", F.lit(1.0)), "__probability": probability})
+    whole = F.floor("__probability")
+    copies = (whole + (draw < F.col("__probability") - whole).cast("long")).alias("__copies")
+    return mixed.withColumn("__copies", copies).withColumn("__kept", F.col("__copies") > 0).drop("__w", "__p")
+
+
+def copied(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """The rows of ``docs``, each as often as ``mix`` has copies of it."""
+    mixed = mix(docs, settings).where("__copies > 0")
+    return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(docs.columns)
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
-    """Weight, probability and decision of every document."""
-    names = ("source", "lang", "topic", "tokens", "weight", "probability", "kept")
+    """Weight, mean and drawn number of copies, and decision of every document."""
+    names = ("source", "lang", "topic", "tokens", "weight", "probability", "copies", "kept")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     return mix(docs).select("doc_id", *[F.col(f"__{name}").alias("n_tokens" if name == "tokens" else name) for name in names])

@@ -286,6 +286,32 @@ def test_raking_meets_its_targets(spark, odd_docs, no_docs):
     assert mixing.mix(no_docs).count() == 0
 
 
+def test_copies_meet_the_targets_of_rare_cells(spark):
+    rows = [(i, "w " * (20 if i % 7 == 0 else 100), "b" if i % 40 == 0 else "a", "fr" if i % 10 == 3 else "en") for i in range(20000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    settings = mixing.Settings(temperature={"source": 0.3, "lang": 0.7, "topic": 0.8})
+    mixed = [r.asDict() for r in mixing.mix(docs, settings).collect()]
+    total = sum(r["__tokens"] for r in mixed)
+    got = sum(r["__tokens"] * r["__copies"] for r in mixed)
+    assert abs(got / total - settings.fraction) < 0.01 and max(r["__copies"] for r in mixed) > 1
+    for name, power in settings.temperature.items():
+        now, was = Counter(), Counter()
+        for r in mixed:
+            now[r[f"__{name}"]] += r["__tokens"] * r["__copies"]
+            was[r[f"__{name}"]] += r["__tokens"]
+        raised = {k: (v / total) ** power for k, v in was.items()}
+        assert all(abs(now[k] / got - v / sum(raised.values())) < 0.01 for k, v in raised.items())
+    copies = Counter({r["doc_id"]: r["__copies"] for r in mixed if r["__kept"]})
+    assert Counter(r.doc_id for r in mixing.copied(docs, settings).collect()) == copies
+
+
+def test_raking_says_when_it_does_not_converge(spark):
+    rows = [("s" if i % 3 else "t", "en" if i % 5 else "fr", "prose" if i % 7 else "note", 10 + i) for i in range(105)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long").groupBy("source", "lang", "topic").sum("tokens").withColumnRenamed("sum(tokens)", "tokens")
+    with pytest.warns(UserWarning, match="off its target"):
+        mixing.rake(cells, mixing.Settings(sweeps=1, tolerance=1e-12))
+
+
 # ------------------------------------------------------------------ op9
 
 
