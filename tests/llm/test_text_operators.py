@@ -168,6 +168,23 @@ def test_copies_and_unmatched_pages_keep_their_texts_and_lose_constants(spark):
     assert all(got[200 + i] == " ".join([f"A {i}", *["x y"] * (i % 9), *["Site name"] * (i % 2)]) for i in range(40))
 
 
+def test_wrappers_nest_groups_and_look_far_ahead():
+    page = lambda counts: wrappers.stream_of(*wrappers.read_page("<ul>" + "".join("<li>" + "".join(f"<p>{i}{k}</p>" for k in range(n)) + "</li>" for i, n in enumerate(counts)) + "</ul>"))
+    wrapper = wrappers.with_roles(wrappers.infer_wrapper([page([1]), page([1, 2, 3]), page([2])]), False)
+    assert all(wrappers.roles_of(wrapper, page(c)) is not None for c in ([1], [1, 2, 3], [5, 1, 4, 2, 7], [9]))
+    far = [wrappers.stream_of(*wrappers.read_page(f"<h1>t</h1>{'<hr><br>' * n}<p>{x}</p>")) for n, x in ((0, "a"), (300, "b"), (0, "c"))]
+    wrapper = wrappers.with_roles(wrappers.infer_wrapper(far[:2]), False)
+    assert wrappers.roles_of(wrapper, far[2]) is not None
+
+
+def test_rounds_match_every_page(spark):
+    kinds = ["<ul><li>x</li></ul>", "<table><tr><td>y</td></tr></table>", "<h2>z</h2>", "<pre>c</pre>", "<blockquote>q</blockquote>"]
+    rows = [(i, "http://h.example/", "<body>" + "".join(k for b, k in enumerate(kinds) if i >> b & 1) + f"<p>text {i}</p></body>") for i in range(32)]
+    streams = wrappers.read_streams(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    wrapper = json.loads(wrappers.learn_wrappers(streams, wrappers.Settings(pages=2)).first().roles)
+    assert all(wrappers.roles_of(wrapper, wrappers.stream_of(*wrappers.read_page(r[2]))) is not None for r in rows)
+
+
 # ------------------------------------------------------------------ op6
 
 
