@@ -33,8 +33,8 @@ class Settings:
 
     ``per_language`` rows of each language, and ``languages`` languages at most (those with
     the most rows), are the training sample. ``false_rejections`` is the share of held-back
-    texts that the rejection level may reject; the level never exceeds ``most_level``, and is 0
-    (nothing but ``und`` is rejected) with fewer than ``least_held`` texts to set it by.
+    texts that the rejection level may reject; the level never exceeds ``most_level``, and is
+    0 only where nothing is held back to set it by.
     """
 
     per_language: int = 400
@@ -46,7 +46,6 @@ class Settings:
     held_back: float = 0.25
     false_rejections: float = 0.0005
     most_level: float = 0.5
-    least_held: int = 50
     seed: int = 7
 
 
@@ -155,8 +154,19 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(axis=-1, keepdims=True))
 
 
+def _finite(name: str, values: np.ndarray) -> np.ndarray:
+    if not np.isfinite(values).all():
+        raise ArithmeticError(f"language training gave {name} that are not finite")
+    return values
+
+
 def train(rows: list[tuple[str, np.ndarray, np.ndarray]], settings: Settings) -> Model:
-    """Fits a model to (language, buckets, counts) rows, in an order given by the seed."""
+    """Fits a model to (language, buckets, counts) rows, in an order given by the seed.
+
+    Steps are normalized: a text's mean moves by the same distance however many subwords it
+    has, and no step moves the logits by more than ``rate`` times the error, so training
+    can't diverge on long texts. Results that are not finite raise.
+    """
     languages = sorted({lang for lang, _, _ in rows})
     if not languages:
         return Model([], np.zeros((1 << settings.bits, 0)), np.zeros(0), 1.0, 0.0, settings.bits)
@@ -178,12 +188,13 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], settings: Settings) ->
             mean = share @ table_[at]
             p = _softmax(mean @ layer + bias)
             p[lang] -= 1
+            rate /= max(1.0, float(mean @ mean + (layer * layer).sum()))
             back_to = layer @ p
             layer -= rate * np.outer(mean, p)
             bias -= rate * 0.1 * p
-            table_[at] -= (rate * len(at)) * np.outer(share, back_to)
-    scores = (table_ @ layer).astype(np.float32)
-    logits = np.array([n @ scores[at] + bias for _, at, n in held]).reshape(len(held), len(languages))
+            table_[at] -= (rate / float(share @ share)) * np.outer(share, back_to)
+    scores = _finite("scores", (table_ @ layer).astype(np.float32))
+    logits = _finite("logits", np.array([n @ scores[at] + bias for _, at, n in held]).reshape(len(held), len(languages)))
     right = np.array([lang for lang, _, _ in held], int)
     temperature, level = 1.0, 0.0
     if len(held):
@@ -194,23 +205,27 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], settings: Settings) ->
         wanted[np.arange(len(right)), right] += 1 - doubt
         loss = [-(wanted * _log_softmax(logits / t)).sum(axis=1).mean() for t in grid]
         temperature = float(grid[int(np.argmin(loss))])
-        best = _softmax(logits / temperature).max(axis=1)
-        if len(held) >= settings.least_held:
-            level = float(min(settings.most_level, np.quantile(best, settings.false_rejections)))
+        best = _finite("probabilities", _softmax(logits / temperature).max(axis=1))
+        level = float(min(settings.most_level, np.quantile(best, settings.false_rejections)))
     return Model(languages, scores, bias.astype(float), temperature, level, settings.bits)
 
 
 def fit_languages(docs: DataFrame, settings: Settings = Settings()) -> Model:
     """Trains on a bounded sample of the rows of ``docs`` that have a text and a lang.
 
-    The sample has the rows of each language with the smallest hashes of doc_id; whole texts
-    are reduced to bucket counts on the executors, so a long text brings no more than
-    ``2 ** bits`` counts to the driver.
+    The sample has the rows of each language with the smallest hashes of doc_id. Hashes under
+    a bound that leaves a little more than the sample are ranked, so few rows of a language
+    meet in a task, whatever its size. Whole texts are reduced to bucket counts on the
+    executors: a long text brings no more than ``2 ** bits`` counts to the driver.
     """
     named = docs.where("lang is not null and text is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    common = named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(settings.languages).select("lang")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = named.select("doc_id", "lang").join(F.broadcast(common), "lang", "left_semi").withColumn("k", F.row_number().over(order)).where(F.col("k") <= settings.per_language).select("doc_id", "lang").distinct()
+    common = named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(settings.languages)
+    draw = F.shiftrightunsigned(F.xxhash64("doc_id"), 11).cast("double") * F.lit(2.0**-53)
+    # 12 standard deviations over the rows wanted: fewer are never left
+    wanted = settings.per_language + 12 * settings.per_language**0.5 + 72
+    drawn = named.select("doc_id", "lang").join(F.broadcast(common), "lang").withColumn("draw", draw).where(F.col("draw") * F.col("count") <= wanted)
+    order = Window.partitionBy("lang").orderBy("draw", "doc_id")
+    ids = drawn.distinct().withColumn("k", F.row_number().over(order)).where(F.col("k") <= settings.per_language).select("doc_id", "lang")
     bits = settings.bits
 
     def counts(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -41,6 +41,70 @@ def test_languages(spark, odd_docs, no_docs):
     assert {r.lang_pred for r in langid.identify_languages(odd_docs, nothing).collect()} == {langid.UNKNOWN}
 
 
+def _words_of(alphabet, rng, n):
+    return ["".join(rng.choice(list(alphabet), int(rng.integers(2, 8)))) for _ in range(n)]
+
+
+def test_language_training_holds_on_texts_of_any_length(spark):
+    """From 1 to 20,000 words: finite scores, a temperature inside its grid, right and differing answers."""
+    rng = np.random.default_rng(5)
+    known = {"aa": _words_of("aeioutnrs", rng, 400), "bb": _words_of("yxkwzöäijp", rng, 400), "cc": _words_of("àéçlmdbvg", rng, 400)}
+    lengths = [1, 2, 5, 20, 100, 1000, 5000, 20_000]
+    rows = [(k, " ".join(rng.choice(known[lang], lengths[k // 3 % 8])), lang) for k, lang in enumerate(sorted(known) * 72)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(8).cache()
+    model = langid.fit_languages(docs.where("doc_id % 4 <> 1"), langid.Settings(epochs=3))
+    assert np.isfinite(model.scores).all() and np.abs(model.scores).max() < 1000
+    assert 0.05 < model.temperature < 200 and 0 < model.level <= 0.5
+    got = {r.doc_id: r for r in langid.identify_languages(docs, model).collect()}
+    held = [k for k, _, _ in rows if k % 4 == 1]
+    assert np.mean([got[k].lang_pred == rows[k][2] for k in held]) >= 0.98
+    assert np.mean([not got[k].rejected for k in held]) >= 0.98
+    assert len({round(got[k].score, 6) for k in held}) > len(held) // 2
+    # letters of no learned language are rejected far more often
+    strange = spark.createDataFrame([(k, " ".join(_words_of("qhfjžłß", rng, 80))) for k in range(40)], "doc_id long, text string")
+    assert sum(r.rejected for r in langid.identify_languages(strange, model).collect()) >= 30
+
+
+def test_language_training_raises_on_what_is_not_finite(monkeypatch):
+    rows = [(lang, np.arange(k, k + 5), np.ones(5, np.int64)) for k, lang in enumerate(["aa", "bb"] * 20)]
+    assert langid.train(rows, langid.Settings()).languages == ["aa", "bb"]
+    with pytest.raises(ArithmeticError), np.errstate(all="ignore"):
+        langid.train(rows, langid.Settings(rate=float("inf")))
+
+
+def test_language_of_whole_texts_equals_brute_force(spark, odd_docs):
+    """Every subword of the whole text, one at a time."""
+    rng = np.random.default_rng(2)
+    model = langid.Model(["aa", "bb"], rng.normal(size=(1 << 10, 2)).astype(np.float32), np.array([0.1, -0.1]), 0.7, 0.4, 10)
+
+    def brute(text):
+        sums, n = np.zeros(2), 0
+        for word in text.encode().translate(langid._FOLD).split():
+            word = b" " + word + b" "
+            for size in langid.ORDERS:
+                for at in range(len(word) - size + 1):
+                    run = word[at : at + size]
+                    if run[0] == run[-1] == 32:
+                        continue
+                    h = run[0]
+                    for c in run[1:]:
+                        h = (h * 0x01000193 ^ c) & 0xFFFFFFFF
+                    h = (h + size) * 0x9E3779B1 & 0xFFFFFFFF
+                    h = (h ^ h >> 15) * 0x85EBCA77 & 0xFFFFFFFF
+                    sums, n = sums + model.scores[h >> 22], n + 1
+        x = (sums / n + model.bias) / model.temperature
+        return np.exp(x) / np.exp(x).sum()
+
+    texts = {r.doc_id: r.text for r in odd_docs.collect()}
+    for r in langid.identify_languages(odd_docs, model).collect():
+        text = texts[r.doc_id]
+        if not text or not re.search(r"[^\W\d_]", text):
+            assert (r.lang_pred, r.score, r.rejected) == ("und", 0.0, True)
+        else:
+            p = brute(text)
+            assert r.lang_pred == model.languages[p.argmax()] and abs(r.score - p.max()) < 1e-4 and r.rejected == (p.max() < 0.4)
+
+
 def test_subwords_do_not_depend_on_blocks(monkeypatch):
     text = ("some words of a text " * 50).encode()
     whole = langid.bucket_counts(text, 12)
