@@ -143,7 +143,7 @@ def _estimated(pairs: DataFrame, classes: DataFrame, settings: Settings) -> Data
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
-    side = lambda x: texts.select(F.col("rep").alias(x), F.col("text").alias(f"t_{x}"))
+    side = lambda x: texts.select(F.col("rep").alias(x), F.col("text").alias(f"t_{x}"))  # noqa: E731  # a row for each set of a repeated id
     both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "t_a", "t_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,8 +151,8 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFr
         for batch in batches:
             keep = []
             for a, t_a, t_b in zip(batch.column(0).to_pylist(), utf8(batch.column(2)), utf8(batch.column(3)), strict=True):
-                if last != (a, len(t_a)):
-                    last, own = (a, len(t_a)), shingles(t_a, settings.words)
+                if last != (a, t_a):
+                    last, own = (a, t_a), shingles(t_a, settings.words)
                 other = shingles(t_b, settings.words)
                 common = len(np.intersect1d(own, other, assume_unique=True))
                 keep.append(100 * common >= settings.least * (len(own) + len(other) - common))
@@ -241,12 +241,34 @@ def _within_buckets(open_rows: DataFrame, settings: Settings) -> DataFrame:
     return spread.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def _texts_of(docs: DataFrame, wanted: DataFrame, repeated: DataFrame | None, settings: Settings) -> DataFrame:
+    """(rep, set, text): one text for each (rep, set) of ``wanted``.
+
+    A document with one row has one set; only the rows of ``repeated`` ids are hashed again
+    to tell which text has which set.
+    """
+    ids = wanted.withColumnRenamed("rep", "doc_id")
+    text = F.coalesce("text", F.lit("")).alias("text")
+    if repeated is None:
+        return docs.join(ids, "doc_id").select(F.col("doc_id").alias("rep"), "set", text)
+    once = docs.join(ids.join(repeated, "doc_id", "left_anti"), "doc_id").select(F.col("doc_id").alias("rep"), "set", text)
+    again = docs.join(ids.join(repeated, "doc_id", "left_semi").select("doc_id").distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), text)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [xxh3_128_digest(shingles(t, settings.words).tobytes()) for t in utf8(batch.column(1))]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary()), batch.column(1)], ["rep", "set", "text"])
+
+    told = map_batches(again, run, "rep bigint, set binary, text string").join(wanted, ["rep", "set"], "left_semi").dropDuplicates(["rep", "set"])
+    return once.unionByName(told)
+
+
 def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """A row per document: doc_id, n_shingles, component_id, kept.
 
     A null, empty or blank text has no shingles and links with nothing. Rows without a doc_id
     can't be named: they link with nothing, have no component_id and are kept. Rows that
-    repeat a doc_id are one document; each has its own n_shingles. An empty table gives an
+    repeat a doc_id are one document, which links by the set of any of its rows; each row has
+    its own n_shingles, all have the same component_id and decision. An empty table gives an
     empty result; other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -257,29 +279,40 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
         .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers"), F.count("*").alias("copies")),
         "classes",
     )
+    repeated = staged(sketches.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
+    any_repeated = not repeated.isEmpty()
     step = 2 * settings.rows
     keys = F.array(*[F.xxhash64(F.substring("registers", step * k + 1, step), F.lit(k)) for k in range(settings.bands)])
-    banded = classes.select("rep", F.posexplode(keys).alias("band", "bucket"))
+    banded = classes.select("rep", "set", F.posexplode(keys).alias("band", "bucket"))
     shared = banded.groupBy("bucket").agg(F.min("rep").alias("centre"), F.count("*").alias("members")).where("members > 1")
     buckets = staged(banded.join(shared, "bucket"), "buckets")
-    texts = staged(docs.join(buckets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), F.coalesce("text", F.lit("")).alias("text")), "texts")
+    texts = staged(_texts_of(docs, buckets.select("rep", "set").distinct(), repeated if any_repeated else None, settings), "texts")
 
     first = buckets.where("rep != centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
-    links = staged(_confirmed(_estimated(first, classes, settings), texts, settings), "first-links")
-    found = connected_components(links)
+    links = _confirmed(_estimated(first, classes, settings), texts, settings)
+    if any_repeated:  # the classes of one document
+        own = sketches.join(repeated, "doc_id", "left_semi").select("doc_id", "set").distinct().join(classes.select("set", "rep"), "set")
+        links = links.unionByName(own.where("rep != doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
+    found = connected_components(staged(links, "first-links"))
 
     placed = buckets.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     opened = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("bucket")
-    open_rows = placed.join(opened, "bucket").join(classes.select("rep", "n", "registers"), "rep").join(texts, "rep")
+    open_rows = placed.join(opened, "bucket").join(classes.select("rep", "set", "n", "registers"), ["rep", "set"]).join(texts, ["rep", "set"])
     more = staged(_within_buckets(open_rows, settings), "more-links")
     # components of components: what the second round joins of the first one's
     name = lambda x: found.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
     merged = connected_components(more.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b")))
-    final = found.select(F.col("node").alias("rep"), "component").join(merged.select(F.col("node").alias("component"), F.col("component").alias("wider")), "component", "full_outer")
-    final = final.select(F.coalesce("rep", "component").alias("rep"), F.coalesce("wider", "component").alias("component"))
+    # left joins only: adaptive execution splits a large component on the left side
+    wider = found.join(merged.select(F.col("node").alias("component"), F.col("component").alias("wider")), "component", "left")
+    alone = merged.join(found.select("node"), "node", "left_anti").select(F.col("node").alias("rep"), "component")
+    final = wider.select(F.col("node").alias("rep"), F.coalesce("wider", "component").alias("component")).unionByName(alone)
     named = classes.select("set", "rep", "copies").join(final, "rep", "left").where("component is not null or copies > 1").select("set", F.coalesce("component", "rep").alias("component"))
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return sketches.select("doc_id", "n_shingles", "set").join(named, "set", "left").select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    judged = sketches.select("doc_id", "n_shingles", "set").join(named, "set", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    if any_repeated:  # a row without shingles goes by the document's other rows
+        by_id = judged.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component").alias("lowest"))
+        judged = judged.join(by_id, "doc_id", "left").withColumn("component", F.coalesce("lowest", "component"))
+    component = F.when(F.col("doc_id").isNotNull(), F.col("component"))
+    return judged.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def op10_near_duplicates(spark, sf_dir: str) -> DataFrame:
