@@ -52,6 +52,29 @@ def test_near_duplicates_equal_brute_force(spark, k, block):
     assert {i: (r.n_shingles, r.component_id, r.kept) for i, r in got.items()} == {i: (len(sets[i]), want[i], want[i] == i) for i in sets}
 
 
+def test_one_id_with_several_texts_links_by_each(spark):
+    one, other = (" ".join(f"{c}{i}" for i in range(60)) for c in "pq")
+    near = [(2, one.replace("p30", "zzz")), (3, other.replace("q30", "zzz"))]
+    rows = [(1, one), (1, other), *near, (7, "a text of its own, and a long one"), (7, one), (8, None), (8, other), (9, None), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id, r.kept, r.n_shingles) for r in neardup.near_duplicates(docs).collect())
+    assert [(i, c, k) for i, c, k, _ in got] == [(i, 1 if i < 9 else 9, i in (1, 9)) for i, _ in sorted(rows, key=lambda r: r[0])]
+    assert [n for i, _, _, n in got if i == 7] == [4, 56]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_near_duplicates_of_repeated_ids_equal_brute_force(spark, seed):
+    rng = np.random.default_rng(seed)
+    texts = [t for _, t in documents()]
+    rows = [(int(rng.integers(len(texts))), texts[k]) for k in rng.permutation(len(texts))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = neardup.near_duplicates(docs, neardup.Settings(words=2, block=8)).collect()
+    sets = [(i, shingle_set(t, 2)) for i, t in rows]
+    links = [(a, b) for a, x in sets for b, y in sets if a < b and x and 100 * len(x & y) >= 80 * len(x | y)]
+    want = components({i for i, _ in rows}, links)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == sorted((i, len(x), want[i], want[i] == i) for i, x in sets)
+
+
 def test_near_duplicates_of_odd_rows(spark, odd_docs, no_docs):
     rows = neardup.near_duplicates(odd_docs).collect()
     assert len(rows) == odd_docs.count()
@@ -93,7 +116,7 @@ def brute(rows, least=0.93):
     return {n: (sum(n in pair for pair in links), root[n]) for n in nodes}
 
 
-@pytest.mark.parametrize("settings", [vectorjoin.Settings(), vectorjoin.Settings(per_pivot=30, block=16)])
+@pytest.mark.parametrize("settings", [vectorjoin.Settings(), vectorjoin.Settings(per_pivot=30, block=16), vectorjoin.Settings(per_pivot=9, pivots=3, block=40)])
 def test_vector_join_equals_brute_force(spark, settings):
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(12, 8))
@@ -115,8 +138,26 @@ def test_pivots_prune_what_lies_apart():
     centres = rng.normal(size=(10, 32))
     x = centres[rng.integers(10, size=500)] + rng.normal(size=(500, 32)) * 0.02
     x /= np.sqrt((x * x).sum(axis=1))[:, None]
-    pivots = vectorjoin.spread_pivots(x, 10)
+    radius = vectorjoin.Settings().radius
+    pivots = vectorjoin.choose_pivots(x, 10, radius)
+    d = vectorjoin._distances(x, pivots)
+    cells = vectorjoin.cells_of(d, radius)
+    near = vectorjoin.cells_near(d, cells, pivots, radius)
+    assert near[np.arange(500), cells].all()
+    held = np.bincount(cells, minlength=20)
+    assert (near * held[None]).sum() <= 0.2 * 500 * 500
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_rings_never_hide_a_partner(seed):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(400, 6))
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    radius = vectorjoin.Settings().radius
+    pivots = vectorjoin.choose_pivots(x[:60], 12, radius)
     d = vectorjoin._distances(x, pivots)
-    extent = np.array([d[d.argmin(axis=1) == k, k].max() for k in range(10)])
-    _, copies = vectorjoin.copies_to(x, pivots, extent, vectorjoin.Settings().radius)
-    assert copies.sum() == 0
+    cells = vectorjoin.cells_of(d, radius)
+    near = vectorjoin.cells_near(d, cells, pivots, radius)
+    for a, b in zip(*np.nonzero(x @ x.T >= 0.93), strict=True):
+        assert near[a, cells[b]]
+    assert not near.all()
