@@ -294,27 +294,43 @@ def store_media(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")), run, "doc_id bigint, n_bytes bigint, media binary")
 
 
+def _read(media: bytes | None) -> tuple[bytes | None, list | None, str | None]:
+    """(payload, clips, error): a file that can't be read is an error of its own row only."""
+    if media is None:
+        return None, None, None
+    try:
+        return *read_back(media), None
+    except (ValueError, KeyError, IndexError, struct.error) as e:
+        return None, None, f"{type(e).__name__}: {e}"
+
+
 def read_media(media: DataFrame) -> DataFrame:
-    """Reads column ``media`` back: payload and clips of each file, and digests of both."""
+    """Reads column ``media`` back: payload and clips of each file, and digests of both.
+
+    A file that is no AVI, is cut off, or holds frames of another process than the lossless
+    one of one 8-bit component has null for all that is read, and says why in ``error``. A
+    null file has nulls only.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         files = batch.column(2).to_pylist()
-        read = [read_back(m) for m in files]
+        read = [_read(m) for m in files]
         cols = [
             batch.column(0),
             batch.column(1),
-            pa.array([p for p, _ in read], pa.binary()),
-            pa.array([zlib.crc32(p[-16:]) for p, _ in read], pa.int64()),
-            pa.array([hashlib.sha256(p).hexdigest() for p, _ in read]),
-            pa.array([len(m) for m in files], pa.int64()),
-            pa.array([hashlib.sha256(m).hexdigest() for m in files]),
-            pa.array([[dict(zip(("clip", "start_s", "end_s", "frames", "mean_change"), c, strict=True)) for c in clips] for _, clips in read], pa.list_(_CLIP)),
+            pa.array([p for p, _, _ in read], pa.binary()),
+            pa.array([None if p is None else zlib.crc32(p[-16:]) for p, _, _ in read], pa.int64()),
+            pa.array([None if p is None else hashlib.sha256(p).hexdigest() for p, _, _ in read], pa.string()),
+            pa.array([None if m is None else len(m) for m in files], pa.int64()),
+            pa.array([None if m is None else hashlib.sha256(m).hexdigest() for m in files], pa.string()),
+            pa.array([clips and [dict(zip(("clip", "start_s", "end_s", "frames", "mean_change"), c, strict=True)) for c in clips] for _, clips, _ in read], pa.list_(_CLIP)),
+            pa.array([e for _, _, e in read], pa.string()),
         ]
-        names = ["doc_id", "n_bytes", "payload", "tail_crc32", "payload_sha256", "media_bytes", "media_sha256", "clips"]
+        names = ["doc_id", "n_bytes", "payload", "tail_crc32", "payload_sha256", "media_bytes", "media_sha256", "clips", "error"]
         return pa.RecordBatch.from_arrays(cols, names)
 
     schema = "doc_id bigint, n_bytes bigint, payload binary, tail_crc32 bigint, payload_sha256 string, media_bytes bigint, media_sha256 string"
-    return map_batches(media.select("doc_id", "n_bytes", "media"), run, f"{schema}, clips array<{CLIP}>")
+    return map_batches(media.select("doc_id", "n_bytes", "media"), run, f"{schema}, clips array<{CLIP}>, error string")
 
 
 def clip_rows(read: DataFrame) -> DataFrame:

@@ -162,6 +162,37 @@ def test_media_round_trip(spark, odd_docs, no_docs):
     assert media.clip_rows(media.read_media(media.store_media(odd_docs))).count() >= len(rows)
 
 
+def test_media_that_cannot_be_read_is_a_row_with_an_error(spark):
+    good = media.write_avi(bytes(192))
+    baseline = good.replace(b"\xff\xc3", b"\xff\xc0")
+    rows = [(1, 3, good), (2, 3, baseline), (3, 3, good[:60]), (4, 3, b"RIFF"), (5, None, None), (6, 3, b"")]
+    got = {r.doc_id: r for r in media.read_media(spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")).collect()}
+    assert bytes(got[1].payload) == bytes(192) and got[1].error is None
+    assert all(got[i].payload is None and got[i].error and got[i].media_sha256 for i in (2, 3, 4, 6))
+    assert got[5].error is None and got[5].media_bytes is None
+
+
+def test_media_query_equals_brute_force(spark, odd_docs, tmp_path):
+    """The stored file, read frame by frame and sample by sample from its index."""
+    docs = odd_docs.where("doc_id is null or doc_id not in (7, 8)")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    stored = {(r.doc_id, r.n_bytes): bytes(r.media) for r in media.store_media(docs).collect()}
+    texts = {(r.doc_id, len((r.text or "").encode())): (r.text or "").encode() for r in docs.collect()}
+    for r in media.op4_media(spark, str(tmp_path)).collect():
+        file, data = stored[r.doc_id, r.n_bytes], texts[r.doc_id, r.n_bytes]
+        movi, index = file.index(b"movi"), file.rindex(b"idx1")
+        entries = [file[k : k + 16] for k in range(index + 8, index + 8 + int.from_bytes(file[index + 4 : index + 8], "little"), 16)]
+        payload = b""
+        for e in entries:
+            at = movi + int.from_bytes(e[8:12], "little")
+            frame = file[at + 8 : at + 8 + int.from_bytes(e[12:16], "little")]
+            payload += media._decode_one(*media._split(frame)).tobytes()
+        want = data + b" " * (max(1, -(-len(data) // 192)) * 192 - len(data))
+        assert payload == want and r.payload_bytes == len(want) and r.payload_sha256 == hashlib.sha256(want).hexdigest()
+        assert r.tail_crc32 == zlib.crc32(want[-16:]) and r.media_bytes == len(file) and r.media_sha256 == hashlib.sha256(file).hexdigest()
+        assert r.feature.startswith(f"frames={len(want) // 192};")
+
+
 def test_media_decodes_sample_by_sample_alike_and_finds_shots():
     rng = np.random.default_rng(0)
     x = rng.integers(0, 256, (3, media.HEIGHT, media.WIDTH), dtype=np.uint8)
