@@ -58,16 +58,19 @@ def topic_of(text: Column, tokens: Column) -> Column:
     )
 
 
-def _described(docs: DataFrame) -> DataFrame:
-    tokens = token_count(F.col("text").cast("string"))
-    described = docs.withColumn("__tokens", tokens)
-    return described.withColumns(
-        {
-            "__source": F.coalesce(F.col("source").cast("string"), F.lit("(none)")),
-            "__lang": F.coalesce(F.col("lang").cast("string"), F.lit("(none)")),
-            "__topic": topic_of(F.col("text").cast("string"), F.col("__tokens")),
-        }
-    )
+def describe(docs: DataFrame, settings: Settings = Settings(), topic: Column | None = None) -> DataFrame:
+    """row (all columns of ``docs``), source, lang, topic, tokens and draw (0 to 1) of every document.
+
+    ``topic`` may be any expression over ``docs``; by default it is the class of ``topic_of``.
+    A null source, lang or topic is a value of its own, ``(none)``. The draw is a hash of
+    doc_id, or of the text where that is null.
+    """
+    text, tokens = F.col("text").cast("string"), F.col("tokens")
+    named = lambda c: F.coalesce(c.cast("string"), F.lit("(none)"))
+    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text))
+    draw = F.shiftrightunsigned(F.xxhash64(key, F.lit(settings.seed)), 11).cast("double") * F.lit(2.0**-53)
+    counted = docs.select(F.struct("*").alias("row"), named(F.col("source")).alias("source"), named(F.col("lang")).alias("lang"), text.alias("text"), *([named(topic).alias("topic")] if topic is not None else []), token_count(text).alias("tokens"), draw.alias("draw"))
+    return counted.select("row", "source", "lang", (F.col("topic") if topic is not None else topic_of(F.col("text"), tokens)).alias("topic"), "tokens", "draw")
 
 
 def rake(cells: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -100,38 +103,48 @@ def rake(cells: DataFrame, settings: Settings = Settings()) -> DataFrame:
     return raked
 
 
-def mix(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """``docs`` with __source, __lang, __topic, __tokens, __weight, __probability, __copies and __kept.
+def mixed(described: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """``describe``'s rows with weight, probability and copies.
 
-    ``__probability`` is the number of copies in the mean, over 1 for what is repeated;
-    ``__copies`` is how many a document has, and ``__kept`` whether any. A null source or lang is a value of its own, ``(none)``. Documents without words have no
-    tokens to weigh: weight 1, one copy. Repeated rows are judged alike; an empty table
-    gives an empty result.
+    ``probability`` is the number of copies in the mean, over 1 for what is repeated;
+    ``copies`` is how many a document has. Documents without words have no tokens to weigh:
+    weight 1, one copy. Repeated rows are judged alike; an empty table gives an empty result.
+    ``described`` is read three times: hand in a staged table.
     """
-    described = _described(docs)
-    cells = described.where("__tokens > 0").groupBy(*[F.col(f"__{name}").alias(name) for name in DIMENSIONS]).agg(F.sum("__tokens").alias("tokens"))
+    cells = described.where("tokens > 0").groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens"))
     raked = rake(cells, settings)
     total, weighed = raked.agg(F.sum("tokens"), F.sum("weight")).first()
     scale = settings.fraction * total / weighed if total else 1.0
     ratio = F.col("weight") / F.col("tokens")
-    weights = staged(raked.select(*[F.col(name).alias(f"__{name}") for name in DIMENSIONS], ratio.alias("__w"), (ratio * F.lit(scale)).alias("__p")), "weights")
-    draw = (F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")), F.lit(settings.seed)), 11).cast("double")) * F.lit(2.0**-53)
-    mixed = described.join(weights, [f"__{name}" for name in DIMENSIONS], "left")
-    probability = F.when(F.col("__tokens") == 0, 1.0).otherwise(F.coalesce("__p", F.lit(1.0)))
-    mixed = mixed.withColumns({"__weight": F.coalesce("__w", F.lit(1.0)), "__probability": probability})
-    whole = F.floor("__probability")
-    copies = (whole + (draw < F.col("__probability") - whole).cast("long")).alias("__copies")
-    return mixed.withColumn("__copies", copies).withColumn("__kept", F.col("__copies") > 0).drop("__w", "__p")
+    weights = staged(raked.select(*DIMENSIONS, ratio.alias("w"), (ratio * F.lit(scale)).alias("p")), "weights")
+    probability = F.when(F.col("tokens") == 0, 1.0).otherwise(F.coalesce("p", F.lit(1.0)))
+    weighed_rows = described.join(weights, list(DIMENSIONS), "left").withColumns({"weight": F.coalesce("w", F.lit(1.0)), "probability": probability}).drop("w", "p")
+    whole = F.floor("probability")
+    return weighed_rows.withColumn("copies", whole + (F.col("draw") < F.col("probability") - whole).cast("long"))
 
 
-def copied(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """The rows of ``docs``, each as often as ``mix`` has copies of it."""
-    mixed = mix(docs, settings).where("__copies > 0")
-    return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(docs.columns)
+def mix(docs: DataFrame, settings: Settings = Settings(), topic: Column | None = None) -> DataFrame:
+    """``docs`` with __source, __lang, __topic, __tokens, __weight, __probability, __copies and __kept.
+
+    See ``describe`` and ``mixed``. Names that ``docs`` already has are refused: nothing of
+    it is overwritten.
+    """
+    names = ("source", "lang", "topic", "tokens", "weight", "probability", "copies", "kept")
+    if clash := {f"__{n}" for n in names} & set(docs.columns):
+        raise ValueError(f"columns of the input have names that mixing adds: {sorted(clash)}")
+    rows = mixed(staged(describe(docs, settings, topic), "described"), settings).withColumn("kept", F.col("copies") > 0)
+    return rows.select("row.*", *[F.col(n).alias(f"__{n}") for n in names])
+
+
+def copied(docs: DataFrame, settings: Settings = Settings(), topic: Column | None = None) -> DataFrame:
+    """The rows of ``docs``, each as often as ``mixed`` has copies of it, whatever their columns are called."""
+    rows = mixed(staged(describe(docs, settings, topic), "described"), settings).where("copies > 0")
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
     """Weight, mean and drawn number of copies, and decision of every document."""
-    names = ("source", "lang", "topic", "tokens", "weight", "probability", "copies", "kept")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    return mix(docs).select("doc_id", *[F.col(f"__{name}").alias("n_tokens" if name == "tokens" else name) for name in names])
+    described = describe(docs).withColumn("row", F.struct("row.doc_id"))  # texts are read once, and not staged
+    rows = mixed(staged(described, "described"))
+    return rows.select("row.doc_id", "source", "lang", "topic", F.col("tokens").alias("n_tokens"), "weight", "probability", "copies", (F.col("copies") > 0).alias("kept"))

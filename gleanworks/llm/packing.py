@@ -240,9 +240,12 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Columns sequence_id and offset for rows with a ``length`` from 1 to ``capacity``.
 
     Every row gets one place; ties and repeated rows take any of the places of their length;
-    an empty table gives an empty result. At most ``capacity`` counts reach the driver.
+    an empty table gives an empty result. At most ``capacity`` counts reach the driver. An
+    input with columns of the names that packing adds is refused: nothing is overwritten.
     """
     spark = pieces.sparkSession
+    if clash := {"__part", "__within", "__rank", "before", "sequence_id", "offset"} & set(pieces.columns):
+        raise ValueError(f"columns of the input have names that packing adds: {sorted(clash)}")
     keep = pieces.columns
     rows = staged(pieces.withColumn("__part", F.spark_partition_id()), "pieces")
     by_part = rows.groupBy("length", "__part").agg(F.count("*").alias("n"))

@@ -1,10 +1,14 @@
 import os
 import zlib
+from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from gleanworks.llm import queries
+from gleanworks.llm import langid, mixing, packing, queries, toxicity
+from tests.llm.test_pairs import components, shingle_set
+from tests.llm.test_text_operators import brute_sequences, brute_toxicity, numpy_rake
 
 SF = "/root/testdata/sf0.001"
 there = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
@@ -35,6 +39,59 @@ def test_pipeline_runs(spark):
     assert {r.doc_id for r in rows} <= docs
 
 
+@there
+def test_every_stage_equals_brute_force(spark, tmp_path):
+    """Each stage on what the one before kept, against the plain way of doing the same."""
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    stages = []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs if not k else spark.read.parquet(f"{tmp_path}/{k - 1}"), SF).write.parquet(f"{tmp_path}/{k}")
+        stages.append(spark.read.parquet(f"{tmp_path}/{k}").collect())
+    texts = {r.doc_id: r for r in docs.collect()}
+
+    model = langid.fit_languages(docs)
+    known = [r for r in texts.values() if r.text and any(c.isalpha() for c in r.text)]
+    sure = model.probabilities([r.text.encode() for r in known]).max(axis=1) >= model.level
+    assert sorted(r.doc_id for r in stages[0]) == sorted(r.doc_id for r, s in zip(known, sure, strict=True) if s)
+    assert len(stages[0]) >= 0.95 * len(known)
+
+    marks = toxicity.fit_toxicity(spark.createDataFrame(stages[0], docs.schema), spark.read.parquet(f"{SF}/labels.parquet"))
+    assert sorted(r.doc_id for r in stages[1]) == sorted(r.doc_id for r in stages[0] if brute_toxicity(r.text, marks) < 0.5)
+
+    sets = {r.doc_id: shingle_set(r.text, 5) for r in stages[1]}
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert sorted(r.doc_id for r in stages[2]) == sorted(i for i, c in components(sets, links).items() if i == c)
+
+    described = {r.row.doc_id: r for r in mixing.describe(spark.createDataFrame(stages[2], docs.schema)).collect()}
+    cells = Counter()
+    for r in described.values():
+        if r.tokens:
+            cells[r.source, r.lang, r.topic] += r.tokens
+    weight = numpy_rake(cells, mixing.Settings().temperature, 15)
+    want = {}
+    for i, r in described.items():
+        p = mixing.Settings().fraction * weight[r.source, r.lang, r.topic] / cells[r.source, r.lang, r.topic] if r.tokens else 1.0
+        if abs(r.draw - p % 1) > 1e-3:  # what the tolerance of raking may decide is left out
+            want[i] = int(p) + (r.draw < p % 1)
+    got = Counter(r.doc_id for r in stages[3])
+    assert len(want) > 0.9 * len(described) and all(got[i] == n for i, n in want.items())
+    assert all(tuple(r) == tuple(texts[r.doc_id]) for r in stages[3])
+
+    tokenizer = Tokenizer.from_file(packing.vocabulary_path())
+    pieces, held = Counter(), defaultdict(list)
+    for r in stages[3]:
+        own = np.array([*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4")
+        pieces.update((r.doc_id, k, s, len(own[s : s + 4096]), zlib.crc32(own[s : s + 4096].tobytes())) for k, s in enumerate(range(0, len(own), 4096)))
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in stages[4]) == pieces
+    for r in stages[4]:
+        held[r.sequence_id].append((r.offset, r.length))
+    assert all(sorted(own)[k][0] == sum(n for _, n in sorted(own)[:k]) for own in held.values() for k in range(len(own)))
+    assert all(sum(n for _, n in own) <= 4096 for own in held.values())
+    assert len(held) == brute_sequences([r.length for r in stages[4]], 4096)
+
+
 @there
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_query_runs_over_its_whole_table(spark, name):

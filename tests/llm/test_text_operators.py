@@ -1,14 +1,19 @@
 import hashlib
 import json
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from gleanworks.llm import langid, licenses, media, mixing, packing, sharding, toxicity, wrappers
 
+SF = "/root/testdata/sf0.001"
+
 
 def ids(rows):
     return sorted((r.doc_id for r in rows), key=str)
@@ -417,6 +422,64 @@ def test_copies_meet_the_targets_of_rare_cells(spark):
     assert Counter(r.doc_id for r in mixing.copied(docs, settings).collect()) == copies
 
 
+def numpy_rake(cells, temperature, sweeps=200):
+    """Weights of {(source, lang, topic): tokens}, raked the plain way."""
+    weight = {k: float(v) for k, v in cells.items()}
+    total = sum(cells.values())
+    for _ in range(sweeps):
+        for d, power in enumerate(temperature[n] for n in mixing.DIMENSIONS):
+            was, now = Counter(), Counter()
+            for k in cells:
+                was[k[d]] += cells[k]
+                now[k[d]] += weight[k]
+            raised = {v: (n / total) ** power for v, n in was.items()}
+            scale = total / sum(raised.values())
+            for k in cells:
+                weight[k] *= raised[k[d]] * scale / now[k[d]]
+    return weight
+
+
+def test_mixing_equals_a_numpy_raker(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, "w " * int(rng.integers(0, 1500)), "abc"[min(2, int(rng.exponential()))], ["en", "fr", None][int(rng.integers(3))]) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    settings = mixing.Settings(tolerance=1e-9, sweeps=60)
+    draws = {r.row.doc_id: r.draw for r in mixing.describe(docs).collect()}
+    got = [r.asDict() for r in mixing.mix(docs, settings).collect()]
+    assert all(r["__topic"] == ("empty" if n == 0 else "note" if n < 50 else "long" if n >= 1000 else "prose") for r in got for n in [len(r["text"].split())])
+    cells = Counter()
+    for r in got:
+        if r["__tokens"]:
+            cells[r["source"], r["lang"] or "(none)", r["__topic"]] += r["__tokens"]
+    weight = numpy_rake(cells, settings.temperature)
+    kept, total = Counter(), sum(cells.values())
+    for r in got:
+        key = (r["source"], r["lang"] or "(none)", r["__topic"])
+        w = weight[key] / cells[key] if r["__tokens"] else 1.0
+        p = w * settings.fraction if r["__tokens"] else 1.0
+        assert abs(r["__weight"] - w) < 1e-6 and abs(r["__probability"] - p) < 1e-6
+        assert r["__copies"] == int(r["__probability"]) + (draws[r["doc_id"]] < r["__probability"] % 1) and r["__kept"] == (r["__copies"] > 0)
+        for name in mixing.DIMENSIONS:
+            kept[name, r[f"__{name}"]] += r["__tokens"] * r["__probability"]
+    for d, name in enumerate(mixing.DIMENSIONS):
+        was = Counter()
+        for k, n in cells.items():
+            was[k[d]] += n
+        raised = {v: (n / total) ** settings.temperature[name] for v, n in was.items()}
+        assert all(abs(kept[name, v] / (settings.fraction * total) - x / sum(raised.values())) < 1e-3 for v, x in raised.items())
+
+
+def test_mixing_keeps_columns_whatever_their_names(spark):
+    docs = spark.createDataFrame([(i, "w x y", "s", "en", i, "t") for i in range(20)], "doc_id long, text string, source string, lang string, __tokens long, topic string")
+    assert {tuple(r) for r in mixing.copied(docs).collect()} <= {tuple(r) for r in docs.collect()}
+    with pytest.raises(ValueError, match="__tokens"):
+        mixing.mix(docs)
+    assert {r.topic for r in mixing.describe(docs, topic=docs["topic"]).collect()} == {"t"}
+    pieces = spark.createDataFrame([(1, 5, 2)], "doc_id long, length int, __rank int")
+    with pytest.raises(ValueError, match="__rank"):
+        packing.pack(pieces)
+
+
 def test_raking_says_when_it_does_not_converge(spark):
     rows = [("s" if i % 3 else "t", "en" if i % 5 else "fr", "prose" if i % 7 else "note", 10 + i) for i in range(105)]
     cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long").groupBy("source", "lang", "topic").sum("tokens").withColumnRenamed("sum(tokens)", "tokens")
@@ -427,6 +490,93 @@ def test_raking_says_when_it_does_not_converge(spark):
 # ------------------------------------------------------------------ op9
 
 
+def brute_places(text, phrase):
+    words = re.findall(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    n = len(phrase.split())
+    return [k for k in range(len(words) - n + 1) if words[k : k + n] == phrase.split()]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
+def test_license_query_equals_brute_force(spark):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    phrases = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
+    found = 0
+    for r in licenses.op9_licenses(spark, SF).collect():
+        places = sorted((k, label) for p, label in phrases.items() for k in brute_places(texts[r.doc_id], p))
+        base = sorted({label for _, label in places})
+        assert r.n_base == len(places) and r.base_labels == ",".join(base) and set(base) <= set(r.labels.split(",")) | {""}
+        assert (r.first_word, r.last_word) == ((places[0][0], places[-1][0]) if places else (None, None))
+        found += len(places)
+    assert found
+
+
+def test_every_notice_is_found_in_place_and_none_without_its_key_phrase(spark):
+    rng = np.random.default_rng(3)
+    filler = [f"fill{k}" for k in range(50)]
+    rows = []
+    for k, (label, body, keys) in enumerate(licenses.TEMPLATES):
+        before = " ".join(rng.choice(filler, 30))
+        rows += [(3 * k, f"{before} {body}, and on", label, True), (3 * k + 1, f"{before} {body.upper()}", label, True)]
+        broken = body
+        for key in keys:
+            broken = broken.replace(key, " ".join(w + "q" for w in key.split()))
+        rows.append((3 * k + 2, f"{before} {broken}", label, not keys))
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
+    for i, _, label, there in rows:
+        assert any(n.label == label and n.first_word == 30 for n in got[i].notices) == there, (label, i)
+
+
+# ------------------------------------------------------------------ op2 and op7, by brute force
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
+def test_shard_query_equals_brute_force(spark):
+    """The tree descended by hand: at each level the child with the least -ln(u) / weight, by xxhash64 of id and name."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = {r.doc_id: r for r in sharding.op2_sharding(spark, SF).collect()}
+    names = sorted({f"{level}:{getattr(x, level)}" for x in sharding.NINE for level in ("region", "rack", "shard")})
+    hashes = docs.select("doc_id", *[F.xxhash64(F.col("doc_id").cast("string"), F.lit(n)).alias(n) for n in names])
+    for h in hashes.collect():
+        for leaves, got in ((sharding.EIGHT, rows[h.doc_id].shard), (sharding.NINE, rows[h.doc_id].grown_shard)):
+            at = list(leaves)
+            for level in ("region", "rack", "shard"):
+                groups = defaultdict(list)
+                for x in at:
+                    groups[str(getattr(x, level))].append(x)
+                draw = lambda n: -np.log((((h[f"{level}:{n}"] & (1 << 64) - 1) >> 11) + 0.5) * 2.0**-53) / sum(x.weight for x in groups[n])  # noqa: B023, E731
+                at = groups[min(groups, key=lambda n: (draw(n), n))]
+            assert [x.shard for x in at] == [got]
+
+
+def brute_toxicity(text, model):
+    """The logistic sum over a text's distinct features, word by word in plain integers."""
+    m = (1 << 64) - 1
+    h = [xxh3_64_intdigest(w) for w in (text or "").encode().translate(toxicity._FOLD).split()]
+    found = list(h)
+    for step in toxicity.STEPS:
+        found += [((a * 0x9E3779B97F4A7C15 + step) & m) ^ (b * 0xC2B2AE3D27D4EB4F & m) for a, b in zip(h, h[step:])]
+    weight = dict(zip(model.at.tolist(), model.weight.tolist(), strict=True))
+    total = model.constant + sum(weight.get(k, 0.0) for k in {((x ^ x >> 29) * 0xBF58476D1CE4E5B9 & m) >> (64 - model.bits) for x in found})
+    return 1 / (1 + np.exp(-max(-35.0, min(35.0, total))))
+
+
+def test_toxicity_scores_equal_brute_force(spark, odd_docs):
+    """The logistic sum over the features of the whole text, one text at a time."""
+    docs = spark.createDataFrame([(i, f"word{i % 7} vile thing {i % 5}" if i % 3 else f"word{i % 7} fine day {i % 5}") for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(200)], "doc_id long, toxic int")
+    model = toxicity.fit_toxicity(docs, labels)
+    both = odd_docs.select("doc_id", "text").unionByName(docs.where("doc_id > 100"))
+    whole = {(r.doc_id, r.text): None for r in both.collect()}
+    scores = defaultdict(list)
+    for r in toxicity.score_toxicity(both, model).collect():
+        scores[r.doc_id].append(r.score)
+    for i, text in whole:
+        one = brute_toxicity(text, model)
+        assert any(abs(s - one) < 1e-9 for s in scores[i])
+    ties = toxicity.score_toxicity(spark.createDataFrame([(1, "a tie"), (2, "a tie"), (3, "A  TIE")], "doc_id long, text string"), model).collect()
+    assert len({r.score for r in ties}) == 1
+
+
 def test_licenses(spark, odd_docs, no_docs):
     texts = {
         1: "Foo. This work is licensed under the GNU General Public License, version 3.\nALL RIGHTS RESERVED",
