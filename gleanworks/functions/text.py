@@ -66,3 +66,22 @@ def contains_quote(quote: Column, text: Column) -> Column:
     """Whether a quote that is not blank stands in a text, but for white space."""
     q = collapse(quote)
     return (q != "") & F.contains(collapse(text), q)
+
+
+#: Words whose full stop ends no sentence.
+ABBREVIATIONS = ("dr", "jr", "mr", "mrs", "ms", "sr", "st", "vs")
+#: A mark that no text has: where a sentence may end.
+MARK = "\ue000"
+
+
+def whole_sentences(text: Column) -> Column:
+    """The sentences of a text as an array, white space inside them as it is; none for null.
+
+    A mark goes behind every stop (with what it closes) that white space and a capital follow.
+    Marks behind the single full stop of an abbreviation or of initials go again, and the rest
+    are where the text is cut. A mark in the text itself is lost.
+    """
+    marked = F.regexp_replace(F.replace(text, F.lit(MARK), F.lit("")), r"([.!?]+[”’\"')\]]*)(?=(?U:\s)+[“‘\"'(\[]*[A-Z])", "$1" + MARK)
+    held = rf"((?:^|(?U:\s))[“‘\"'(\[]*(?:(?i:{'|'.join(ABBREVIATIONS)})|(?:[A-Za-z]\.)+[A-Za-z])\.){MARK}"
+    cut = F.split(F.regexp_replace(marked, held, "$1"), MARK)
+    return F.filter(F.transform(cut, lambda s: F.regexp_replace(s, r"^(?U:\s)+|(?U:\s)+$", "")), lambda s: s != "")

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gleanworks.functions.text import STOP_WORDS, collapse, iso_date, lexemes, page_label, preview, words
-from gleanworks.operators import checks, chunking, models, retrieval
+from gleanworks.functions.text import STOP_WORDS, collapse, iso_date, lexemes, page_label, preview, whole_sentences, words
+from gleanworks.operators import checks, chunking, models, retrieval, sections
 from gleanworks.session import spread, table
 
 QUERIES: dict = {}
@@ -146,10 +146,23 @@ def chunk_sentences(spark, sf_dir):
 
 @query("section_chunks")
 def section_chunks(spark, sf_dir):
-    return chunking.section_chunks(chunking.pages_of_text(docs(spark, sf_dir), 40))
+    return sections.section_chunks(sections.pages_in_row(docs(spark, sf_dir), 40))
 
 
-@query("answer_sentences")
+def _sentences(x: str) -> str:
+    """Sentences of a text, as a list: marks behind stops, less those of abbreviations, and cuts at the rest."""
+    space = r"[\s\p{Zs}]"
+    # RE2 looks nowhere ahead, so a mark is set with the white space behind it and what starts there is found again
+    stops = rf"""regexp_replace({x}, '([.!?]+[”’"'')\]]*)({space}+[“‘"''(\[]*[A-Z])', '\1' || chr(57344) || '\2', 'g')"""
+    held = rf"""'((?:^|{space})[“‘"''(\[]*(?:(?i:dr|jr|mr|mrs|ms|sr|st|vs)|(?:[A-Za-z]\.)+[A-Za-z])\.)' || chr(57344)"""
+    return rf"""list_filter(list_transform(string_split(regexp_replace({stops}, {held}, '\1', 'g'), chr(57344)), lambda s: regexp_replace(s, '^{space}+|{space}+$', '', 'g')), lambda s: s <> '')"""
+
+
+@query(
+    "answer_sentences",
+    f"""WITH cut AS (SELECT doc_id, {_sentences('text')} AS s FROM documents WHERE text IS NOT NULL)
+    SELECT doc_id, unnest(generate_series(1, len(s)))::INT AS sentence_no, unnest(s) AS sentence FROM cut""",
+)
 def answer_sentences(spark, sf_dir):
     return models.answer_sentences(docs(spark, sf_dir))
 
@@ -263,10 +276,19 @@ def hash_embeddings(spark, sf_dir):
     return models.embed(docs(spark, sf_dir), models.hash_embedder())
 
 
-@query("extractive_answers")
+_WORD_SET = r"list_distinct(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+'))"
+
+
+@query(
+    "extractive_answers",
+    f"""WITH {_SEARCH}, best AS (SELECT qid, question, {_sentences('text')} AS s FROM reranked JOIN questions USING (qid) WHERE rank = 1),
+    cut AS (SELECT qid, question, unnest(s) AS sentence, generate_subscripts(s, 1) AS k FROM best),
+    told AS (SELECT *, len(list_intersect({_WORD_SET.format('question')}, {_WORD_SET.format('sentence')})) AS n FROM cut)
+    SELECT qid, max_by(sentence, n * 1000000 - k) AS value, NULL::VARCHAR AS error, false AS fallback FROM told GROUP BY qid""",
+)
 def extractive_answers(spark, sf_dir):
-    best = found(spark, sf_dir).where("rank = 1").select("qid", "question", "text")
-    return models.call_model(best, models.extractive_answer, "qid", ["question", "text"])
+    best = found(spark, sf_dir).where("rank = 1").select("qid", "question", whole_sentences(F.col("text")).alias("sentences"))
+    return models.call_model(best, models.extractive_answer, "qid", ["question", "sentences"])
 
 
 def _look_then_answer(row: dict, results: list[dict], forced: bool):
