@@ -6,30 +6,43 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanworks.functions.text import collapse, contains_quote, words
+from gleanworks.operators.retrieval import broadcast_if
 
 CATEGORIES = ("costs", "coverage", "enrollment", "original_vs_advantage", "part_d", "medigap")
 DIFFICULTIES = ("easy", "medium", "hard")
 TYPES = ("lookup", "table", "multi_section", "unanswerable")
 #: Words of a quote, from its second on, that have to stand in a text before the text is searched.
 ANCHOR = 4
+#: Quotes, or their anchors, that are broadcast; beyond, they are joined.
+QUOTES = 200_000
 
 
 def find_quotes(quotes: DataFrame, texts: DataFrame, key: str = "doc_id") -> DataFrame:
     """item_id, key: the texts that contain each quote, but for white space.
 
-    A quote of enough words is looked up by a run of its inner words, which are whole words in
-    every text that holds it; so the join is on hashes of word runs. Shorter quotes are compared
-    with every text.
+    A quote of three words or more is looked up by a run of its inner words (up to four),
+    which are whole words in every text that holds it. The runs asked for are broadcast where
+    there are few, so that a text's other runs go no further. Quotes of one or two words have
+    no whole word for sure: they are compared with every text, and are broadcast too.
     """
     q = quotes.select("item_id", collapse(F.col("text")).alias("quote"), words(F.col("text")).alias("w")).where("quote <> ''")
-    run = lambda w, at: F.xxhash64(F.array_join(F.slice(w, at, ANCHOR), " "))
-    long, short = q.where(F.size("w") >= ANCHOR + 2), q.where(F.size("w") < ANCHOR + 2)
     t = texts.where("text is not null").select(key, collapse(F.col("text")).alias("body"), words(F.col("text")).alias("w"))
-    anchored = long.select("item_id", "quote", run(F.col("w"), 2).alias("anchor"))
-    spots = t.where(F.size("w") >= ANCHOR).select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - ANCHOR + 1), lambda i: run(F.col("w"), i)))).alias("anchor"))
+    size = F.least(F.size("w") - 2, F.lit(ANCHOR))
+    run = lambda w, at, n: F.xxhash64(F.array_join(F.slice(w, at, n), " "), n)
+    anchored = q.where(F.size("w") > 2).withColumn("n", size).select("item_id", "quote", "n", run(F.col("w"), F.lit(2), F.col("n")).alias("anchor"))
+    sizes = [r["n"] for r in anchored.select("n").distinct().collect()]  # 1 to ANCHOR
+    none = F.array().cast("array<bigint>")
+
+    def runs(n: int):
+        every = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: run(F.col("w"), i, F.lit(n)))
+        return F.when(F.size("w") >= n, every).otherwise(none)
+
+    spots = t.select(key, F.explode(F.array_distinct(F.concat(none, *map(runs, sizes)))).alias("anchor"))
     # texts are fetched for the few that hold an anchor, not carried through the join
-    met = spots.join(anchored, "anchor").select(key, "item_id", "quote").join(t.select(key, "body"), key).where(F.contains("body", F.col("quote"))).select("item_id", key)
-    return met.unionByName(short.join(t, F.contains(t["body"], short["quote"])).select("item_id", key)).distinct()
+    met = spots.join(broadcast_if(anchored.select("item_id", "anchor"), QUOTES), "anchor").select(key, "item_id").distinct()
+    held = met.join(anchored.select("item_id", "quote"), "item_id").join(t.select(key, "body"), key).where(F.contains("body", F.col("quote"))).select("item_id", key)
+    short = broadcast_if(q.where(F.size("w") <= 2).select("item_id", "quote").distinct(), QUOTES)
+    return held.unionByName(t.join(short, F.contains("body", F.col("quote"))).select("item_id", key)).distinct()
 
 
 def check_citations(citations: DataFrame, retrieved: DataFrame) -> DataFrame:

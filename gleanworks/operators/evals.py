@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleanworks.operators.retrieval import broadcast_if
+
+#: Groups whose bounds are broadcast; beyond, they are joined.
+GROUPS = 100_000
+
 
 def covers(start: Column, end: Column, page: Column) -> Column:
     """Whether an inclusive page range holds a page."""
@@ -56,11 +61,23 @@ def average_precision(rows: DataFrame, by: str = "qid") -> DataFrame:
 
 
 def nearest_rank(rows: DataFrame, by: str, value: str, percents: tuple[int, ...]) -> DataFrame:
-    """by, p50, ...: values at rank max(1, ceil(p n / 100)), in integers."""
-    order = Window.partitionBy(by).orderBy(value)
-    counted = rows.where(F.col(value).isNotNull()).withColumn("r", F.row_number().over(order)).withColumn("n", F.count("*").over(Window.partitionBy(by)))
-    at = lambda p: F.greatest(F.lit(1), F.floor((F.col("n") * p + 99) / 100))
-    return counted.groupBy(by).agg(*[F.max(F.when(F.col("r") == at(p), F.col(value))).alias(f"p{p}") for p in percents])
+    """by, p50, ...: values at rank max(1, ceil(p n / 100)), in integers.
+
+    An approximate quantile a little under and one over each rank bound where the value lies.
+    What is under the lower bound is only counted, and what lies between is counted by value,
+    so that about a hundredth of a group is ranked, and a group of any size is no one's task.
+    """
+    told = rows.where(F.col(value).isNotNull()).select(by, F.col(value).alias("v"))
+    bounds = lambda d: F.array(*[F.lit(min(1.0, max(0.0, p / 100 + d))) for p in percents])
+    quantile = lambda d: F.percentile_approx("v", bounds(d), F.lit(1000))
+    sizes = told.groupBy(by).agg(F.count("*").alias("n"), quantile(-0.003).alias("low"), quantile(0.003).alias("high"))
+    spans = F.arrays_zip(F.array(*[F.lit(p) for p in percents]).alias("p"), "low", "high")
+    near = told.join(broadcast_if(sizes, GROUPS), by).select(by, "n", "v", F.explode(spans).alias("s")).where(F.col("v") <= F.col("s.high"))
+    counts = near.groupBy(by, "n", F.col("s.p").alias("p"), F.when(F.col("v") >= F.col("s.low"), F.col("v")).alias("v")).agg(F.count("*").alias("of"))
+    upto = F.sum("of").over(Window.partitionBy(by, "p").orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, 0))
+    wanted = F.greatest(F.lit(1), F.floor((F.col("n") * F.col("p") + 99) / 100))
+    at = counts.withColumn("upto", upto).where(F.col("upto") >= wanted)
+    return at.groupBy(by).agg(*[F.min(F.when(F.col("p") == p, F.col("v"))).alias(f"p{p}") for p in percents])
 
 
 def manual_pass(verdict: Column) -> Column:

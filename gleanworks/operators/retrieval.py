@@ -11,9 +11,13 @@ from pyspark.sql import functions as F
 
 from gleanworks.functions.stem import stem
 from gleanworks.functions.text import lexemes, words
-from gleanworks.session import ship_package
+from gleanworks.session import ship_package, staged
 
 CANDIDATES, TOP_K, RRF_K, RERANK_POOL = 20, 5, 60, 20
+#: Lexemes, or pairs of question and lexeme, that are broadcast; beyond, they are joined.
+ASKED = 200_000
+#: Questions, as vectors, that one pass over the vectors answers.
+QUESTION_BLOCK = 16_384
 #: What one matching position adds to a lexical score.
 POSITION_WEIGHT = 0.1
 
@@ -24,9 +28,21 @@ def ranked(rows: DataFrame, by: str, order: list[Column], limit: int | None = No
     return out if limit is None else out.where(F.col(name) <= limit)
 
 
-def postings(passages: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, lexeme, n: how often each lexeme stands in each passage; an inverted index as rows."""
-    return passages.where(F.col(text).isNotNull()).select(key, F.explode(lexemes(F.col(text))).alias("lexeme")).groupBy(key, "lexeme").agg(F.count("*").alias("n"))
+def broadcast_if(rows: DataFrame, limit: int) -> DataFrame:
+    """``rows``, marked for broadcast where a count finds no more than ``limit`` of them."""
+    return F.broadcast(rows) if rows.limit(limit + 1).count() <= limit else rows
+
+
+def postings(passages: DataFrame, asked: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, lexeme, n: how often each lexeme stands in each passage; an inverted index as rows.
+
+    With ``asked`` (lexeme), only those lexemes: they are told apart where the text is read,
+    before anything is grouped.
+    """
+    spelled = passages.where(F.col(text).isNotNull()).select(key, F.explode(lexemes(F.col(text))).alias("lexeme"))
+    if asked is not None:
+        spelled = spelled.join(broadcast_if(asked.select("lexeme").distinct(), ASKED), "lexeme", "left_semi")
+    return spelled.groupBy(key, "lexeme").agg(F.count("*").alias("n"))
 
 
 def stemmed(rows: DataFrame, lexeme: str = "lexeme") -> DataFrame:
@@ -41,17 +57,23 @@ def stemmed(rows: DataFrame, lexeme: str = "lexeme") -> DataFrame:
     return rows.join(stems, lexeme).withColumn(lexeme, F.col("__stem")).drop("__stem")
 
 
-def lexical_search(questions: DataFrame, index: DataFrame, limit: int = CANDIDATES, key: str = "doc_id", stems: bool = False) -> DataFrame:
-    """qid, key, score, rank: any lexeme of the question matches; every matching position counts.
+def asked_lexemes(questions: DataFrame) -> DataFrame:
+    """qid, lexeme: the distinct lexemes of each question."""
+    return questions.select("qid", F.explode(F.array_distinct(lexemes(F.col("question")))).alias("lexeme"))
 
-    With ``stems``, words match that have the same English stem.
 
-    ``questions`` has qid and question. One of stop words only finds nothing.
+def lexical_search(questions: DataFrame, passages: DataFrame, limit: int = CANDIDATES, key: str = "doc_id", stems: bool = False) -> DataFrame:
+    """qid, key, score, rank: any lexeme of the question matches; every matching position counts.
+
+    ``questions`` has qid and question, ``passages`` key and text. One of stop words only
+    finds nothing. With ``stems``, words match that have the same English stem.
     """
-    asked = questions.select("qid", F.explode(F.array_distinct(lexemes(F.col("question")))).alias("lexeme"))
+    asked = asked_lexemes(questions)
     if stems:
-        asked, index = stemmed(asked).distinct(), stemmed(index)
-    scored = asked.join(index, "lexeme").groupBy("qid", key).agg((F.sum("n") * POSITION_WEIGHT).alias("score"))
+        asked, index = stemmed(asked).distinct(), stemmed(postings(passages, None, key))
+    else:
+        index = postings(passages, asked, key)
+    scored = broadcast_if(asked, ASKED).join(index, "lexeme").groupBy("qid", key).agg((F.sum("n") * POSITION_WEIGHT).alias("score"))
     return ranked(scored, "qid", [F.desc("score"), F.col(key)], limit)
 
 
@@ -61,43 +83,86 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.lit(0.0))
 
 
-def _blocks(vectors: DataFrame, key: str, size: int, names: tuple[str, str]) -> DataFrame:
-    """Vectors in rows of about ``size`` each, by a hash of their keys."""
-    valid = vectors.where("embedding is not null").select(F.col(key).cast("long").alias("k"), F.col("embedding").cast("array<double>").alias("v"))
-    n = valid.count()
-    block = F.pmod(F.xxhash64("k"), F.lit(max(1, -(-n // size))))
-    return valid.groupBy(block.alias("block")).agg(F.collect_list("k").alias(names[0]), F.flatten(F.collect_list("v")).alias(names[1])).drop("block")
+def _valid(vectors: DataFrame, key: str) -> DataFrame:
+    """k, v: the vectors that can have a cosine, not null or zero, without null or non-finite components."""
+    v = F.col("embedding").cast("array<double>")
+    finite = F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists(v, lambda c: c != 0)
+    return vectors.select(F.col(key).cast("long").alias("k"), v.alias("v")).where(F.coalesce(finite & F.col("k").isNotNull(), F.lit(False)))
+
 
+def _units(column: pa.ListArray, length: int) -> np.ndarray:
+    x = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, length)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
-def vector_search(questions: DataFrame, vectors: DataFrame, limit: int = CANDIDATES, key: str = "vec_id") -> DataFrame:
-    """qid, key, score, rank: the nearest vectors by exact cosine, ties by key.
 
-    Questions (qid, embedding) and vectors (key, embedding) meet in blocks: a pair of blocks
-    is one row, scored as a matrix product, and only each question's best leave it.
+def _by_length(keys: pa.Array, vectors: pa.ListArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, keys, unit vectors) of each length in a batch."""
+    sizes = vectors.value_lengths().to_numpy(zero_copy_only=False)
+    for length in np.unique(sizes).tolist():
+        at = pa.array(np.flatnonzero(sizes == length))
+        yield int(length), keys.take(at).to_numpy(), _units(vectors.take(at), int(length))
+
+
+def vector_search(questions: DataFrame, vectors: DataFrame, limit: int = CANDIDATES, key: str = "vec_id", block: int = QUESTION_BLOCK) -> DataFrame:
+    """qid, key, score, rank: the nearest vectors of equal length by exact cosine, ties by key.
+
+    Questions (qid, embedding) and vectors (key, embedding) that are null, zero or hold null
+    or non-finite components find nothing and are not found. The stated questions go in
+    blocks of ``block``, which are broadcast; vectors pass by where they are read, and a task
+    sends only each question's best on. There are as many passes as blocks.
     """
-    ship_package(vectors.sparkSession)
-    asked = _blocks(questions.withColumnRenamed("qid", "k"), "k", 512, ("qids", "asked"))
-    held = _blocks(vectors, key, 4096, ("ids", "held"))
-    pairs = held.join(asked)  # blocks by blocks: the stated questions against all rows
+    spark = vectors.sparkSession
+    ship_package(spark)
+    asked, held = _valid(questions, "qid"), _valid(vectors, key)
+    blocks = max(1, -(-asked.count() // block))
+    found = None
+    for k in range(blocks):
+        own = asked.where(F.pmod(F.xxhash64("k"), F.lit(blocks)) == k) if blocks > 1 else asked
+        part = own.toArrow().combine_chunks()  # about ``block`` vectors
+        by_length = dict((n, (ids, x)) for n, ids, x in _by_length(part.column(0).combine_chunks(), part.column(1).combine_chunks())) if part.num_rows else {}
+        shared = spark.sparkContext.broadcast(by_length)
+        best = held.mapInArrow(_nearest(shared, limit), f"qid bigint, {key} bigint, score double")
+        if blocks > 1:  # one block is held at a time
+            best = staged(ranked(best, "qid", [F.desc(F.round("score", 9)), F.col(key)], limit).drop("rank"), "nearest")
+            shared.destroy()
+        found = best if found is None else found.unionByName(best)
+    return ranked(found, "qid", [F.desc(F.round("score", 9)), F.col(key)], limit)
+
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def unit(values: list, n: int) -> np.ndarray:
-            x = np.asarray(values, float).reshape(n, -1)
-            length = np.sqrt((x * x).sum(axis=1))
-            return x / np.where(length > 0, length, 1)[:, None]
+def _first(scores: np.ndarray, ids: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``limit`` best of each row by rounded score, ties by id, in no order."""
+    if scores.shape[1] <= limit:
+        return scores, ids
+    order = -np.round(scores, 9)
+    at = np.argpartition(order, limit - 1, axis=1)[:, :limit]
+    last = np.take_along_axis(order, at, 1).max(axis=1)
+    tied = np.flatnonzero((order <= last[:, None]).sum(axis=1) > limit)
+    at[tied] = np.lexsort((ids[tied], order[tied]), axis=1)[:, :limit]
+    return np.take_along_axis(scores, at, 1), np.take_along_axis(ids, at, 1)
 
+
+def _nearest(shared, limit: int):
+    """Over the batches of a task: the best ``limit`` vectors of each question."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            for ids, held_values, qids, asked_values in zip(*(batch.column(c).to_pylist() for c in ("ids", "held", "qids", "asked")), strict=True):
-                scores = unit(asked_values, len(qids)) @ unit(held_values, len(ids)).T
-                ids_ = np.array(ids)
-                rows = []
-                for q, own in zip(qids, scores, strict=True):
-                    best = np.lexsort((ids_, -np.round(own, 9)))[:limit]
-                    rows += [(q, int(ids_[b]), float(own[b])) for b in best]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64())], ["qid", key, "score"])
-
-    found = pairs.mapInArrow(score, f"qid bigint, {key} bigint, score double")
-    return ranked(found, "qid", [F.desc(F.round("score", 9)), F.col(key)], limit)
+            for length, ids, x in _by_length(batch.column(0), batch.column(1)):
+                if length not in shared.value:
+                    continue
+                asked = shared.value[length][1]
+                for at in range(0, len(ids), 1024):
+                    scores, own = asked @ x[at : at + 1024].T, np.broadcast_to(ids[at : at + 1024], (len(asked), len(ids[at : at + 1024])))
+                    if length in kept:
+                        scores, own = np.hstack([kept[length][0], scores]), np.hstack([kept[length][1], own])
+                    kept[length] = _first(scores, own, limit)
+        for length, (scores, own) in kept.items():
+            qids = np.repeat(shared.value[length][0], scores.shape[1])
+            for at in range(0, len(qids), 10_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 10_000]) for c in (qids, own.ravel(), scores.ravel())], ["qid", "key", "score"])
+
+    return run
 
 
 def fuse(rankings: list[DataFrame], k: int = RRF_K, key: str = "doc_id") -> DataFrame:

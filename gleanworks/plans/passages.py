@@ -195,7 +195,7 @@ def questions(spark, sf_dir):
 
 
 def lexical(spark, sf_dir):
-    return retrieval.lexical_search(questions(spark, sf_dir), retrieval.postings(docs(spark, sf_dir)))
+    return retrieval.lexical_search(questions(spark, sf_dir), docs(spark, sf_dir))
 
 
 def vector(spark, sf_dir):
@@ -211,7 +211,7 @@ def lexical_search(spark, sf_dir):
 
 @query("lexical_search_stemmed")
 def lexical_search_stemmed(spark, sf_dir):
-    return retrieval.lexical_search(questions(spark, sf_dir), retrieval.postings(docs(spark, sf_dir)), stems=True)
+    return retrieval.lexical_search(questions(spark, sf_dir), docs(spark, sf_dir), stems=True)
 
 
 @query("vector_search", f"WITH {_SEARCH} SELECT qid, doc_id, round(score, 6)::DOUBLE AS score, rank::INT AS rank FROM vector")

@@ -1,3 +1,5 @@
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from gleanworks.functions.stem import stem
@@ -19,7 +21,7 @@ def test_fusion_prefers_agreement_and_breaks_ties_by_id(spark):
 def test_lexical_search(spark):
     docs = spark.createDataFrame([(1, "Costs of part B, costs!"), (2, "the part"), (3, None), (4, "nothing here")], "doc_id long, text string")
     asked = spark.createDataFrame([(1, "What costs part unknownword?"), (2, "the of and")], "qid long, question string")
-    found = retrieval.lexical_search(asked, retrieval.postings(docs)).orderBy("qid", "rank").collect()
+    found = retrieval.lexical_search(asked, docs).orderBy("qid", "rank").collect()
     assert [(r.qid, r.doc_id, round(r.score, 3)) for r in found] == [(1, 1, 0.3), (1, 2, 0.1)]
 
 
@@ -28,7 +30,7 @@ def test_stems(spark):
     assert {w: stem(w) for w in pairs} == pairs
     docs = spark.createDataFrame([(1, "He was running"), (2, "runs and runs"), (3, "walk")], "doc_id long, text string")
     asked = spark.createDataFrame([(1, "run")], "qid long, question string")
-    found = retrieval.lexical_search(asked, retrieval.postings(docs), stems=True).orderBy("rank").collect()
+    found = retrieval.lexical_search(asked, docs, stems=True).orderBy("rank").collect()
     assert [(r.doc_id, round(r.score, 3)) for r in found] == [(2, 0.2), (1, 0.1)]
 
 
@@ -70,6 +72,44 @@ def test_citations_and_quotes(spark):
     assert sorted(tuple(r) for r in checks.find_quotes(quotes, retrieved).collect()) == [(1, 7), (2, 7)]
 
 
+def test_quotes_of_any_length_equal_brute_force(spark):
+    rng = np.random.default_rng(6)
+    texts = [(i, " ".join(rng.choice(list("abcdefg"), int(rng.integers(0, 30))))) for i in range(60)] + [(90, None), (91, "abc  def\nghi"), (92, "")]
+    quotes = [(i, " ".join(rng.choice(list("abcdefg"), int(rng.integers(0, 9))))) for i in range(120)] + [(200, "bc def g"), (201, "bc d"), (202, "c"), (203, None)]
+    got = checks.find_quotes(spark.createDataFrame(quotes, "item_id long, text string"), spark.createDataFrame(texts, "doc_id long, text string"))
+    plain = lambda t: " ".join((t or "").split())
+    want = {(i, d) for i, q in quotes for d, t in texts if plain(q) and plain(q) in plain(t)}
+    assert {tuple(r) for r in got.collect()} == want and len(want) > 100
+
+
+@pytest.mark.parametrize("block", [16_384, 7])
+def test_vector_search_equals_brute_force_and_skips_odd_vectors(spark, block):
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.integers(-3, 4, 6 if i % 9 else 4).astype(float).tolist()) for i in range(150)]
+    rows += [(900, None), (901, [0.0] * 6), (902, [1.0, None, 2.0, 3.0, 4.0, 5.0]), (903, [float("nan")] * 6), (904, []), (905, [float("inf")] * 6)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    asked = vectors.where("vec_id % 5 = 0").withColumnRenamed("vec_id", "qid")
+    got = {}
+    for r in retrieval.vector_search(asked, vectors, limit=6, block=block).collect():
+        got.setdefault(r.qid, {})[r.rank] = (r.vec_id, round(r.score, 9))
+    sound = [(i, np.array(v)) for i, v in rows if v and all(c is not None and np.isfinite(c) for c in v) and any(v)]
+    for q, x in sound:
+        if q % 5 == 0:
+            scores = [(-round(float(x @ y / np.sqrt((x @ x) * (y @ y))), 9), i) for i, y in sound if len(y) == len(x)]
+            assert [got[q][k][0] for k in sorted(got[q])] == [i for _, i in sorted(scores)[:6]]
+    assert set(got) == {q for q, _ in sound if q % 5 == 0}
+
+
+def test_nearest_rank_of_large_and_tied_groups_equals_sorting(spark):
+    rng = np.random.default_rng(2)
+    rows = [("big", float(v)) for v in rng.normal(size=30_000)] + [("tied", float(v)) for v in rng.integers(0, 4, 5000)] + [("few", v) for v in (3.0, 1.0)] + [("one", 7.0), ("none", None)]
+    got = {r.by: tuple(r)[1:] for r in evals.nearest_rank(spark.createDataFrame(rows, "by string, v double").repartition(5), "by", "v", (1, 50, 95, 100)).collect()}
+    for name in ("big", "tied", "few", "one"):
+        own = sorted(v for b, v in rows if b == name)
+        assert got[name] == tuple(own[max(1, -(-p * len(own) // 100)) - 1] for p in (1, 50, 95, 100)), name
+    assert set(got) == {"big", "tied", "few", "one"}
+
+
 def test_models_keep_failures_in_their_rows(spark):
     rows = spark.createDataFrame([(1, "ok"), (2, "slow"), (3, "bad")], "qid long, question string")
 
