@@ -46,21 +46,32 @@ def embed(rows: DataFrame, embedder: Embedder, key: str = "doc_id", text: str =
     return rows.where(F.col(text).isNotNull()).select(key, text).mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, embedding array<float>")
 
 
-def call_model(rows: DataFrame, model: Callable[[dict], str], key: str, columns: list[str], fallback: Callable[[dict], str] | None = None) -> DataFrame:
+def call_model(rows: DataFrame, model: Callable[[dict], str], key: str, columns: list[str], fallback: Callable[[dict], str] | None = None, check: Callable[[str], str | None] | None = None) -> DataFrame:
     """key, value, error, fallback: one call a row; a row's failure stays in its row.
 
     A time-out or a connection that fails goes to ``fallback``; any other error is recorded.
+    ``check`` says what is wrong with a reply: the model is asked once more, with that as
+    ``problem`` in its row, and a second wrong reply is the row's error.
     """
     ship_package(rows.sparkSession)
 
+    def asked(model: Callable[[dict], str], row: dict) -> str:
+        value = model(row)
+        problem = check(value) if check else None
+        if problem:
+            value = model(row | {"problem": problem})
+            if again := check(value):
+                raise ValueError(f"two replies that don't fit: {again}")
+        return value
+
     def one(row: dict) -> tuple:
         try:
-            return model(row), None, False
+            return asked(model, row), None, False
         except (TimeoutError, ConnectionError) as e:
             if fallback is None:
                 return None, f"{type(e).__name__}: {e}".split("\n")[0], False
             try:
-                return fallback(row), None, True
+                return asked(fallback, row), None, True
             except Exception as second:  # noqa: BLE001  a row's failure is data
                 return None, f"{type(second).__name__}: {second}".split("\n")[0], True
         except Exception as e:  # noqa: BLE001  a row's failure is data
@@ -94,27 +105,47 @@ def answer_sentences(rows: DataFrame, key: str = "doc_id", text: str = "text") -
 ToolCall = tuple[str, dict]
 
 
-def agent_answers(rows: DataFrame, turn: Callable[[dict, list[dict], bool], tuple[list[ToolCall], str | None]], tools: dict[str, Callable[[dict], str]], key: str = "qid", columns: tuple[str, ...] = ("question",), most_turns: int = 4) -> DataFrame:
+def agent_answers(rows: DataFrame, turn: Callable[[dict, list[dict], bool], tuple[list[ToolCall], str | None]], tools: dict[str, Callable[[dict], str]], key: str = "qid", columns: tuple[str, ...] = ("question",), most_turns: int = 4, check: Callable[[str], str | None] | None = None) -> DataFrame:
     """key, answer, turns, calls, error: a loop of model turns and tool calls for each question.
 
-    ``turn(row, results, forced)`` returns tool calls or an answer. A tool's error is its result.
-    After ``most_turns`` turns of tools the answer is forced; none then is an error.
+    ``turn(row, results, forced)`` returns tool calls, an answer, or both. A tool's error is its
+    result. An answer beside tool calls came before their results and is sent back. After
+    ``most_turns`` turns of tools the answer is forced, and calls beside it are not run; no
+    answer then is an error. ``check`` says what is wrong with an answer: one correction is
+    asked for, and a second wrong answer is an error. What is sent back stands among the
+    results as ``answer``.
     """
     ship_package(rows.sparkSession)
     call = "struct<name:string,output:string,error:string>"
 
     def one(row: dict) -> tuple:
         results: list[dict] = []
-        for n in range(most_turns + 1):
-            forced = n == most_turns
+        turns = tool_turns = 0
+        correcting = False
+
+        def sent_back(why: str) -> None:
+            results.append({"name": "answer", "output": None, "error": why})
+
+        while True:
+            forced, turns = correcting or tool_turns >= most_turns, turns + 1
             try:
                 wanted, answer = turn(row, results, forced)
             except Exception as e:  # noqa: BLE001  a question's failure is data
-                return None, n + 1, results, f"{type(e).__name__}: {e}"
-            if answer is not None and not wanted:
-                return answer, n + 1, results, None
-            if forced:
-                return None, n + 1, results, "no answer when one was asked for"
+                return None, turns, results, f"{type(e).__name__}: {e}"
+            if forced or not wanted:
+                if answer is None:
+                    return None, turns, results, "no answer when one was asked for"
+                problem = check(answer) if check else None
+                if problem is None:
+                    return answer, turns, results, None
+                if correcting:
+                    return None, turns, results, f"two answers that don't fit: {problem}"
+                correcting = True
+                sent_back(problem)
+                continue
+            tool_turns += 1
+            if answer is not None:
+                sent_back("answered before the results of its tool calls")
             for name, arguments in wanted:
                 try:
                     results.append({"name": name, "output": tools[name](arguments), "error": None})
@@ -122,7 +153,6 @@ def agent_answers(rows: DataFrame, turn: Callable[[dict, list[dict], bool], tupl
                     results.append({"name": name, "output": None, "error": f"no such tool: {name}"})
                 except ValueError as e:
                     results.append({"name": name, "output": None, "error": str(e)})
-        raise AssertionError("unreachable")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

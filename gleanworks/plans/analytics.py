@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gleanworks.functions import calendar, money
 from gleanworks.functions.text import written
-from gleanworks.operators import checks, evals, retrieval, traces
+from gleanworks.operators import checks, chunking, evals, retrieval, traces
 from gleanworks.plans.passages import _SEARCH, _WINDOWS, docs, lexical, query, windows
 from gleanworks.session import table
 from gleanworks.sources import store
@@ -90,7 +90,7 @@ def answer_relevance(spark, sf_dir):
 
 @query(
     "run_aggregates",
-    """SELECT source AS config, count(*)::BIGINT AS n, round(avg(quality), 9) AS page_hit, round(avg(CASE WHEN toxic = 0 THEN quality END), 9) AS faithfulness,
+    """SELECT source AS config, count(*)::BIGINT AS n, round(avg(quality), 9) AS mean_quality, round(avg(CASE WHEN toxic = 0 THEN quality END), 9) AS mean_quality_clean,
     (count(*) FILTER (quality = 1) / nullif(count(quality), 0))::DOUBLE AS manual_pass, count(quality)::BIGINT AS reviewed
     FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source""",
 )
@@ -99,8 +99,8 @@ def run_aggregates(spark, sf_dir):
     verdict = F.when(F.col("quality") == 1, "pass").when(F.col("quality").isNotNull(), "fail")
     return rows.groupBy(F.col("source").alias("config")).agg(
         F.count("*").alias("n"),
-        F.round(F.avg("quality"), 9).alias("page_hit"),
-        F.round(F.avg(F.when(F.col("toxic") == 0, F.col("quality"))), 9).alias("faithfulness"),
+        F.round(F.avg("quality"), 9).alias("mean_quality"),
+        F.round(F.avg(F.when(F.col("toxic") == 0, F.col("quality"))), 9).alias("mean_quality_clean"),
         evals.manual_pass(verdict).alias("manual_pass"),
         F.count("quality").alias("reviewed"),
     )
@@ -256,14 +256,17 @@ _TOOLS = "('0'), ('1'), ('2'), ('3'), ('9')"
 @query(
     "tool_usage",
     f"""WITH {_CALLS}, tools(tool) AS (VALUES {_TOOLS}), used AS (SELECT trace_id, (k % 4)::VARCHAR AS tool, k >= 90 AS failed FROM calls WHERE kind = 'tool')
-    SELECT tool, count(DISTINCT trace_id)::BIGINT AS questions, count(trace_id)::BIGINT AS calls, count(*) FILTER (failed)::BIGINT AS errors,
-    coalesce(array_to_string(list_sort(list_distinct(list(trace_id) FILTER (trace_id < 20))), ','), '') AS first_callers FROM tools LEFT JOIN used USING (tool) GROUP BY tool""",
+    SELECT tool, count(DISTINCT trace_id)::BIGINT AS questions, count(trace_id)::BIGINT AS calls, count(*) FILTER (failed)::BIGINT AS errors FROM tools LEFT JOIN used USING (tool) GROUP BY tool""",
 )
 def tool_usage(spark, sf_dir):
     used = calls(spark, sf_dir).where("kind = 'tool'").select("trace_id", (F.col("k") % 4).cast("string").alias("tool"), (F.col("k") >= 90).alias("failed"))
     tools = spark.createDataFrame([("0",), ("1",), ("2",), ("3",), ("9",)], "tool string")
-    callers = F.array_join(F.transform(F.array_sort(F.collect_set(F.when(F.col("trace_id") < 20, F.col("trace_id")))), lambda x: x.cast("string")), ",")
-    return tools.join(used, "tool", "left").groupBy("tool").agg(F.count_distinct("trace_id").alias("questions"), F.count("trace_id").alias("calls"), F.count_if("failed").alias("errors"), callers.alias("first_callers"))
+    return tools.join(used, "tool", "left").groupBy("tool").agg(F.count_distinct("trace_id").alias("questions"), F.count("trace_id").alias("calls"), F.count_if("failed").alias("errors"))
+
+
+@query("tool_callers", f"WITH {_CALLS} SELECT DISTINCT (k % 4)::VARCHAR AS tool, trace_id FROM calls WHERE kind = 'tool'")
+def tool_callers(spark, sf_dir):
+    return calls(spark, sf_dir).where("kind = 'tool'").select((F.col("k") % 4).cast("string").alias("tool"), "trace_id").distinct()
 
 
 @query("no_tool_questions", f"WITH {_CALLS} SELECT DISTINCT trace_id FROM calls WHERE trace_id NOT IN (SELECT trace_id FROM calls WHERE kind = 'tool' AND k % 4 = 1)")
@@ -397,9 +400,13 @@ def replace_chunk_set(spark, sf_dir):
     return store.replace_set(named("fixed-220w").unionByName(named("other")), new, ["doc_id", "chunk_set"])
 
 
-@query("page_chunks", f"WITH {_WINDOWS} SELECT doc_id, ordinal, 2 AS page, page_start, page_end FROM windows WHERE 2 BETWEEN page_start AND page_end")
+@query(
+    "page_chunks",
+    f"""WITH {_WINDOWS}, asked AS (SELECT doc_id, unnest(generate_series(1, ceil(len(string_split(text, chr(10))) / 5)::BIGINT))::INT AS page FROM documents WHERE text IS NOT NULL)
+    SELECT doc_id, ordinal, page, page_start, page_end FROM windows JOIN asked USING (doc_id) WHERE page BETWEEN page_start AND page_end""",
+)
 def page_chunks(spark, sf_dir):
-    asked = docs(spark, sf_dir).select("doc_id", F.lit(2).alias("page"))
+    asked = chunking.pages_of_text(docs(spark, sf_dir), 5).select("doc_id", "page")
     return store.page_chunks(windows(spark, sf_dir), asked).select("doc_id", "ordinal", "page", "page_start", "page_end")
 
 

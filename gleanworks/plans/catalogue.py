@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleanworks.plans import analytics, passages  # noqa: F401  analytics registers into passages' tables
+from gleanworks.plans import analytics, corpus, judging, passages  # noqa: F401  the others register into passages' tables
 
 QUERIES = dict(passages.QUERIES)
 ORACLES = dict(passages.ORACLES)

@@ -134,6 +134,37 @@ def test_agent_is_forced_after_four_turns(spark):
     assert (got.answer, got.turns, got.error) == ("after 4", 5, None)
 
 
+def test_replies_that_do_not_fit_are_asked_for_once_more(spark):
+    rows = spark.createDataFrame([(1, "good"), (2, "mends"), (3, "never")], "qid long, question string")
+
+    def model(row):
+        return "ok" if row["question"] == "good" or (row["question"] == "mends" and row.get("problem")) else "bad"
+
+    got = {r.qid: (r.value, r.error) for r in models.call_model(rows, model, "qid", ["question"], check=lambda v: None if v == "ok" else "not ok").collect()}
+    assert got == {1: ("ok", None), 2: ("ok", None), 3: (None, "ValueError: two replies that don't fit: not ok")}
+
+
+def test_agent_sends_early_and_wrong_answers_back(spark):
+    rows = spark.createDataFrame([(i, q) for i, q in enumerate(("early", "mends", "never", "silent", "beside"))], "qid long, question string")
+
+    def turn(row, results, forced):
+        kind = row["question"]
+        if kind == "early":
+            return ([("t", {})], "too soon") if not results else ([], "right")
+        if kind == "silent":
+            return [], None
+        if kind == "beside":
+            return [("t", {})], "right" if forced else None
+        return [], "right" if kind == "mends" and forced else "wrong"
+
+    got = {r.question: r for r in models.agent_answers(rows, turn, {"t": lambda a: "x"}, check=lambda a: None if a == "right" else "wrong one").join(rows, "qid").collect()}
+    assert got["early"].answer == "right" and [(c.name, c.error is None) for c in got["early"].calls] == [("answer", False), ("t", True)]
+    assert (got["mends"].answer, got["mends"].turns) == ("right", 2)
+    assert (got["never"].answer, got["never"].turns, got["never"].error) == (None, 2, "two answers that don't fit: wrong one")
+    assert got["silent"].error == "no answer when one was asked for"
+    assert got["beside"].answer == "right" and len(got["beside"].calls) == 4
+
+
 def test_components(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (5, 5), (3, 2)], "a long, b long")
     assert {r.node: r.component for r in connected_components(links).collect()} == {1: 1, 2: 1, 3: 1, 8: 8, 9: 8}
