@@ -234,10 +234,48 @@ def test_wrappers_learn_constants_groups_and_options():
     pages = [f"<div>Site</div><div><p>{a}</p>{'<p>more</p>' * n}</div><div>Contact</div>" for n, a in enumerate("abc")]
     streams = [wrappers.stream_of(*wrappers.read_page(p)) for p in pages]
     wrapper = wrappers.infer_wrapper(streams)
-    assert all(wrappers._match_all(wrapper, s, 0) == len(s) for s in streams)
+    assert all(wrappers.roles_of(wrappers.with_roles(wrapper, False), s) is not None for s in streams)
     assert "(" in wrappers.regex_of(wrapper) and "|" not in wrappers.regex_of(wrapper)
     marked = json.loads(json.dumps(wrappers.with_roles(wrapper, True)))
-    assert [wrappers.main_text(p, marked) for p in pages] == ["a", "b more", "c more more"]
+    assert [wrappers.main_text(p, wrappers.compiled(marked)) for p in pages] == ["a", "b more", "c more more"]
+
+
+def random_page(rng, depth=3):
+    """Nested elements with texts from a few words, some of them repeated or left out at will."""
+    parts = []
+    for _ in range(int(rng.integers(1, 5))):
+        kind = int(rng.integers(5))
+        name = str(rng.choice(["div", "p", "ul", "li", "span", "h2"]))
+        if kind < 2 or not depth:
+            parts.append(str(rng.choice(["one", "two", "three", "four five"])))
+        elif kind < 4:
+            parts.append(f"<{name}>{random_page(rng, depth - 1)}</{name}>" * int(rng.integers(1, 4)))
+        else:
+            parts.append("<br>")
+    return "".join(parts)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_a_wrapper_matches_every_stream_it_was_made_from(seed):
+    rng = np.random.default_rng(seed)
+    for _ in range(40):
+        streams = [wrappers.stream_of(*wrappers.read_page(random_page(rng))) for _ in range(6)]
+        for n in range(1, 7):
+            wrapper = wrappers.infer_wrapper(streams[:n])
+            assert "|" not in wrappers.regex_of(wrapper)
+            for k in range(n):
+                roles = wrappers.roles_of(wrappers.with_roles(wrapper, False), streams[k])
+                assert roles is not None and len(roles) == sum(t[0] == "text" for t in streams[k])
+
+
+def test_matching_takes_choices_back():
+    item = lambda t: ("tag", t)
+    wrapper = wrappers.with_roles([("maybe", (item("a"), item("b"))), ("plus", (item("a"), wrappers.SLOT)), ("maybe", (item("a"),)), item("c")], False)
+    stream = lambda s: [item(x) if x != "t" else ("text", 1) for x in s]
+    assert all(wrappers.roles_of(wrapper, stream(s)) is not None for s in ("ac", "abac", "aac", "atac", "ataatac"))
+    assert all(wrappers.roles_of(wrapper, stream(s)) is None for s in ("c", "abc", "bac", "act", "atta"))
+    hard = wrappers.with_roles([("plus", (("maybe", (item("a"),)), ("maybe", (item("a"),)))) for _ in range(6)] + [item("b")], False)
+    assert wrappers.roles_of(hard, stream("a" * 400)) is None and wrappers.roles_of(hard, stream("a" * 400 + "b")) is not None
 
 
 def test_pages(spark):
