@@ -56,3 +56,10 @@ def yearly_window(day: Column, starts: tuple[int, int], ends: tuple[int, int]) -
 
 #: First and last day of the yearly windows.
 GENERAL, OPEN, ADVANTAGE = ((1, 1), (3, 31)), ((10, 15), (12, 7)), ((1, 1), (3, 31))
+
+
+def window_check(birth: Column, day: Column) -> Column:
+    """All of it as one struct: turns_65, window, position, and the yearly windows that are open to who comes after it."""
+    own, where = first_window(birth), position(birth, day)
+    later = lambda window: F.when(where == "after", yearly_window(day, *window))
+    return F.struct(turns_65(birth).alias("turns_65"), own.alias("window"), where.alias("position"), later(GENERAL).alias("general"), later(OPEN).alias("open"), later(ADVANTAGE).alias("advantage"))

@@ -26,6 +26,13 @@ def expected_pages(items: DataFrame) -> DataFrame:
     return page.select("qid", "page", F.explode(own).alias("satisfies"))
 
 
+def golden_pages(questions: DataFrame, golden: DataFrame) -> DataFrame:
+    """qid, page, satisfies of stored questions (qid, expected): by their golden item, or by their own pages where there is none."""
+    known = golden.select("qid", F.col("expected").alias("g"), "alternates", F.lit(True).alias("has"))
+    joined = questions.select("qid", "expected").join(known, "qid", "left")
+    return expected_pages(joined.select("qid", F.when(F.col("has"), F.col("g")).otherwise(F.col("expected")).alias("expected"), "alternates"))
+
+
 def coverage(items: DataFrame, hits: DataFrame) -> DataFrame:
     """qid, page, rank: the best rank of a passage that covers each expected page; null if none.
 

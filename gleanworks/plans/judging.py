@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gleanworks.functions import calendar
 from gleanworks.operators import evals, judging, retrieval
 from gleanworks.plans.analytics import _ITEMS, hits, items
 from gleanworks.plans.passages import _SEARCH, docs, query
@@ -317,3 +318,32 @@ def json_lists(spark, sf_dir):
     e = F.col("event_id")
     text = F.when(e % 3 == 0, F.to_json(F.array(F.lit("a"), F.col("event_type")))).when(e % 3 == 1, F.col("event_type")).otherwise(F.lit("{}"))
     return table(spark, sf_dir, "events").select("event_id", F.array_join(judging.list_or_json(text), "|").alias("items"))
+
+
+@query(
+    "golden_fallback",
+    f"""WITH {_SEARCH}, {_ITEMS} SELECT qid, page, satisfies FROM wanted WHERE qid % 40 = 0
+    UNION ALL SELECT qid, p, p FROM (SELECT qid, unnest([qid + 5, qid + 6]) AS p FROM items WHERE qid % 40 <> 0)""",
+)
+def golden_fallback(spark, sf_dir):
+    own = items(spark, sf_dir)
+    q = F.col("qid")
+    return evals.golden_pages(own.select("qid", F.array(q + 5, q + 6).alias("expected")), own.where("qid % 40 = 0")).select("qid", "page", "satisfies")
+
+
+_WINDOW_SQL = """WITH b AS (SELECT o_orderkey, o_orderdate::DATE AS birth, (o_orderdate + INTERVAL 65 YEAR + to_days((o_orderkey % 900 - 450)::INT))::DATE AS day FROM orders WHERE NOT (month(o_orderdate) = 2 AND day(o_orderdate) = 29)),
+    t AS (SELECT *, (birth + INTERVAL 65 YEAR)::DATE AS t65 FROM b),
+    w AS (SELECT *, date_trunc('month', t65 - CASE WHEN day(birth) = 1 THEN INTERVAL 4 MONTH ELSE INTERVAL 3 MONTH END)::DATE AS starts,
+      last_day(t65 + CASE WHEN day(birth) = 1 THEN INTERVAL 2 MONTH ELSE INTERVAL 3 MONTH END)::DATE AS ends FROM t),
+    y AS (SELECT *, year(day) + CASE WHEN day > make_date(year(day), 3, 31) THEN 1 ELSE 0 END AS gy, year(day) + CASE WHEN day > make_date(year(day), 12, 7) THEN 1 ELSE 0 END AS oy FROM w)
+    SELECT o_orderkey, t65 AS turns_65, starts, ends, CASE WHEN day < starts THEN 'before' WHEN day > ends THEN 'after' ELSE 'inside' END AS position,
+    CASE WHEN day > ends THEN make_date(gy, 1, 1) END AS general, CASE WHEN day > ends THEN make_date(oy, 12, 7) END AS open, CASE WHEN day > ends THEN make_date(gy, 3, 31) END AS advantage FROM y"""
+
+
+@query("window_check", _WINDOW_SQL)
+def window_check(spark, sf_dir):
+    born = F.col("o_orderdate").cast("date")
+    leap = (F.month(born) == 2) & (F.dayofmonth(born) == 29)
+    rows = table(spark, sf_dir, "orders").where(~leap).select("o_orderkey", born.alias("birth"), F.date_add(F.add_months(born, 780), (F.col("o_orderkey") % 900 - 450).cast("int")).alias("day"))
+    x = rows.select("o_orderkey", calendar.window_check(F.col("birth"), F.col("day")).alias("x"))
+    return x.select("o_orderkey", "x.turns_65", "x.window.starts", "x.window.ends", "x.position", F.col("x.general.starts").alias("general"), F.col("x.open.ends").alias("open"), F.col("x.advantage.ends").alias("advantage"))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gleanworks.operators.judging import in_order as in_priority
+
 GOLDEN = (
     "id string, question string, expected_answer string, expected_pages array<bigint>, category string, difficulty string, type string,"
     " evidence array<struct<page:bigint,quote:string>>, alt_pages map<string,array<bigint>>, needs_review boolean"
@@ -13,6 +15,8 @@ GOLDEN = (
 CALL = (
     "struct<kind:string,name:string,model:string,input_tokens:bigint,output_tokens:bigint,units:bigint,latency_ms:double,cost_usd:double,error:string,fallback:boolean>"
 )
+#: Fields that every golden question has.
+REQUIRED = ("id", "question", "expected_pages", "category", "difficulty", "type")
 METRICS = ("page_hit", "page_recall", "reciprocal_rank", "cited_page_hit", "abstention_correct", "context_recall", "context_precision", "faithfulness", "answer_relevance")
 RUN = (
     "run_id string, created_at string, git struct<commit:string,dirty:boolean>,"
@@ -27,16 +31,24 @@ RUN = (
 
 
 def read_golden(spark: SparkSession, path: str) -> DataFrame:
-    """Golden questions of a JSON-lines file, with the file, ``problem`` for lines that are no such JSON.
+    """Golden questions of JSON-lines files, with file, line (from 1), and ``problem``: what a line lacks or has too much.
 
-    Object keys of ``alt_pages`` are texts in JSON and numbers here.
+    Object keys of ``alt_pages`` are texts in JSON and numbers here. Lines are numbered within
+    their file, blank ones counted: a golden set is written by hand, and a file is one task's.
     """
     schema = T._parse_datatype_string(GOLDEN).add("_corrupt", T.StringType())
-    lines = spark.read.text(path).select(F.col("value"), F.input_file_name().alias("file")).where(F.trim("value") != "")
-    parsed = lines.withColumn("item", F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
-    item = parsed.select("file", "item.*")
+    known = [f.name for f in schema.fields[:-1]]
+    read = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("at", "value"))
+    lines = read.where(F.trim("value") != "").select("file", (F.col("at") + 1).alias("line"), "value")
+    parsed = lines.withColumn("item", F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})).withColumn("keys", F.coalesce(F.json_object_keys("value"), F.array().cast("array<string>")))
+    item = parsed.select("file", "line", "keys", "item.*")
+    listed = lambda text, names: F.when(F.size(names) > 0, F.concat(F.lit(text), F.array_join(F.array_sort(names), ", ")))
+    broken = F.when(F.col("_corrupt").isNotNull(), F.concat(F.lit("not a golden question: "), F.substring("_corrupt", 1, 80)))
+    unknown = listed("unknown fields: ", F.array_except("keys", F.array(*map(F.lit, known))))
+    missing = listed("missing fields: ", F.array_except(F.array(*map(F.lit, REQUIRED)), "keys"))
     alternates = F.transform_keys("alt_pages", lambda k, _: k.cast("bigint"))
-    return item.withColumn("alt_pages", alternates).withColumn("problem", F.when(F.col("_corrupt").isNotNull(), F.concat(F.lit("not a golden question: "), F.substring("_corrupt", 1, 80)))).drop("_corrupt")
+    problem = F.coalesce(broken, F.nullif(F.concat_ws("; ", unknown, missing), F.lit("")))
+    return item.withColumn("alt_pages", alternates).withColumn("problem", problem).drop("_corrupt", "keys")
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
@@ -44,8 +56,19 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RUN).option("multiLine", True).option("recursiveFileLookup", False).json(path)
 
 
+def in_order(runs: DataFrame) -> DataFrame:
+    """Runs by the time they were made, then by id."""
+    return runs.orderBy("created_at", "run_id")
+
+
 def write_run(run: DataFrame, path: str) -> None:
-    """A run as JSON; Spark's committer renames the finished file."""
+    """One run as one JSON file; Spark's committer renames the finished one.
+
+    A run is a row, its questions nested in it, so one task writes no more than that; more
+    rows than one are refused.
+    """
+    if run.limit(2).count() > 1:
+        raise ValueError("a file holds one run")
     run.coalesce(1).write.mode("overwrite").json(path)
 
 
@@ -80,6 +103,21 @@ def markdown(table: DataFrame, most: int = 1000) -> str:
     return "\n".join(lines + ["| " + " | ".join("—" if v is None else str(v) for v in row) + " |" for row in rows])
 
 
+def scoreboard(report: DataFrame, first: tuple[str, ...] = (), details: dict[str, DataFrame] | None = None) -> str:
+    """A run report as Markdown: a headline table in a fixed order, then a table for each detail that has rows."""
+    order = in_priority(F.col("config"), first)
+    parts = ["# Scoreboard", markdown(report.orderBy(*order))]
+    for name, rows in (details or {}).items():
+        if not rows.isEmpty():
+            parts += [f"## {name}", markdown(rows)]
+    return "\n\n".join(parts) + "\n"
+
+
+def block_differs(text: str, name: str, block: str) -> bool:
+    """Whether a file's marked block is not what it would be written as: a check that writes nothing."""
+    return replace_block(text, name, block) != text
+
+
 def replace_block(text: str, name: str, block: str) -> str:
     """The text with what stands between the marks ``<!-- name -->`` and ``<!-- /name -->`` replaced."""
     start, end = f"<!-- {name} -->", f"<!-- /{name} -->"

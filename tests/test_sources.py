@@ -23,10 +23,33 @@ def test_write_replaces_only_its_chunk_sets(spark, tmp_path):
 
 
 def test_golden_lines(spark, tmp_path):
-    good = {"id": "q001", "question": "?", "alt_pages": {"3": [4]}, "expected_pages": [3]}
-    (tmp_path / "golden.jsonl").write_text(json.dumps(good) + "\n\nnot json\n")
-    rows = sorted(runs.read_golden(spark, str(tmp_path / "golden.jsonl")).collect(), key=lambda r: r.id or "")
-    assert rows[0].problem.startswith("not a golden question") and rows[1].alt_pages == {3: [4]}
+    good = {"id": "q001", "question": "?", "alt_pages": {"3": [4]}, "expected_pages": [3], "category": "costs", "difficulty": "easy", "type": "lookup"}
+    odd = {k: v for k, v in good.items() if k != "type"} | {"extra": 1}
+    (tmp_path / "golden.jsonl").write_text(json.dumps(good) + "\n\nnot json\n" + json.dumps(odd) + "\n")
+    rows = sorted(runs.read_golden(spark, str(tmp_path / "golden.jsonl")).collect(), key=lambda r: r.line)
+    assert [r.line for r in rows] == [1, 3, 4] and rows[0].alt_pages == {3: [4]} and rows[0].problem is None
+    assert rows[1].problem.startswith("not a golden question") and rows[2].problem == "unknown fields: extra; missing fields: type"
+
+
+def test_runs_are_written_one_to_a_file_and_read_in_order(spark, tmp_path):
+    made = [{"run_id": r, "created_at": c, "questions": [{"id": "q001"}]} for r, c in (("b", "2026-01-02"), ("c", "2026-01-01"), ("a", "2026-01-02"))]
+    for k, run in enumerate(made):
+        (tmp_path / f"{k}.json").write_text(json.dumps(run))
+    read = runs.read_runs(spark, str(tmp_path))
+    assert [r.run_id for r in runs.in_order(read).collect()] == ["c", "a", "b"]
+    out = str(tmp_path / "out")
+    runs.write_run(read.where("run_id = 'a'"), out)
+    assert [r.run_id for r in runs.read_runs(spark, out).collect()] == ["a"]
+    with pytest.raises(ValueError):
+        runs.write_run(read, out)
+
+
+def test_scoreboard(spark):
+    report = spark.createDataFrame([("b", 0.5), ("z", None), ("a", 1.0)], "config string, page_hit double")
+    text = runs.scoreboard(report, ("z",), {"Times": report.where("config = 'a'"), "Nothing": report.where("false")})
+    assert text.splitlines()[4:7] == ["| z | — |", "| a | 1.0 |", "| b | 0.5 |"] and "## Times" in text and "Nothing" not in text
+    page = "x <!-- board -->\n" + text + "\n<!-- /board -->"
+    assert not runs.block_differs(page, "board", text) and runs.block_differs(page, "board", text + "more")
 
 
 def test_runs_of_an_older_shape_read_as_null(spark, tmp_path):
