@@ -24,7 +24,10 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five words, 0.8); of repeated rows, one."""
+    """One document of each group of near duplicates (five words, 0.8); of repeated rows, one.
+
+    Rows that repeat an id with different texts are one document: they stay or go together.
+    """
     judged = staged(neardup.near_duplicates(docs), "judged").where("doc_id is not null")
     gone = judged.where("not kept").select("doc_id").distinct()
     repeated = judged.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id")
@@ -50,7 +53,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("mixing", mixed),
     ("packing", packed),
 ]
-#: No stage but mixing is SQL; the stages are tested against brute force.
+#: No stage but mixing is SQL; tests/llm checks every stage against brute force.
 ORACLE_SQL = None
 
 
