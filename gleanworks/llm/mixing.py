@@ -6,8 +6,9 @@ marginal is off by more than a tolerance. A cell's weight against its tokens, sc
 tokens wanted in all, is the number of copies of its documents in the mean: over 1 where the
 targets want more of a rare cell than there is. A document has the whole part of that number
 of copies, and one more by a hash of the document with the rest as its probability, so no
-target is missed by a cut at 1. A topic is a class by format and length, no subject. Everything is built-in Spark functions over tables in the
-staging folder: only single numbers reach the driver.
+target is missed by a cut at 1. A topic is a class by format and length, no subject.
+Everything is built-in Spark functions over tables in the staging folder: only single numbers
+reach the driver.
 """
 
 from __future__ import annotations
@@ -15,7 +16,6 @@ from __future__ import annotations
 import warnings
 from collections.abc import Mapping
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -74,33 +74,36 @@ def describe(docs: DataFrame, settings: Settings = Settings(), topic: Column | N
 
 
 def rake(cells: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Column ``weight`` (the raked tokens) for cells (source, lang, topic, tokens > 0)."""
-    raked = staged(cells.withColumn("weight", F.col("tokens").cast("double")), "cells")
-    total = raked.agg(F.sum("tokens")).first()[0]
+    """Column ``weight`` (the raked tokens) for cells (source, lang, topic, tokens > 0).
+
+    A sweep scales the cells to the sources', languages' and topics' targets in turn. It is
+    the last one if none of its factors is off 1 by more than a third of the tolerance: what
+    the later factors do to an earlier marginal is then within the tolerance.
+    """
+    counted = staged(cells, "cells")
+    total = counted.agg(F.sum("tokens")).first()[0]
     if not total:
-        return raked
-    targets = {}
+        return counted.withColumn("weight", F.col("tokens").cast("double"))
+    aimed = counted.withColumn("weight", F.col("tokens").cast("double"))
     for name in DIMENSIONS:
-        shares = raked.groupBy(name).agg(F.pow(F.sum("tokens") / F.lit(float(total)), F.lit(float(settings.temperature[name]))).alias("raised"))
+        shares = counted.groupBy(name).agg(F.pow(F.sum("tokens") / F.lit(float(total)), F.lit(float(settings.temperature[name]))).alias("raised"))
         scale = shares.agg(F.sum("raised")).first()[0]
-        targets[name] = staged(shares.select(name, (F.col("raised") * F.lit(total / scale)).alias("target")), f"target-{name}")
-    most = float("inf")
+        aimed = aimed.join(shares.select(name, (F.col("raised") * F.lit(total / scale)).alias(f"{name}_target")), name)
+    raked, most = staged(aimed, "cells"), float("inf")
+    fixed = [*DIMENSIONS, "tokens", *[f"{name}_target" for name in DIMENSIONS]]
     for _ in range(settings.sweeps):
-        swept = raked
+        swept = raked.select(*fixed, "weight", F.lit(0.0).alias("off"))
         for name in DIMENSIONS:
-            factor = swept.groupBy(name).agg(F.sum("weight").alias("now")).join(targets[name], name).select(name, (F.col("target") / F.col("now")).alias("factor"))
-            swept = swept.join(factor, name).select(*DIMENSIONS, "tokens", (F.col("weight") * F.col("factor")).alias("weight"))
+            factor = swept.groupBy(name).agg((F.max(f"{name}_target") / F.sum("weight")).alias("factor"))
+            off = F.greatest("off", F.abs(F.col("factor") - 1)).alias("off")
+            swept = swept.join(factor, name).select(*fixed, (F.col("weight") * F.col("factor")).alias("weight"), off)
         raked = staged(swept, "cells")
-        off = [
-            raked.groupBy(name).agg(F.sum("weight").alias("now")).join(targets[name], name).select(F.max(F.abs(F.col("now") / F.col("target") - 1)).alias("off"))
-            for name in DIMENSIONS
-        ]
-        most = reduce(DataFrame.unionByName, off).agg(F.max("off")).first()[0]
-        if most <= settings.tolerance:
+        most = raked.agg(F.max("off")).first()[0]
+        if most <= settings.tolerance / 3:
             break
     else:
-        warnings.warn(f"raking stopped after {settings.sweeps} sweeps, a marginal {most:.2g} off its target: the tolerance is {settings.tolerance:.2g}", stacklevel=2)
-    return raked
+        warnings.warn(f"raking stopped after {settings.sweeps} sweeps, a marginal up to {most:.2g} off its target: the tolerance is {settings.tolerance:.2g}", stacklevel=2)
+    return raked.select(*DIMENSIONS, "tokens", "weight")
 
 
 def mixed(described: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -116,7 +119,7 @@ def mixed(described: DataFrame, settings: Settings = Settings()) -> DataFrame:
     total, weighed = raked.agg(F.sum("tokens"), F.sum("weight")).first()
     scale = settings.fraction * total / weighed if total else 1.0
     ratio = F.col("weight") / F.col("tokens")
-    weights = staged(raked.select(*DIMENSIONS, ratio.alias("w"), (ratio * F.lit(scale)).alias("p")), "weights")
+    weights = raked.select(*DIMENSIONS, ratio.alias("w"), (ratio * F.lit(scale)).alias("p"))
     probability = F.when(F.col("tokens") == 0, 1.0).otherwise(F.coalesce("p", F.lit(1.0)))
     weighed_rows = described.join(weights, list(DIMENSIONS), "left").withColumns({"weight": F.coalesce("w", F.lit(1.0)), "probability": probability}).drop("w", "p")
     whole = F.floor("probability")
