@@ -564,6 +564,27 @@ def test_every_notice_is_found_in_place_and_none_without_its_key_phrase(spark):
         assert any(n.label == label and n.first_word == 30 for n in got[i].notices) == there, (label, i)
 
 
+def test_no_notice_is_missed_whatever_the_corpus_makes_of_its_words():
+    rng = np.random.default_rng(12)
+    for label, body, keys in licenses.TEMPLATES:
+        words, fixed = body.split(), {w for key in keys for w in key.split()}
+        free = [i for i, w in enumerate(words) if w not in fixed]
+        lost = rng.permutation(free)[: len(words) - int(np.ceil(licenses.LEAST_SHARE * len(words)))]
+        text = "x y " + " ".join("gone" if i in set(lost.tolist()) else w for i, w in enumerate(words))
+        rare = {w.encode(): 1 for i, w in enumerate(words) if i in set(lost.tolist())}  # the rarest words are the lost ones
+        counts = {w.encode(): 50 for w in words} | rare
+        for index in (licenses.PositionalIndex(), licenses.PositionalIndex(counts=counts, documents=100)):
+            assert label in {n[0] for n in licenses.scan_text(text.encode(), index)[2]}, (label, body)
+
+
+def test_the_licence_index_counts_words_over_all_documents(spark, odd_docs, no_docs):
+    docs = spark.createDataFrame([(1, "The MIT license, the mit"), (2, "mit"), (3, None), (4, "software")], "doc_id long, text string")
+    index = licenses.index_of(docs, (("a", "mit software fee license", ("fee",)),))
+    assert [p for w in (b"fee", b"software", b"license") for p in index.postings[w]] == [(0, 2), (0, 1), (0, 3)] and b"mit" not in index.postings
+    assert licenses.index_of(no_docs).needed == licenses.PositionalIndex().needed
+    assert licenses.index_of(odd_docs).words
+
+
 # ------------------------------------------------------------------ op2 and op7, by brute force
 
 
@@ -628,6 +649,7 @@ def test_licenses(spark, odd_docs, no_docs):
     assert (got[1].n_base, got[1].first_word, got[1].last_word, got[1].base_labels, got[1].labels) == (2, 8, 13, "gpl,reserved", "gpl,gpl-3.0,reserved")
     assert (got[2].labels, got[2].n_base, got[2].first_word) == ("apache-2.0", 0, None)
     assert got[3].labels == "cc-by,cc-by-nc-4.0,mit" and got[4].labels == "" and got[5].labels == "mit" and 0.7 <= got[5].score < 1
+    assert [(n.label, n.first_word, n.last_word) for n in got[3].notices] == [("cc-by-nc-4.0", 0, 6), ("mit", 7, 11)]
     word = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
     for r in licenses.scan_licenses(odd_docs).collect():
         own = next(t for t in odd_docs.collect() if t.doc_id == r.doc_id).text or ""
