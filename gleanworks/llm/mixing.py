@@ -77,8 +77,8 @@ def rake(cells: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Column ``weight`` (the raked tokens) for cells (source, lang, topic, tokens > 0).
 
     A sweep scales the cells to the sources', languages' and topics' targets in turn. It is
-    the last one if none of its factors is off 1 by more than a third of the tolerance: what
-    the later factors do to an earlier marginal is then within the tolerance.
+    the last one if what the later factors do to a cell, and so to an earlier marginal, is
+    within the tolerance.
     """
     counted = staged(cells, "cells")
     total = counted.agg(F.sum("tokens")).first()[0]
@@ -92,14 +92,14 @@ def rake(cells: DataFrame, settings: Settings = Settings()) -> DataFrame:
     raked, most = staged(aimed, "cells"), float("inf")
     fixed = [*DIMENSIONS, "tokens", *[f"{name}_target" for name in DIMENSIONS]]
     for _ in range(settings.sweeps):
-        swept = raked.select(*fixed, "weight", F.lit(0.0).alias("off"))
+        swept = raked.select(*fixed, "weight")
         for name in DIMENSIONS:
-            factor = swept.groupBy(name).agg((F.max(f"{name}_target") / F.sum("weight")).alias("factor"))
-            off = F.greatest("off", F.abs(F.col("factor") - 1)).alias("off")
-            swept = swept.join(factor, name).select(*fixed, (F.col("weight") * F.col("factor")).alias("weight"), off)
-        raked = staged(swept, "cells")
+            factor = swept.groupBy(name).agg((F.max(f"{name}_target") / F.sum("weight")).alias(f"{name}_factor"))
+            swept = swept.join(factor, name).withColumn("weight", F.col("weight") * F.col(f"{name}_factor"))
+        of_sources, of_langs = F.col("lang_factor") * F.col("topic_factor"), F.col("topic_factor")
+        raked = staged(swept.select(*fixed, "weight", F.greatest(F.abs(of_sources - 1), F.abs(of_langs - 1)).alias("off")), "cells")
         most = raked.agg(F.max("off")).first()[0]
-        if most <= settings.tolerance / 3:
+        if most <= settings.tolerance:
             break
     else:
         warnings.warn(f"raking stopped after {settings.sweeps} sweeps, a marginal up to {most:.2g} off its target: the tolerance is {settings.tolerance:.2g}", stacklevel=2)
