@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from gleanworks.llm import centroids
+from gleanworks.llm.centroids import op11_centroids
 from gleanworks.llm.langid import op1_language_id
 from gleanworks.llm.licenses import op9_licenses
 from gleanworks.llm.media import op4_media
@@ -24,6 +26,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_licenses": op9_licenses,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_centroids": op11_centroids,
 }
 ORACLES: dict[str, str] = {
     "op3_vector_join": """
@@ -46,4 +49,5 @@ links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM rows AS a JOIN rows AS b ON a
 reach(n, m) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.n, l.b FROM reach AS r JOIN links AS l ON l.a = r.m),
 component AS (SELECT n AS doc_id, min(m) AS component_id FROM reach GROUP BY n)
 SELECT doc_id, coalesce(len(s), 0)::BIGINT AS n_shingles, component_id, coalesce(doc_id = component_id, true) AS kept FROM s LEFT JOIN component USING (doc_id)""",
+    "op11_centroids": centroids.SQL,
 }
