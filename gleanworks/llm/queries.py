@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from gleanworks.llm import centroids
+from gleanworks.llm.alignment import op12_alignment
 from gleanworks.llm.bytebpe import op13_bytes
 from gleanworks.llm.centroids import op11_centroids
 from gleanworks.llm.langid import op1_language_id
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_licenses": op9_licenses,
     "op10_near_duplicates": op10_near_duplicates,
     "op11_centroids": op11_centroids,
+    "op12_alignment": op12_alignment,
     "op13_bytes": op13_bytes,
 }
 ORACLES: dict[str, str] = {
