@@ -23,7 +23,7 @@ from gleanworks.session import table
 
 ORDERS = (2, 3, 4)
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_LETTER = re.compile(r"[^\W\d_]")
+_PLAIN_LETTER = re.compile("[A-Za-z]")
 UNKNOWN = "und"
 
 
@@ -49,6 +49,11 @@ class Settings:
     seed: int = 7
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether a text has a letter; numbers of any kind are none."""
+    return bool(text) and (_PLAIN_LETTER.search(text) is not None or any(map(str.isalpha, text)))
+
+
 def subwords(data: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """(place, bucket) of every subword in folded bytes, where 32 stands between words."""
     gap = data == 32
@@ -259,7 +264,7 @@ def identify_languages(docs: DataFrame, model: Model) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         model = shared.value
         values = batch.column(1).to_pylist()
-        known = [bool(v) and bool(model.languages) and _LETTER.search(v) is not None for v in values]
+        known = [bool(model.languages) and has_letter(v) for v in values]
         p = model.probabilities([v.encode() if k else b"" for v, k in zip(values, known, strict=True)]) if model.languages else np.zeros((len(values), 1))
         best, score = p.argmax(axis=1), p.max(axis=1)
         return pa.RecordBatch.from_arrays(
@@ -283,7 +288,7 @@ def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         model = shared.value
         values = batch.column(at).to_pylist()
-        known = np.array([bool(v) and bool(model.languages) and _LETTER.search(v) is not None for v in values], bool)
+        known = np.array([bool(model.languages) and has_letter(v) for v in values], bool)
         p = model.probabilities([v.encode() if k else b"" for v, k in zip(values, known, strict=True)]) if model.languages else np.zeros((len(values), 1))
         return batch.filter(pa.array(known & (p.max(axis=1) >= model.level)))
 

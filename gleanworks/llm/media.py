@@ -134,6 +134,8 @@ def _decode_one(head: bytes, scan: bytes) -> np.ndarray:
             raise ValueError("a scan that ends early")
         return stream >> (total - at) & ((1 << n) - 1)
 
+    if height * width > total:
+        raise ValueError("more samples than a scan of that length can hold")
     x = np.zeros((height, width), np.int64)
     for r in range(height):
         for c in range(width):
@@ -213,15 +215,19 @@ def read_avi(media: bytes) -> tuple[float, list[bytes]]:
                 if media[at + 8 : at + 12] == b"movi":
                     movi = at + 8
                 else:
-                    lists.append((at + 12, at + 8 + size))
+                    lists.append((at + 12, min(end, at + 8 + size)))
             elif name == b"strh" and media[at + 8 : at + 12] == b"vids":
                 scale, ticks = struct.unpack("<II", media[at + 28 : at + 36])
+                if not scale or not ticks:
+                    raise ValueError("a video stream without a frame rate")
                 rate = ticks / scale
             elif name == b"idx1":
                 index = np.frombuffer(media[at + 8 : at + 8 + size], np.dtype([("id", "S4"), ("flags", "<u4"), ("at", "<u4"), ("size", "<u4")]))
             at += 8 + size + (size & 1)
     if movi is None or index is None:
         raise ValueError("an AVI file without movi or idx1")
+    if not rate:
+        raise ValueError("an AVI file without a video stream")
     index = index[index["id"] == b"00dc"]
     base = movi if not len(index) or media[movi + index["at"][0] : movi + index["at"][0] + 4] == b"00dc" else 0
     starts = (index["at"].astype(np.int64) + base + 8).tolist()
@@ -307,9 +313,10 @@ def _read(media: bytes | None) -> tuple[bytes | None, list | None, str | None]:
 def read_media(media: DataFrame) -> DataFrame:
     """Reads column ``media`` back: payload and clips of each file, and digests of both.
 
-    A file that is no AVI, is cut off, or holds frames of another process than the lossless
-    one of one 8-bit component has null for all that is read, and says why in ``error``. A
-    null file has nulls only.
+    A file that is no AVI, is cut off, has no video stream or no frame rate, or holds frames of
+    another process than the lossless one of one 8-bit component, or frames with more samples
+    than their bytes can hold, has null for all that is read, and says why in ``error``. A null
+    file has nulls only.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
