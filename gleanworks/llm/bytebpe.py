@@ -3,9 +3,9 @@
 A text is cut by the vocabulary's pattern, and every match is encoded by itself. Each worker
 has a DuckDB connection with a table of merges: all pairs of tokens whose bytes together are
 a token, with that token's rank. The distinct words of a batch that are no tokens become
-rows (word, position, token), starting with single bytes; a recursive query joins neighbours
-with the merges and contracts the leftmost pair of least rank of each word, until no word has
-a pair left. Decoding joins positions with the vocabulary and concatenates in order, in the
+rows (word, position, token) of single bytes; a recursive query unnests each word's tokens by
+position, joins neighbours with the merges and contracts the leftmost pair of least rank of each
+word, until no word has a pair left. Decoding joins positions with the vocabulary and concatenates in order, in the
 same connection. Words met before are kept by the worker, in bounded number.
 """
 
@@ -35,17 +35,14 @@ LONG = 512
 WORDS, TOKENS = 500_000, 500_000
 
 CONTRACT = """
-WITH RECURSIVE state(word, place, token, next, round) AS (
-  SELECT word, place, token, lead(place) OVER (PARTITION BY word ORDER BY place), 0 FROM bytes_of_words
+WITH RECURSIVE state(word, tokens, round) AS (
+  SELECT word, list(token ORDER BY place), 0 FROM bytes_of_words GROUP BY word
   UNION ALL
-  (WITH pairs AS (
-     SELECT a.word, a.place, a.next, b.next AS after, merges.rank, (merges.rank::BIGINT << 32) + a.place AS choice
-     FROM state AS a JOIN state AS b ON a.word = b.word AND a.next = b.place JOIN merges ON merges.first = a.token AND merges.second = b.token),
-   least AS (SELECT word, min(choice) AS choice FROM pairs GROUP BY word),
-   met AS (SELECT pairs.* FROM pairs JOIN least USING (word, choice))
-   SELECT s.word, s.place, CASE WHEN s.place = met.place THEN met.rank ELSE s.token END, CASE WHEN s.place = met.place THEN met.after ELSE s.next END, s.round + 1
-   FROM state AS s JOIN met ON s.word = met.word WHERE s.place <> met.next))
-SELECT word, token FROM (SELECT *, max(round) OVER (PARTITION BY word) AS last FROM state) WHERE round = last ORDER BY word, place"""
+  (WITH pairs AS (SELECT word, unnest(range(1, len(tokens))) AS place, unnest(tokens[:len(tokens) - 1]) AS first, unnest(tokens[2:]) AS second FROM state),
+   least AS (SELECT word, min((rank::BIGINT << 32) + place) AS choice FROM pairs JOIN merges ON pair = (first::BIGINT << 32) + second GROUP BY word),
+   met AS (SELECT word, choice >> 32 AS rank, choice & 4294967295 AS place FROM least)
+   SELECT word, tokens[:place - 1] || [rank::INT] || tokens[place + 2:], round + 1 FROM state JOIN met USING (word)))
+SELECT arg_max(tokens, round) AS tokens FROM state GROUP BY word ORDER BY word"""
 
 DECODE = "SELECT text, string_agg(piece, '' ORDER BY place) AS whole FROM tokens JOIN vocabulary USING (token) GROUP BY text ORDER BY text"
 
@@ -96,33 +93,36 @@ class ByteBpe:
             pattern = public_tokenizers.PATTERN
         self.split = regex.compile(pattern)
         self.ranks = read_ranks(path)
-        halves = [(a, b, rank) for token, rank in self.ranks.items() for k in range(1, len(token)) if (a := self.ranks.get(token[:k])) is not None and (b := self.ranks.get(token[k:])) is not None]
-        first, second, rank = np.array(halves, np.int32).reshape(-1, 3).T
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        self.pairs: dict[tuple[int, int], int] | None = None
-        self.halves = halves
+        self.pairs: dict[tuple[int, int], int] = {}
         self.known: dict[str, bytes] = {}
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "preserve_insertion_order": False})
-        self.con.register("given", pa.table({"first": first, "second": second, "rank": rank}))
-        self.con.execute("CREATE TABLE merges AS FROM given")
         # bytes as the characters of the same numbers: character text can be aggregated in order
         self.con.register("given", pa.table({"token": pa.array(list(self.ranks.values()), pa.int32()), "piece": [t.decode("latin-1") for t in self.ranks]}))
         self.con.execute("CREATE TABLE vocabulary AS FROM given")
 
+    def merges(self) -> dict[tuple[int, int], int]:
+        """The rank of every pair of tokens that makes a token; read into the connection the first time."""
+        if not self.pairs:
+            get = self.ranks.get
+            self.pairs = {(a, b): rank for token, rank in self.ranks.items() for k in range(1, len(token)) if (a := get(token[:k])) is not None and (b := get(token[k:])) is not None}
+            self.con.register("given", pa.table({"pair": [(a << 32) + b for a, b in self.pairs], "rank": pa.array(self.pairs.values(), pa.int32())}))
+            self.con.execute("CREATE TABLE merges AS FROM given")
+        return self.pairs
+
     def contract(self, words: list[bytes]) -> list[bytes]:
-        """The ids of each word, as 32-bit numbers, by the recursive query."""
+        """The ids of each word that is not empty, as 32-bit numbers, by the recursive query."""
+        self.merges()
         sizes = np.array([len(w) for w in words], np.int64)
         starts = np.cumsum(sizes) - sizes
         number = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
         place = (np.arange(len(number)) - np.repeat(starts, sizes)).astype(np.int32)
         self.con.register("bytes_of_words", pa.table({"word": number, "place": place, "token": self.single[np.frombuffer(b"".join(words), np.uint8)]}))
-        made = self.con.execute(CONTRACT).fetchnumpy()
-        ids = np.ascontiguousarray(made["token"], "<i4").tobytes()
-        ends = np.cumsum(np.bincount(made["word"], minlength=len(words))) * 4
-        return [ids[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        made = self.con.sql(CONTRACT).to_arrow_table()["tokens"]
+        return [np.ascontiguousarray(ids, "<i4").tobytes() for ids in lists_of(made)]
 
     def learn(self, missing: Iterable[str]) -> dict[str, bytes]:
-        """The ids of words; all of them are kept while there is room."""
+        """The ids of words; all but long ones are kept."""
         found: dict[str, bytes] = {}
         block: list[tuple[str, bytes]] = []
         rows = 0
@@ -137,8 +137,7 @@ class ByteBpe:
             if rank is not None:  # a word that is a token is that token, whatever the merges give
                 found[word] = rank.to_bytes(4, "little")
             elif len(data) > LONG:
-                self.pairs = self.pairs or {(a, b): m for a, b, m in self.halves}
-                found[word] = np.array(heap_contract([int(self.single[b]) for b in data], self.pairs), "<i4").tobytes()
+                found[word] = np.array(heap_contract([int(self.single[b]) for b in data], self.merges()), "<i4").tobytes()
             else:
                 block.append((word, data))
                 rows += len(data) * len(data) // 2 + 1
@@ -147,8 +146,6 @@ class ByteBpe:
                     rows = 0
         if block:
             flush()
-        if len(self.known) + len(found) > KEPT_WORDS:
-            self.known.clear()
         self.known.update((w, ids) for w, ids in found.items() if len(w) <= LONG)
         return found
 
@@ -159,11 +156,15 @@ class ByteBpe:
         size = 0
 
         def flush() -> None:
-            missing = {w for _, words in held for w in words if w not in self.known}
-            before = dict(self.known) if len(self.known) + len(missing) > KEPT_WORDS else self.known
-            found = self.learn(missing) if missing else {}
+            ids = self.known
+            if missing := {w for _, words in held for w in words if w not in ids}:
+                if len(ids) + len(missing) > KEPT_WORDS:
+                    ids, self.known = dict(ids), {}
+                found = self.learn(missing)
+                if ids is not self.known or any(len(w) > LONG for w in found):
+                    ids = ids | found
             for k, words in held:
-                out[k].append(b"".join([before[w] if w in before else found[w] for w in words]))
+                out[k].append(b"".join(map(ids.__getitem__, words)))
             held.clear()
 
         for k, text in enumerate(texts):
