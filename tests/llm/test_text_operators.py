@@ -264,10 +264,11 @@ def test_wrappers_learn_constants_groups_and_options():
     pages = [f"<div>Site</div><div><p>{a}</p>{'<p>more</p>' * n}</div><div>Contact</div>" for n, a in enumerate("abc")]
     streams = [wrappers.stream_of(*wrappers.read_page(p)) for p in pages]
     wrapper = wrappers.infer_wrapper(streams)
-    assert all(wrappers.roles_of(wrappers.with_roles(wrapper, False), s) is not None for s in streams)
+    assert all(wrappers.roles_of(wrappers.with_roles(wrapper), s) is not None for s in streams)
     assert "(" in wrappers.regex_of(wrapper) and "|" not in wrappers.regex_of(wrapper)
-    marked = json.loads(json.dumps(wrappers.with_roles(wrapper, True)))
-    assert [wrappers.main_text(p, wrappers.compiled(marked)) for p in pages] == ["a", "b more", "c more more"]
+    steps = wrappers.compiled(json.loads(json.dumps(wrappers.with_roles(wrapper))))
+    varies = [[bool(role & wrappers.VARIES) for role in wrappers.follow(steps, s)] for s in streams]
+    assert varies == [[False, True, False], [False, True, True, False], [False, True, True, True, False]]
 
 
 def random_page(rng, depth=3):
@@ -294,17 +295,17 @@ def test_a_wrapper_matches_every_stream_it_was_made_from(seed):
             wrapper = wrappers.infer_wrapper(streams[:n])
             assert "|" not in wrappers.regex_of(wrapper)
             for k in range(n):
-                roles = wrappers.roles_of(wrappers.with_roles(wrapper, False), streams[k])
+                roles = wrappers.roles_of(wrappers.with_roles(wrapper), streams[k])
                 assert roles is not None and len(roles) == sum(t[0] == "text" for t in streams[k])
 
 
 def test_matching_takes_choices_back():
     item = lambda t: ("tag", t)
-    wrapper = wrappers.with_roles([("maybe", (item("a"), item("b"))), ("plus", (item("a"), wrappers.SLOT)), ("maybe", (item("a"),)), item("c")], False)
+    wrapper = wrappers.with_roles([("maybe", (item("a"), item("b"))), ("plus", (item("a"), wrappers.SLOT)), ("maybe", (item("a"),)), item("c")])
     stream = lambda s: [item(x) if x != "t" else ("text", 1) for x in s]
     assert all(wrappers.roles_of(wrapper, stream(s)) is not None for s in ("ac", "abac", "aac", "atac", "ataatac"))
     assert all(wrappers.roles_of(wrapper, stream(s)) is None for s in ("c", "abc", "bac", "act", "atta"))
-    hard = wrappers.with_roles([("plus", (("maybe", (item("a"),)), ("maybe", (item("a"),)))) for _ in range(6)] + [item("b")], False)
+    hard = wrappers.with_roles([("plus", (("maybe", (item("a"),)), ("maybe", (item("a"),)))) for _ in range(6)] + [item("b")])
     assert wrappers.roles_of(hard, stream("a" * 400)) is None and wrappers.roles_of(hard, stream("a" * 400 + "b")) is not None
 
 
@@ -321,6 +322,73 @@ def test_pages(spark):
     assert wrappers.extract_pages(pages.where("false")).count() == 0
 
 
+#: Everyday markup around an article; names of furniture tell states, or stand on frames of whole pages.
+FRAMES = {
+    "with-sidebar": '<div id="content" class="site-content with-sidebar">{}</div>',
+    "share-enabled": '<div class="post share-enabled">{}</div>',
+    "comments-open": '<div class="entry comments-open">{}</div>',
+    "layout": '<div class="layout-sidebar-right"><article>{}</article></div>',
+    "form": '<form id="aspnetForm"><article>{}</article></form>',
+    "plain-form": '<form id="aspnetForm"><div id="x">{}</div></form>',
+    "sidebar-frame": '<div class="sidebar"><article>{}</article></div><section id="comments"><article class="comment-body"><p>A reader has a lot to say here, more than the article has, and goes on and on and on.</p></article></section>',
+    "readers": '<div class="page site"><article class="post comments-open">{}</article><div class="comments-area"><p>Readers.</p></div></div>',
+    "neutral-readers": '<div class="a1">{}</div><div class="comments"><p>' + "A reader's words. " * 30 + "</p></div>",
+    "neutral-menu": '<div class="x"><a href="1">Home</a> <a href="2">About us</a> <a href="3">Contact</a></div><div class="a1">{}</div>',
+    "search": '<form action="/"><label>Search the site</label><input></form><div class="a1">{}</div>',
+    "header-frame": '<div class="site-header"><div>{}</div></div>',
+    "role": '<div role="main" class="sidebar-layout">{}</div>',
+    "teasers": '<article>{}</article><article class="related"><h2>Other</h2><p>A teaser.</p></article>',
+    "own-furniture": '<main>{}<div class="share">Tell your friends</div><div class="ad">Buy</div></main>',
+    "card": '<div class="t">{}</div><div class="card-body">Small print</div>',
+}
+
+
+def test_names_of_furniture_take_no_article_away(spark):
+    rows, wanted = [], {}
+    for h, (name, frame) in enumerate(FRAMES.items()):
+        for n in range(8):
+            rows.append((100 * h + n, f"http://{name}.example/{n}", f"<html><body><div>Site</div>{frame.format(f'<h1>Title {n}</h1><p>Some text about matter {n * 7}, told at length.</p><p>And more of {n}.</p>')}<footer>me</footer></body></html>"))
+            wanted[100 * h + n] = f"Title {n} Some text about matter {n * 7}, told at length. And more of {n}."
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in wrappers.extract_pages(pages).collect()}
+    assert {k: t for k, t in got.items() if t != wanted[k] and k // 100 != list(FRAMES).index("card")} == {}
+    small_print = [got[100 * list(FRAMES).index("card") + n] for n in range(8)]
+    assert small_print == [wanted[100 * list(FRAMES).index("card") + n] for n in range(8)]
+
+
+def test_what_varies_over_a_host_outweighs_what_does_not(spark):
+    """The same page, as one of a host and alone: only the host's wrapper tells that the long part is the same everywhere."""
+    terms = "<div><p>" + "These terms are the same on every page. " * 20 + "</p></div>"
+    page = lambda n: f'<body>{terms}<div class="main-menu"><p>Story {n}.</p><p>It goes on to {n}.</p></div></body>'
+    rows = [(n, "http://many.example/", page(n)) for n in range(5)] + [(9, "http://one.example/", page(9))]
+    got = {r.page_id: r.text for r in wrappers.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "Story 3. It goes on to 3."
+    assert got[9].startswith("These terms") and "Story" not in got[9]
+
+
+def test_a_generated_site_with_neutral_names(spark):
+    """Every page against what it was generated from; the names of its elements tell nothing."""
+    rng = np.random.default_rng(11)
+    words = "lake house door stone river field road hill market ship grain wheel".split()
+    say = lambda n: " ".join(rng.choice(words, n)).capitalize() + "."
+    rows, wanted = [], {}
+    for h in range(4):
+        top = "".join(f'<span><a href="/{w}">{w}</a></span>' for w in words[h : h + 4])
+        bottom = f"<p>{say(9)}</p>"
+        for n in range(12):
+            title, parts = f"{say(3)} {h} {n}", [say(int(rng.integers(5, 40))) + f" {k}" for k in range(int(rng.integers(1, 7)))]
+            body = "".join(f"<p>{x}</p>" if k % 3 else f"<ul><li>{x}</li></ul>" for k, x in enumerate(parts))
+            rows.append((100 * h + n, f"http://n{h}.example/{n}", f'<body><div class="q{h}"><div>{top}</div></div><div class="r"><h2>{title}</h2>{body}</div><div class="z">{bottom}</div></body>'))
+            wanted[100 * h + n] = " ".join([title, *parts])
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in wrappers.extract_pages(pages).collect()} == wanted
+
+
+def test_pages_of_furniture_have_no_text():
+    assert wrappers.main_text('<nav>Menu</nav><div class="comments"><p>hello there</p></div><form>Name <input></form>') == ""
+    assert wrappers.main_text('<div class="sidebar"><p>One</p></div><div class="footer">Two</div>') == "One"  # named parts only: the largest
+
+
 PLAIN = "<html><body><div><p>Site name</p></div><div><p>{}</p></div><div><p>Contact us</p></div></body></html>"
 
 
@@ -338,10 +406,10 @@ def test_copies_and_unmatched_pages_keep_their_texts_and_lose_constants(spark):
 
 def test_wrappers_nest_groups_and_look_far_ahead():
     page = lambda counts: wrappers.stream_of(*wrappers.read_page("<ul>" + "".join("<li>" + "".join(f"<p>{i}{k}</p>" for k in range(n)) + "</li>" for i, n in enumerate(counts)) + "</ul>"))
-    wrapper = wrappers.with_roles(wrappers.infer_wrapper([page([1]), page([1, 2, 3]), page([2])]), False)
+    wrapper = wrappers.with_roles(wrappers.infer_wrapper([page([1]), page([1, 2, 3]), page([2])]))
     assert all(wrappers.roles_of(wrapper, page(c)) is not None for c in ([1], [1, 2, 3], [5, 1, 4, 2, 7], [9]))
     far = [wrappers.stream_of(*wrappers.read_page(f"<h1>t</h1>{'<hr><br>' * n}<p>{x}</p>")) for n, x in ((0, "a"), (300, "b"), (0, "c"))]
-    wrapper = wrappers.with_roles(wrappers.infer_wrapper(far[:2]), False)
+    wrapper = wrappers.with_roles(wrappers.infer_wrapper(far[:2]))
     assert wrappers.roles_of(wrapper, far[2]) is not None
 
 
