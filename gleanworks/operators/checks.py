@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanworks.functions.text import collapse, contains_quote, words
-from gleanworks.operators.retrieval import broadcast_if
+from gleanworks.operators.grams import containing
+from gleanworks.session import small
 
 CATEGORIES = ("costs", "coverage", "enrollment", "original_vs_advantage", "part_d", "medigap")
 DIFFICULTIES = ("easy", "medium", "hard")
@@ -39,10 +40,12 @@ def find_quotes(quotes: DataFrame, texts: DataFrame, key: str = "doc_id") -> Dat
 
     spots = t.select(key, F.explode(F.array_distinct(F.concat(none, *map(runs, sizes)))).alias("anchor"))
     # texts are fetched for the few that hold an anchor, not carried through the join
-    met = spots.join(broadcast_if(anchored.select("item_id", "anchor"), QUOTES), "anchor").select(key, "item_id").distinct()
+    met = spots.join(small(anchored.select("item_id", "anchor"), QUOTES, "anchors"), "anchor").select(key, "item_id").distinct()
     held = met.join(anchored.select("item_id", "quote"), "item_id").join(t.select(key, "body"), key).where(F.contains("body", F.col("quote"))).select("item_id", key)
-    short = broadcast_if(q.where(F.size("w") <= 2).select("item_id", "quote").distinct(), QUOTES)
-    return held.unionByName(t.join(short, F.contains("body", F.col("quote"))).select("item_id", key)).distinct()
+    short = q.where(F.size("w") <= 2).select("item_id", "quote")
+    if short.isEmpty():
+        return held.distinct()
+    return held.unionByName(containing(short, t.select(key, "body"), key=key).select("item_id", key)).distinct()
 
 
 def check_citations(citations: DataFrame, retrieved: DataFrame) -> DataFrame:

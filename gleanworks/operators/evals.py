@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanworks.operators.retrieval import broadcast_if
+from gleanworks.operators.intervals import points_in_ranges
+from gleanworks.session import small, staged
 
 #: Groups whose bounds are broadcast; beyond, they are joined.
 GROUPS = 100_000
+#: Accuracy of rank sketches, and how far from a rank their bounds are put: about three times the usual error.
+SKETCH_K, SLACK = 400, 0.02
 
 
 def covers(start: Column, end: Column, page: Column) -> Column:
@@ -34,13 +37,11 @@ def golden_pages(questions: DataFrame, golden: DataFrame) -> DataFrame:
 
 
 def coverage(items: DataFrame, hits: DataFrame) -> DataFrame:
-    """qid, page, rank: the best rank of a passage that covers each expected page; null if none.
-
-    Ranges are spread into their pages, so the band join is an equi-join on (qid, page).
-    """
-    covered = hits.select("qid", "rank", F.explode(F.sequence("page_start", "page_end")).alias("satisfies"))
+    """qid, page, rank: the best rank of a passage that covers each expected page; null if none."""
     wanted = expected_pages(items)
-    return wanted.join(covered, ["qid", "satisfies"], "left").groupBy("qid", "page").agg(F.min("rank").alias("rank"))
+    met = points_in_ranges(wanted, hits.select("qid", "rank", "page_start", "page_end"), ["qid"], "satisfies", "page_start", "page_end")
+    best = met.groupBy("qid", "page").agg(F.min("rank").alias("rank"))
+    return wanted.select("qid", "page").distinct().join(best, ["qid", "page"], "left")
 
 
 def retrieval_metrics(items: DataFrame, hits: DataFrame) -> DataFrame:
@@ -67,24 +68,68 @@ def average_precision(rows: DataFrame, by: str = "qid") -> DataFrame:
     return at.groupBy(by).agg(F.coalesce(F.avg("precision"), F.lit(0.0)).alias("average_precision"))
 
 
-def nearest_rank(rows: DataFrame, by: str, value: str, percents: tuple[int, ...]) -> DataFrame:
-    """by, p50, ...: values at rank max(1, ceil(p n / 100)), in integers.
+def _told(value: str) -> Column:
+    return F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
+
+
+def rank_sketches(rows: DataFrame, by: str, value: str, k: int = SKETCH_K) -> DataFrame:
+    """by, n, sketch: a mergeable sketch of the ranks of each group's values, to be stored."""
+    told = rows.where(_told(value))
+    return told.groupBy(by).agg(F.count("*").alias("n"), F.kll_sketch_agg_double(F.col(value).cast("double"), F.lit(k)).alias("sketch"))
+
+
+def merged_sketches(sketches: DataFrame, by: str) -> DataFrame:
+    """Stored sketches of several days or parts as one of each group."""
+    return sketches.groupBy(by).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch").alias("sketch"))
+
 
-    An approximate quantile a little under and one over each rank bound where the value lies.
-    What is under the lower bound is only counted, and what lies between is counted by value,
-    so that about a hundredth of a group is ranked, and a group of any size is no one's task.
+def nearest_rank(rows: DataFrame, by: str, value: str, percents: tuple[float, ...], sketches: DataFrame | None = None, slack: float = SLACK) -> DataFrame:
+    """by, p50, ...: values at rank max(1, ceil(p n / 100)); null and NaN take no part, and a group of those has no row."""
+    rank = lambda p: F.greatest(F.lit(1), F.ceil(F.round(F.col("n") * F.lit(float(p)) / 100, 6)))
+    return values_at(rows, by, value, {f"p{p}": (p / 100, rank(p)) for p in percents}, sketches, slack)
+
+
+def median(rows: DataFrame, by: str, value: str, sketches: DataFrame | None = None) -> DataFrame:
+    """by, median: the middle value, or the mean of the two in the middle."""
+    n = F.col("n")
+    two = values_at(rows, by, value, {"lower": (0.5, F.floor((n + 1) / 2)), "upper": (0.5, F.floor(n / 2) + 1)}, sketches)
+    return two.select(by, ((F.col("lower") + F.col("upper")) / 2).alias("median"))
+
+
+def values_at(rows: DataFrame, by: str, value: str, spots: dict[str, tuple[float, Column]], sketches: DataFrame | None = None, slack: float = SLACK) -> DataFrame:
+    """by and a column for each spot: the value at a rank, given as about what share of the rows it is and as an expression of ``n``.
+
+    Sketches (those given, of just these rows, or made in a first scan) tell two values that
+    the rank should lie between. A second scan counts what lies under them, and what lies between
+    by value, so that a few hundredths of a group are ranked, and a group of any size is no
+    one's task. A sketch may err: groups whose rank does not lie between, as the counts show, are
+    counted by value as a whole.
+    """
+    told = rows.where(_told(value)).select(by, F.col(value).alias("v"))
+    made = rank_sketches(rows, by, value) if sketches is None else sketches
+    bound = lambda share: F.kll_sketch_get_quantile_double("sketch", F.lit(min(1.0, max(0.0, share))))
+    asked = F.array(*[F.struct(F.lit(name).alias("spot"), rank.cast("long").alias("rank"), bound(share - slack).alias("low"), bound(share + slack).alias("high")) for name, (share, rank) in spots.items()])
+    spans = small(made.select(by, asked.alias("spans")), GROUPS, "spans")
+    near = told.join(spans, by).select(by, "v", F.explode("spans").alias("s")).where(F.col("v") <= F.col("s.high"))
+    inside = F.when(F.col("v") >= F.col("s.low"), F.col("v"))
+    found = staged(_at_ranks(near.select(by, F.col("s.spot").alias("spot"), F.col("s.rank").alias("rank"), inside.alias("v")), by), "ranks")
+    missed = found.where("v is null").select(by, "spot", "rank")
+    if not missed.isEmpty():
+        whole = told.join(small(missed, GROUPS * len(spots), "missed"), by)
+        found = found.where("v is not null").unionByName(_at_ranks(whole.select(by, "spot", "rank", "v"), by))
+    kind = dict(rows.dtypes)[value]
+    return found.groupBy(by).agg(*[F.min(F.when(F.col("spot") == name, F.col("v"))).cast(kind).alias(name) for name in spots])
+
+
+def _at_ranks(values: DataFrame, by: str) -> DataFrame:
+    """by, spot, rank, v: the value at the rank of each spot, of (by, spot, rank, v) rows; null where it lies under all values told, or over them.
+
+    A null value is what is only known to lie under the others.
     """
-    told = rows.where(F.col(value).isNotNull()).select(by, F.col(value).alias("v"))
-    bounds = lambda d: F.array(*[F.lit(min(1.0, max(0.0, p / 100 + d))) for p in percents])
-    quantile = lambda d: F.percentile_approx("v", bounds(d), F.lit(1000))
-    sizes = told.groupBy(by).agg(F.count("*").alias("n"), quantile(-0.003).alias("low"), quantile(0.003).alias("high"))
-    spans = F.arrays_zip(F.array(*[F.lit(p) for p in percents]).alias("p"), "low", "high")
-    near = told.join(broadcast_if(sizes, GROUPS), by).select(by, "n", "v", F.explode(spans).alias("s")).where(F.col("v") <= F.col("s.high"))
-    counts = near.groupBy(by, "n", F.col("s.p").alias("p"), F.when(F.col("v") >= F.col("s.low"), F.col("v")).alias("v")).agg(F.count("*").alias("of"))
-    upto = F.sum("of").over(Window.partitionBy(by, "p").orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, 0))
-    wanted = F.greatest(F.lit(1), F.floor((F.col("n") * F.col("p") + 99) / 100))
-    at = counts.withColumn("upto", upto).where(F.col("upto") >= wanted)
-    return at.groupBy(by).agg(*[F.min(F.when(F.col("p") == p, F.col("v"))).alias(f"p{p}") for p in percents])
+    counts = values.groupBy(by, "spot", "rank", "v").agg(F.count("*").alias("of"))
+    upto = F.sum("of").over(Window.partitionBy(by, "spot").orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, 0))
+    reached = counts.withColumn("upto", upto).withColumn("upto", F.when(F.col("upto") >= F.col("rank"), F.col("upto")))
+    return reached.groupBy(by, "spot", "rank").agg(F.min_by("v", "upto").alias("v"))
 
 
 def manual_pass(verdict: Column) -> Column:

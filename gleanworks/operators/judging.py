@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleanworks.operators.intervals import points_in_ranges
+from gleanworks.session import staged
+
 #: Metrics that a judge scores, and those of them that need an answer.
 JUDGED = ("context_recall", "context_precision", "faithfulness", "answer_relevance")
 NEED_ANSWER = ("faithfulness", "answer_relevance")
@@ -97,7 +100,8 @@ def answer_metrics(questions: DataFrame, citations: DataFrame, covering: DataFra
     ``covering`` qid and page: the pages that count. A question without an answer has neither
     metric, an unanswerable one only the second.
     """
-    cited = citations.select("qid", F.explode(F.sequence("page_start", "page_end")).alias("page")).join(covering, ["qid", "page"], "left_semi").select("qid").distinct().withColumn("hit", F.lit(1.0))
+    met = points_in_ranges(covering.select("qid", "page").distinct(), citations.select("qid", "page_start", "page_end"), ["qid"], "page", "page_start", "page_end")
+    cited = met.select("qid").distinct().withColumn("hit", F.lit(1.0))
     joined = questions.join(cited, "qid", "left")
     return joined.select(
         "qid",
@@ -131,6 +135,7 @@ def run_report(scores: DataFrame, by: str = "config") -> DataFrame:
     """
     from gleanworks.operators.evals import nearest_rank
 
+    scores = staged(scores, "scores")  # read by the report and by the ranks
     whole = F.count_if(F.col("cost_usd").isNull() | F.col("latency_ms").isNull()) == 0
     serving = lambda made: F.when(whole, made)
     report = scores.groupBy(by).agg(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gleanworks.functions.stem import stem
 from gleanworks.functions.text import lexemes, words
-from gleanworks.session import ship_package, staged
+from gleanworks.session import ship_package, small, staged
 
 CANDIDATES, TOP_K, RRF_K, RERANK_POOL = 20, 5, 60, 20
 #: Lexemes, or pairs of question and lexeme, that are broadcast; beyond, they are joined.
@@ -28,33 +28,32 @@ def ranked(rows: DataFrame, by: str, order: list[Column], limit: int | None = No
     return out if limit is None else out.where(F.col(name) <= limit)
 
 
-def broadcast_if(rows: DataFrame, limit: int) -> DataFrame:
-    """``rows``, marked for broadcast where a count finds no more than ``limit`` of them."""
-    return F.broadcast(rows) if rows.limit(limit + 1).count() <= limit else rows
-
-
 def postings(passages: DataFrame, asked: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, lexeme, n: how often each lexeme stands in each passage; an inverted index as rows.
 
     With ``asked`` (lexeme), only those lexemes: they are told apart where the text is read,
-    before anything is grouped.
+    before anything is grouped. Mark it for broadcast where it is small.
     """
     spelled = passages.where(F.col(text).isNotNull()).select(key, F.explode(lexemes(F.col(text))).alias("lexeme"))
     if asked is not None:
-        spelled = spelled.join(broadcast_if(asked.select("lexeme").distinct(), ASKED), "lexeme", "left_semi")
+        spelled = spelled.join(asked.select("lexeme"), "lexeme", "left_semi")
     return spelled.groupBy(key, "lexeme").agg(F.count("*").alias("n"))
 
 
-def stemmed(rows: DataFrame, lexeme: str = "lexeme") -> DataFrame:
-    """Rows with English stems for lexemes: every distinct lexeme is stemmed once."""
+def stemmed_lexemes(rows: DataFrame) -> DataFrame:
+    """form, stem: the English stem of every distinct lexeme of (lexeme) rows."""
     ship_package(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([stem(w) for w in batch.column(0).to_pylist()], pa.string())], [lexeme, "__stem"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([stem(w) for w in batch.column(0).to_pylist()], pa.string())], ["form", "stem"])
+
+    return rows.select(F.col("lexeme").alias("form")).distinct().mapInArrow(run, "form string, stem string")
+
 
-    stems = rows.select(lexeme).distinct().mapInArrow(run, f"{lexeme} string, __stem string")
-    return rows.join(stems, lexeme).withColumn(lexeme, F.col("__stem")).drop("__stem")
+def stemmed(rows: DataFrame) -> DataFrame:
+    """(…, lexeme) rows with English stems for lexemes: every distinct lexeme is stemmed once."""
+    return rows.join(stemmed_lexemes(rows).withColumnRenamed("form", "lexeme"), "lexeme").withColumn("lexeme", F.col("stem")).drop("stem")
 
 
 def asked_lexemes(questions: DataFrame) -> DataFrame:
@@ -70,10 +69,16 @@ def lexical_search(questions: DataFrame, passages: DataFrame, limit: int = CANDI
     """
     asked = asked_lexemes(questions)
     if stems:
-        asked, index = stemmed(asked).distinct(), stemmed(postings(passages, None, key))
+        # the corpus's lexemes with an asked stem are all that is counted
+        asked = small(stemmed(asked).distinct(), ASKED, "asked")
+        spelled = stemmed_lexemes(passages.where("text is not null").select(F.explode(lexemes(F.col("text"))).alias("lexeme")))
+        forms = small(spelled.join(asked.select("lexeme").distinct(), F.col("stem") == F.col("lexeme"), "left_semi"), ASKED, "forms")
+        found = postings(passages, forms.select(F.col("form").alias("lexeme")), key).withColumnRenamed("lexeme", "form")
+        index = found.join(forms, "form").select(key, F.col("stem").alias("lexeme"), "n")
     else:
+        asked = small(asked, ASKED, "asked")
         index = postings(passages, asked, key)
-    scored = broadcast_if(asked, ASKED).join(index, "lexeme").groupBy("qid", key).agg((F.sum("n") * POSITION_WEIGHT).alias("score"))
+    scored = asked.join(index, "lexeme").groupBy("qid", key).agg((F.sum("n") * POSITION_WEIGHT).alias("score"))
     return ranked(scored, "qid", [F.desc("score"), F.col(key)], limit)
 
 

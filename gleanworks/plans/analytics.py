@@ -8,7 +8,7 @@ from gleanworks.functions import calendar, money
 from gleanworks.functions.text import written
 from gleanworks.operators import checks, chunking, evals, retrieval, traces
 from gleanworks.plans.passages import _SEARCH, _WINDOWS, docs, lexical, query, windows
-from gleanworks.session import table
+from gleanworks.session import staged, table
 from gleanworks.sources import store
 
 # ------------------------------------------------------------------ coverage and metrics
@@ -247,7 +247,9 @@ def step_times(spark, sf_dir):
 def generation_share(spark, sf_dir):
     t = traces.step_times(calls(spark, sf_dir), KINDS)
     total = sum((F.col(k) for k in KINDS[1:]), F.col(KINDS[0]))
-    return t.where(total > 0).agg(F.round(F.percentile(F.col("generation") / total, 0.5), 9).alias("median_share"), F.count("*").alias("traces"))
+    shares = staged(t.where(total > 0).select(F.lit(0).alias("all"), (F.col("generation") / total).alias("share")), "shares")
+    middle = evals.median(shares, "all", "share")
+    return shares.groupBy("all").agg(F.count("*").alias("traces")).join(F.broadcast(middle), "all", "left").select(F.round("median", 9).alias("median_share"), "traces")  # one row
 
 
 _TOOLS = "('0'), ('1'), ('2'), ('3'), ('9')"

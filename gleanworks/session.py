@@ -6,7 +6,8 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 PACKAGE_ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -68,6 +69,19 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def staged_count(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """``staged``, and the number of rows, counted while they are written."""
+    seen = Observation()
+    written = staged(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+    return written, seen.get["n"]
+
+
+def small(df: DataFrame, limit: int, name: str = "small") -> DataFrame:
+    """``df`` written once, and marked for broadcast where it has no more than ``limit`` rows."""
+    written, n = staged_count(df, name)
+    return F.broadcast(written) if n <= limit else written
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's Parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

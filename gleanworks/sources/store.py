@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleanworks.operators.intervals import points_in_ranges
+
 #: Columns of the corpus tables.
 DOCUMENTS = "id bigint, edition int, title string, source_url string, sha256 string, page_count int, ingested_at timestamp"
 PAGES = "document_id bigint, page_number int, text string"
@@ -36,9 +38,9 @@ def replace_set(current: DataFrame, new: DataFrame, keys: list[str]) -> DataFram
 
 
 def page_chunks(chunks: DataFrame, pages: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Chunks that cover each asked (key, page), by ordinal."""
-    spread = chunks.withColumn("page", F.explode(F.sequence("page_start", "page_end")))
-    return spread.join(pages, [key, "page"], "left_semi" if set(pages.columns) == {key, "page"} else "inner")
+    """Chunks that cover each asked (key, page); other columns of ``pages`` come along."""
+    asked = pages.distinct() if set(pages.columns) == {key, "page"} else pages
+    return points_in_ranges(asked, chunks, [key], "page", "page_start", "page_end")
 
 
 def health(documents: DataFrame, chunks: DataFrame, key: str = "doc_id") -> DataFrame:
