@@ -17,7 +17,9 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,9 @@ from gleanworks.session import staged, table
 
 VOCABULARY_A, VOCABULARY_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Stretches a worker keeps; beyond that it starts anew.
-KEPT = 200_000
+KEPT = 400_000
+#: Texts whose new stretches are learned together, and stretches given to the tokenizer as one text.
+TEXTS, TOGETHER = 256, 256
 #: Characters of a text aligned at a time; it bounds memory, never what is read.
 BLOCK = 1 << 20
 #: Rows of pair counts broadcast at a time, about 100 MB as a hash table; more pairs take more passes.
@@ -84,19 +88,39 @@ class Aligner:
         self.groups: list[str] = []
         self.pairs: list[np.ndarray] = []
 
+    def ids_a(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The A ids of all stretches in one run, and how many each has.
+
+        Stretches that neither start nor end with white space are tokenised together, some at a
+        time: there is a cut between any two of them.
+        """
+        plain = [k for k, s in enumerate(stretches) if s and not s[0].isspace() and not s[-1].isspace()]
+        blocks = [plain[at : at + TOGETHER] for at in range(0, len(plain), TOGETHER)]
+        rest = sorted(set(range(len(stretches))) - set(plain))
+        asked = ["".join([" " + stretches[k] for k in block]) for block in blocks] + [" " + stretches[k] for k in rest]
+        made = [np.array(e.ids, np.int64) for e in self.a.encode_batch_fast(asked, add_special_tokens=False)]
+        parts: list[np.ndarray] = [made[0]] * len(stretches) if made else []
+        for block, ids in zip(blocks, made, strict=False):
+            ends = np.cumsum([len(stretches[k].encode()) + 1 for k in block])
+            stops = np.searchsorted(np.cumsum(self.sizes_a[ids]), ends, "right").tolist()
+            for k, low, high in zip(block, [0, *stops], stops, strict=False):
+                parts[k] = ids[low:high]
+        for k, ids in zip(rest, made[len(blocks) :], strict=True):
+            parts[k] = ids
+        return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+
     def learn(self, stretches: list[str]) -> None:
         """Tokenises and aligns stretches that are not known."""
         if not stretches:
             return
-        whole = [b" " + s.encode() for s in stretches]
-        ids_a = [e.ids for e in self.a.encode_batch_fast([" " + s for s in stretches], add_special_tokens=False)]
+        flat_a, counts_a = self.ids_a(stretches)
         ids_b = self.b.encode(stretches, num_threads=1)
-        same = [b"".join(map(self.bytes_a.__getitem__, x)) == w == b"".join(map(self.bytes_b.__getitem__, y)) for x, y, w in zip(ids_a, ids_b, whole, strict=True)]
-        if not all(same):
-            ids_a = [x if ok else [] for x, ok in zip(ids_a, same, strict=True)]
-            ids_b = [y if ok else [] for y, ok in zip(ids_b, same, strict=True)]
-        counts_a, counts_b = np.array([len(x) for x in ids_a]), np.array([len(y) for y in ids_b])
-        flat_a, flat_b = (np.array([i for x in side for i in x], np.int64) for side in (ids_a, ids_b))
+        counts_b = np.fromiter(map(len, ids_b), np.int64, len(ids_b))
+        flat_b = np.fromiter(chain.from_iterable(ids_b), np.int64, counts_b.sum())
+        same = self._same(stretches, flat_a, counts_a, flat_b, counts_b)
+        if not same.all():  # such stretches have no tokens
+            flat_a, flat_b = flat_a[np.repeat(same, counts_a)], flat_b[np.repeat(same, counts_b)]
+            counts_a, counts_b = counts_a * same, counts_b * same
         # all stretches as one run of bytes: tokens overlap in it only within a stretch
         end_a, end_b = np.cumsum(self.sizes_a[flat_a]), np.cumsum(self.sizes_b[flat_b])
         start_a, start_b = end_a - self.sizes_a[flat_a], end_b - self.sizes_b[flat_b]
@@ -105,45 +129,72 @@ class Aligner:
         of_a = np.repeat(np.arange(len(flat_a)), links)
         of_b = np.arange(links.sum()) - np.repeat(np.cumsum(links) - links, links) + np.repeat(first, links)
         codes = (flat_a[of_a] << 32) | flat_b[of_b]
-        cuts_a, cuts_b = np.isin(end_a, end_b), np.isin(end_b, end_a)
-        at_a, at_b, at_link = 0, 0, 0
-        per_a = np.concatenate([[0], np.cumsum(links)])
+        # both have the same cuts, in the same order
+        cut_a, cut_b = np.flatnonzero(np.isin(end_a, end_b)) + 1, np.flatnonzero(np.isin(end_b, end_a)) + 1
         text_a, text_b = list(map(str, flat_a.tolist())), list(map(str, flat_b.tolist()))
-        while len(self.numbers) < len(self.known) + len(stretches):
+        lists = (cut_a.tolist(), cut_b.tolist())
+        groups = [f"{','.join(text_a[p:q])}|{','.join(text_b[r:s])}" for p, q, r, s in zip([0, *lists[0]], lists[0], [0, *lists[1]], lists[1], strict=False)]
+        to_a = np.cumsum(counts_a)
+        to_group = np.searchsorted(cut_a, to_a, "right")
+        to_link = np.concatenate([[0], np.cumsum(links)])[to_a]
+        numbers = np.stack([np.where(same, counts_a, -1), counts_b, np.diff(to_group, prepend=0), np.diff(to_link, prepend=0)], axis=1)
+        size = len(self.groups)
+        while len(self.numbers) < size + len(stretches):
             self.numbers = np.concatenate([self.numbers, np.zeros_like(self.numbers)])
-        for stretch, ok, n_a, n_b in zip(stretches, same, counts_a.tolist(), counts_b.tolist(), strict=True):
-            to_a, to_b = at_a + n_a, at_b + n_b
-            to_link = int(per_a[to_a])
-            ends_a = [at_a, *(np.flatnonzero(cuts_a[at_a:to_a]) + at_a + 1).tolist()]
-            ends_b = [at_b, *(np.flatnonzero(cuts_b[at_b:to_b]) + at_b + 1).tolist()]
-            groups = [f"{','.join(text_a[p:q])}|{','.join(text_b[r:s])}" for p, q, r, s in zip(ends_a, ends_a[1:], ends_b, ends_b[1:], strict=False)]
-            self.numbers[len(self.groups)] = (n_a if ok else -1, n_b, len(groups), to_link - at_link)
-            self.known[stretch] = len(self.groups)
-            self.groups.append(";".join(groups))
-            self.pairs.append(codes[at_link:to_link])
-            at_a, at_b, at_link = to_a, to_b, to_link
+        self.numbers[size : size + len(stretches)] = numbers
+        self.known.update(zip(stretches, range(size, size + len(stretches)), strict=True))
+        ends, stops = to_group.tolist(), to_link.tolist()
+        self.groups += [";".join(groups[p:q]) for p, q in zip([0, *ends], ends, strict=False)]
+        self.pairs += [codes[p:q] for p, q in zip([0, *stops], stops, strict=False)]
+
+    def _same(self, stretches: list[str], flat_a: np.ndarray, counts_a: np.ndarray, flat_b: np.ndarray, counts_b: np.ndarray) -> np.ndarray:
+        """Of which stretches both sides' bytes are its own."""
+        whole = [b" " + s.encode() for s in stretches]
+        sizes, data, out = np.fromiter(map(len, whole), np.int64, len(whole)), b"".join(whole), np.ones(len(whole), bool)
+        for flat, counts, texts, lengths in ((flat_a, counts_a, self.bytes_a, self.sizes_a), (flat_b, counts_b, self.bytes_b, self.sizes_b)):
+            own = np.add.reduceat(np.append(lengths[flat], 0), np.cumsum(counts) - counts) * (counts > 0)
+            pieces = list(map(texts.__getitem__, flat.tolist()))
+            if (own == sizes).all() and b"".join(pieces) == data:
+                continue
+            ends = np.cumsum(counts).tolist()
+            out &= [b"".join(pieces[p:q]) == w for p, q, w in zip([0, *ends], ends, whole, strict=False)]
+        return out
 
     def align(self, texts: list[str]) -> list[tuple[np.ndarray, str, np.ndarray, np.ndarray] | None]:
         """Of each text the four numbers, the hash of its groups, its pairs and how many links hold each; None where bytes differ."""
         made = []
-        for text in texts:
+        for at in range(0, len(texts), TEXTS):
+            made += self._aligned(texts[at : at + TEXTS])
+        return made
+
+    def _aligned(self, texts: list[str]) -> list:
+        if len(self.known) > KEPT:
+            self.forget()
+        known = self.known
+        first = [next(stretches(t), []) for t in texts]  # all of a text, but for very long ones
+        self.learn(list({w for words in first for w in words if w not in known}))
+        made = []
+        for text, words in zip(texts, first, strict=True):
+            parts = [words] if len(text) <= BLOCK else stretches(text)
             total, digest, codes, weights = np.zeros(4, np.int64), hashlib.sha256(), [], []
-            for n, words in enumerate(stretches(text)):
-                if len(self.known) > KEPT:
-                    self.forget()
-                self.learn([w for w in dict.fromkeys(words) if w not in self.known])
-                at = np.array(list(map(self.known.__getitem__, words)))
+            for n, words in enumerate(parts):
+                if n:
+                    self.learn([w for w in dict.fromkeys(words) if w not in known])
+                at = list(map(known.__getitem__, words))
                 numbers = self.numbers[at]
                 if numbers[:, 0].min() < 0:
                     break
                 total += numbers.sum(axis=0)
-                digest.update(((";" if n else "") + ";".join([self.groups[k] for k in at.tolist()])).encode())
-                different, times = np.unique(at, return_counts=True)
-                codes += [self.pairs[k] for k in different.tolist()]
-                weights.append(np.repeat(times, self.numbers[different, 3]))
+                digest.update(((";" if n else "") + ";".join(map(self.groups.__getitem__, at))).encode())
+                times = Counter(at)
+                codes += map(self.pairs.__getitem__, times)
+                weights.append(np.repeat(np.fromiter(times.values(), np.int64, len(times)), self.numbers[list(times), 3]))
             else:
-                pairs, which = np.unique(np.concatenate(codes), return_inverse=True)
-                made.append((total, digest.hexdigest(), pairs, np.bincount(which, np.concatenate(weights)).astype(np.int64)))
+                pairs, weight = np.concatenate(codes), np.concatenate(weights)
+                order = np.argsort(pairs)
+                pairs, weight = pairs[order], weight[order]
+                edges = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
+                made.append((total, digest.hexdigest(), pairs[edges], np.add.reduceat(weight, edges)))
                 continue
             made.append(None)
         return made
