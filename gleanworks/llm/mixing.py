@@ -27,12 +27,18 @@ DIMENSIONS = ("source", "lang", "topic")
 
 @dataclass(frozen=True)
 class Settings:
-    """``temperature`` by dimension: a value's target is its share of tokens to that power, normalized.
-
-    1 keeps a marginal as it is, 0 makes it even. ``fraction`` of all tokens is kept in the
-    mean, copies counted. Raking ends at ``tolerance``, or after ``sweeps`` with a warning.
+    """``targets`` by dimension: the wanted share of the kept tokens of each value named there.
+
+    What the named values of a dimension leave is for its other values, by ``temperature``: their shares of tokens to
+    that power, normalized (1 keeps them as they are, 0 makes them even). With no values left
+    over, the named shares have to add up to 1. ``fraction`` of all tokens is kept in the mean,
+    copies counted. Raking ends at ``tolerance``, or after ``sweeps``: with a warning, or, where
+    targets were named, with an error, for the cells cannot meet them. Named values that no
+    document has raise, too.
     """
 
+    targets: Mapping[str, Mapping[str, float]] = field(default_factory=dict)
+
     temperature: Mapping[str, float] = field(default_factory=lambda: {"source": 0.5, "lang": 0.7, "topic": 0.8})
     fraction: float = 0.7
     sweeps: int = 15
@@ -74,7 +80,7 @@ def describe(docs: DataFrame, settings: Settings = Settings(), topic: Column | N
 
 
 def rake(cells: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Column ``weight`` (the raked tokens) for cells (source, lang, topic, tokens > 0).
+    """Columns ``weight`` (the raked tokens) and ``<dimension>_target`` for cells (source, lang, topic, tokens > 0).
 
     A sweep scales the cells to the sources', languages' and topics' targets in turn. It is
     the last one if what the later factors do to a cell, and so to an earlier marginal, is
@@ -83,27 +89,54 @@ def rake(cells: DataFrame, settings: Settings = Settings()) -> DataFrame:
     counted = staged(cells, "cells")
     total = counted.agg(F.sum("tokens")).first()[0]
     if not total:
-        return counted.withColumn("weight", F.col("tokens").cast("double"))
+        return counted.withColumns({"weight": F.col("tokens").cast("double"), **{f"{name}_target": F.col("tokens").cast("double") for name in DIMENSIONS}})
     aimed = counted.withColumn("weight", F.col("tokens").cast("double"))
     for name in DIMENSIONS:
-        shares = counted.groupBy(name).agg(F.pow(F.sum("tokens") / F.lit(float(total)), F.lit(float(settings.temperature[name]))).alias("raised"))
-        scale = shares.agg(F.sum("raised")).first()[0]
-        aimed = aimed.join(shares.select(name, (F.col("raised") * F.lit(total / scale)).alias(f"{name}_target")), name)
+        aimed = aimed.join(aims(counted, name, total, settings), name)
     raked, most = staged(aimed, "cells"), float("inf")
     fixed = [*DIMENSIONS, "tokens", *[f"{name}_target" for name in DIMENSIONS]]
     for _ in range(settings.sweeps):
         swept = raked.select(*fixed, "weight")
         for name in DIMENSIONS:
-            factor = swept.groupBy(name).agg((F.max(f"{name}_target") / F.sum("weight")).alias(f"{name}_factor"))
+            held = F.sum("weight")  # 0 where nothing is wanted, or nothing is left
+            factor = swept.groupBy(name).agg(F.when(held > 0, F.max(f"{name}_target") / held).when(F.max(f"{name}_target") > 0, F.lit(float("inf"))).otherwise(1.0).alias(f"{name}_factor"))
             swept = swept.join(factor, name).withColumn("weight", F.col("weight") * F.col(f"{name}_factor"))
         of_sources, of_langs = F.col("lang_factor") * F.col("topic_factor"), F.col("topic_factor")
         raked = staged(swept.select(*fixed, "weight", F.greatest(F.abs(of_sources - 1), F.abs(of_langs - 1)).alias("off")), "cells")
-        most = raked.agg(F.max("off")).first()[0]
+        most = raked.agg(F.max(F.when(F.col("weight") != 0, F.col("off")))).first()[0] or 0.0
         if most <= settings.tolerance:
             break
-    else:
-        warnings.warn(f"raking stopped after {settings.sweeps} sweeps, a marginal up to {most:.2g} off its target: the tolerance is {settings.tolerance:.2g}", stacklevel=2)
-    return raked.select(*DIMENSIONS, "tokens", "weight")
+    if not most <= settings.tolerance:
+        why = f"raking stopped after {settings.sweeps} sweeps, a marginal up to {most:.2g} off its target: the tolerance is {settings.tolerance:.2g}"
+        if settings.targets:
+            worst = marginals(raked).orderBy(F.desc(F.abs(F.col("target") - F.col("share")))).limit(3).collect()
+            raise ValueError(f"{why}; furthest off: {', '.join(f'{r.dimension} {r.value} {r.share:.4f} for {r.target:.4f}' for r in worst)}")
+        warnings.warn(why, stacklevel=2)
+    return raked.select(*fixed, "weight")
+
+
+def aims(cells: DataFrame, name: str, total: int, settings: Settings) -> DataFrame:
+    """Each value of a dimension and ``<name>_target``, the tokens wanted of it."""
+    named = settings.targets.get(name, {})
+    given = F.create_map(*[F.lit(x) for pair in named.items() for x in (str(pair[0]), float(pair[1]))]) if named else F.create_map().cast("map<string,double>")
+    values = cells.groupBy(name).agg(F.pow(F.sum("tokens") / F.lit(float(total)), F.lit(float(settings.temperature[name]))).alias("raised")).withColumn("given", F.try_element_at(given, F.col(name)))
+    found, others = values.agg(F.count("given"), F.sum(F.when(F.col("given").isNull(), F.col("raised")))).first()
+    if found < len(named):
+        have = {r[0] for r in values.where("given is not null").select(name).collect()}  # named ones only
+        raise ValueError(f"targets for values of {name} that no document has: {sorted(set(map(str, named)) - have)}")
+    rest = 1.0 - sum(named.values())
+    if min(named.values(), default=0.0) < 0 or rest < -1e-9 or (others is None and abs(rest) > 1e-9):
+        raise ValueError(f"the targets of {name} add up to {1.0 - rest}")
+    share = F.coalesce("given", F.col("raised") * F.lit(max(0.0, rest) / (others or 1.0)))
+    return values.select(name, (share * F.lit(float(total))).alias(f"{name}_target"))
+
+
+def marginals(raked: DataFrame) -> DataFrame:
+    """dimension, value, target and share (of the kept tokens in the mean) of every value of raked cells."""
+    rows = raked.select("weight", F.inline(F.array(*[F.struct(F.lit(n).alias("dimension"), F.col(n).alias("value"), F.col(f"{n}_target").alias("aim")) for n in DIMENSIONS])))
+    by_value = rows.groupBy("dimension", "value").agg(F.max("aim").alias("aim"), F.sum("weight").alias("weight"))
+    sums = by_value.groupBy("dimension").agg(F.sum("aim").alias("aims"), F.sum("weight").alias("weights"))  # a row for each dimension
+    return by_value.join(F.broadcast(sums), "dimension").select("dimension", "value", (F.col("aim") / F.col("aims")).alias("target"), (F.col("weight") / F.col("weights")).alias("share"))
 
 
 def mixed(described: DataFrame, settings: Settings = Settings()) -> DataFrame:

@@ -539,6 +539,65 @@ def test_raking_meets_its_targets(spark, odd_docs, no_docs):
     assert mixing.mix(no_docs).count() == 0
 
 
+def brute_rake(cells, targets, sweeps=200):
+    """Shares by the given targets, dimension after dimension; ``cells`` maps (source, lang, topic) to tokens."""
+    weight = {k: float(v) for k, v in cells.items()}
+    total = sum(weight.values())
+    for _ in range(sweeps):
+        for d, own in enumerate(targets):
+            now = Counter()
+            for k, w in weight.items():
+                now[k[d]] += w
+            weight = {k: w * own[k[d]] * total / now[k[d]] if now[k[d]] else 0.0 for k, w in weight.items()}
+    return weight
+
+
+def test_named_targets_are_met(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, "w " * int(rng.integers(1, 300)), "abc"[int(rng.choice(3, p=[0.8, 0.15, 0.05]))], ["en", "fr", "de"][int(rng.choice(3, p=[0.7, 0.2, 0.1]))]) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    targets = {"source": {"a": 0.3, "b": 0.4, "c": 0.3}, "lang": {"fr": 0.5}}
+    settings = mixing.Settings(targets=targets, temperature={"source": 1.0, "lang": 1.0, "topic": 1.0}, tolerance=1e-7, sweeps=60)
+    mixed = [r.asDict() for r in mixing.mix(docs, settings, topic=mixing.F.lit("t")).collect()]
+    cells, kept = Counter(), Counter()
+    for r in mixed:
+        cell = r["__source"], r["__lang"], r["__topic"]
+        cells[cell] += r["__tokens"]
+        kept[cell] += r["__tokens"] * r["__probability"]
+    by_lang = Counter()
+    for (_, lang, _), n in cells.items():
+        by_lang[lang] += n
+    others = by_lang["en"] + by_lang["de"]
+    wanted = brute_rake(cells, [targets["source"], {"fr": 0.5, "en": 0.5 * by_lang["en"] / others, "de": 0.5 * by_lang["de"] / others}, {"t": 1.0}])
+    assert all(abs(kept[c] / sum(kept.values()) - wanted[c] / sum(wanted.values())) < 1e-4 for c in cells)
+    for d, name in enumerate(("source", "lang")):
+        for value, share in targets[name].items():
+            assert abs(sum(v for c, v in kept.items() if c[d] == value) / sum(kept.values()) - share) < 1e-3
+    drawn = Counter()
+    for r in mixed:
+        drawn[r["__source"]] += r["__tokens"] * r["__copies"]
+    assert all(abs(drawn[v] / sum(drawn.values()) - share) < 0.03 for v, share in targets["source"].items())
+    raked = mixing.rake(mixing.describe(docs, settings, topic=mixing.F.lit("t")).where("tokens > 0").groupBy(*mixing.DIMENSIONS).agg(mixing.F.sum("tokens").alias("tokens")), settings)
+    assert all(abs(r.target - r.share) < 1e-4 for r in mixing.marginals(raked).collect())
+
+
+def test_a_target_of_nothing_and_targets_that_cannot_be_met(spark):
+    rows = [(i, "w " * 20, "ab"[i % 2], "en" if i % 2 else "fr") for i in range(40)] + [(99, "w " * 20, "c", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    both = spark.createDataFrame([(i, t, s, "en" if i % 4 < 2 else "fr") for i, t, s, _ in rows], docs.schema)
+    plain = {"source": 1.0, "lang": 1.0, "topic": 1.0}
+    without = mixing.mix(both, mixing.Settings(targets={"source": {"c": 0.0}}, temperature=plain)).collect()
+    assert [r["__copies"] for r in without if r.source == "c"] == [0] and sum(r["__copies"] for r in without) > 0
+    for targets, why in (
+        ({"source": {"x": 0.5}}, "no document has"),
+        ({"source": {"a": 0.7, "b": 0.7}}, "add up"),
+        ({"source": {"a": 0.5, "b": 0.2, "c": 0.2}}, "add up"),
+        ({"source": {"a": 0.9, "b": 0.1, "c": 0.0}, "lang": {"en": 0.9, "fr": 0.1}}, "furthest off"),  # all of a is fr
+    ):
+        with pytest.raises(ValueError, match=why):
+            mixing.mix(docs, mixing.Settings(targets=targets, temperature=plain))
+
+
 def test_copies_meet_the_targets_of_rare_cells(spark):
     rows = [(i, "w " * (20 if i % 7 == 0 else 100), "b" if i % 40 == 0 else "a", "fr" if i % 10 == 3 else "en") for i in range(20000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
