@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gleanworks.functions import calendar, money
 from gleanworks.functions.text import written
-from gleanworks.operators import checks, chunking, evals, retrieval, traces
+from gleanworks.operators import checks, chunking, evals, retrieval, spans, traces
 from gleanworks.plans.passages import _SEARCH, _WINDOWS, docs, lexical, query, windows
 from gleanworks.session import staged, table
 from gleanworks.sources import store
@@ -288,18 +289,79 @@ def fallback_questions(spark, sf_dir):
     )
 
 
+_TRACES = f"""{_CALLS},
+own AS (SELECT trace_id AS qid, CASE WHEN trace_id % 13 <> 0 THEN trace_id END AS trace_id, coalesce(sum(k) FILTER (kind IN ('generation', 'embedding')), 0) AS i,
+  coalesce(sum(2 * k) FILTER (kind IN ('generation', 'embedding')), 0) AS o, any_value(t.cost_usd) AS c FROM costed JOIN trace_costs AS t USING (trace_id) GROUP BY trace_id),
+seen AS (SELECT trace_id, coalesce(sum(k + CASE WHEN trace_id % 7 = 0 THEN 1 ELSE 0 END) FILTER (kind IN ('generation', 'embedding')), 0) AS i,
+  coalesce(sum(2 * k - CASE WHEN trace_id % 7 = 0 THEN 1 ELSE 0 END) FILTER (kind IN ('generation', 'embedding')), 0) AS o,
+  coalesce(sum(coalesce(cost_usd, 0.5) + CASE WHEN trace_id % 5 = 0 THEN 0.001 ELSE 0 END) FILTER (kind IN ('generation', 'embedding', 'rerank')), 0) AS c
+  FROM costed WHERE trace_id % 11 <> 0 GROUP BY trace_id),
+compared AS (SELECT own.qid, own.trace_id, own.i, own.o, own.c, seen.trace_id IS NOT NULL AS there, seen.i AS si, seen.o AS so, seen.c AS sc FROM own LEFT JOIN seen ON own.trace_id = seen.trace_id),
+problems AS (SELECT qid, trace_id, 1 AS place, 'untraced' AS problem, NULL::DOUBLE AS stored, NULL::DOUBLE AS seen FROM compared WHERE trace_id IS NULL
+  UNION ALL SELECT qid, trace_id, 2, 'missing', NULL, NULL FROM compared WHERE trace_id IS NOT NULL AND NOT there
+  UNION ALL SELECT qid, trace_id, 3, 'input tokens', i, si FROM compared WHERE there AND i <> si
+  UNION ALL SELECT qid, trace_id, 4, 'output tokens', o, so FROM compared WHERE there AND o <> so
+  UNION ALL SELECT qid, trace_id, 5, 'cost', c, sc FROM compared WHERE there AND abs(c - sc) > 0.0001)"""
+
+
+def stored_and_seen(spark, sf_dir):
+    """Stored totals by question, and records of another service: late, wrong or lost for some."""
+    c, i = staged(calls(spark, sf_dir), "calls"), F.col("trace_id")
+    totals = traces.stored_totals(c.withColumns({"input_tokens": F.col("k"), "output_tokens": 2 * F.col("k")}))
+    totals = totals.select(i.alias("qid"), F.when(i % 13 != 0, i).alias("trace_id"), "input_tokens", "output_tokens", "cost_usd")
+    odd, reranked = F.when(i % 7 == 0, 1).otherwise(0), F.col("kind") == "rerank"  # which the other service calls a generation without tokens
+    cost = F.coalesce("cost_usd", F.lit(0.5)) + F.when(i % 5 == 0, 0.001).otherwise(0.0)
+    records = c.where(i % 11 != 0).select(
+        "trace_id", F.when(reranked, "GENERATION").otherwise(F.initcap("kind")).alias("type"), F.when(~reranked, F.col("k") + odd).alias("input_tokens"), F.when(~reranked, 2 * F.col("k") - odd).alias("output_tokens"),
+        F.when(F.col("event_id") % 2 == 0, cost).alias("total_cost"), cost.alias("cost_detail"))
+    return totals, traces.outside_totals(records)
+
+
+@query("trace_differences", f"WITH {_TRACES} SELECT qid, trace_id, problem, round(stored, 9) AS stored, round(seen, 9) AS seen FROM problems")
+def trace_differences(spark, sf_dir):
+    found = traces.differences(*stored_and_seen(spark, sf_dir))
+    return found.select("qid", "trace_id", "problem", F.round("stored", 9).alias("stored"), F.round("seen", 9).alias("seen"))
+
+
+@query("trace_reconcile", f"WITH {_TRACES} SELECT qid, coalesce(string_agg(problem, ',' ORDER BY place), 'match') AS status FROM own LEFT JOIN problems USING (qid) GROUP BY qid")
+def trace_reconcile(spark, sf_dir):
+    return traces.reconcile(*stored_and_seen(spark, sf_dir))
+
+
 @query(
-    "trace_reconcile",
-    f"""WITH {_CALLS}, s AS (SELECT trace_id, sum(k) AS tokens, sum(latency_ms) / 1000000 AS cost FROM calls WHERE trace_id % 13 <> 0 GROUP BY trace_id),
-    x AS (SELECT trace_id, sum(k) + CASE WHEN trace_id % 7 = 0 THEN 1 ELSE 0 END AS tokens, sum(latency_ms) / 1000000 + CASE WHEN trace_id % 5 = 0 THEN 0.001 ELSE 0 END AS cost FROM calls WHERE trace_id % 11 <> 0 GROUP BY trace_id)
-    SELECT coalesce(s.trace_id, x.trace_id) AS trace_id, CASE WHEN x.trace_id IS NULL THEN 'missing' WHEN s.trace_id IS NULL THEN 'unknown' WHEN s.tokens <> x.tokens THEN 'tokens' WHEN abs(s.cost - x.cost) > 0.0001 THEN 'cost' ELSE 'match' END AS status
-    FROM s FULL OUTER JOIN x ON s.trace_id = x.trace_id""",
+    "trace_verification",
+    f"""WITH {_TRACES} SELECT (SELECT count(trace_id) FROM own)::BIGINT AS checked, (SELECT count(*) FROM own WHERE trace_id IS NOT NULL AND c IS NULL)::BIGINT AS without_cost,
+    (SELECT count(*) FROM problems)::BIGINT AS problems, (SELECT count(DISTINCT qid) FROM problems)::BIGINT AS failed""",
 )
-def trace_reconcile(spark, sf_dir):
-    t = calls(spark, sf_dir).groupBy("trace_id").agg(F.sum("k").alias("tokens"), (F.sum("latency_ms") / 1_000_000).alias("cost_usd"))
-    i = F.col("trace_id")
-    external = t.where(i % 11 != 0).select("trace_id", (F.col("tokens") + F.when(i % 7 == 0, 1).otherwise(0)).alias("tokens"), (F.col("cost_usd") + F.when(i % 5 == 0, 0.001).otherwise(0.0)).alias("cost_usd"))
-    return traces.reconcile(t.where(i % 13 != 0), external)
+def trace_verification(spark, sf_dir):
+    stored, seen = stored_and_seen(spark, sf_dir)
+    return traces.verification(stored, traces.differences(stored, seen))
+
+
+_SPANS = """
+turn AS (SELECT user_id AS trace_id, event_id AS span_id, value AS latency_ms, (props::JSON ->> 'k')::BIGINT AS k, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+spans AS (SELECT t.trace_id, t.span_id, p.span_id AS parent_id, coalesce(t.latency_ms, 0) AS latency_ms FROM turn AS t LEFT JOIN turn AS p ON p.trace_id = t.trace_id AND p.i = t.i - 1 - t.k % 3 AND t.i % 40 <> 1),
+own AS (SELECT s.trace_id, s.span_id, s.parent_id, greatest(0, s.latency_ms - coalesce(c.ms, 0)) AS self_ms FROM spans AS s LEFT JOIN (SELECT trace_id, parent_id, sum(latency_ms) AS ms FROM spans GROUP BY ALL) AS c ON c.trace_id = s.trace_id AND c.parent_id = s.span_id),
+below(trace_id, top, span_id, ms, far) AS (SELECT trace_id, span_id, span_id, self_ms, 0 FROM own
+  UNION ALL SELECT b.trace_id, b.top, o.span_id, b.ms + o.self_ms, b.far + 1 FROM below AS b JOIN own AS o ON o.trace_id = b.trace_id AND o.parent_id = b.span_id),
+rolled AS (SELECT b.trace_id, b.top AS span_id, sum(o.self_ms) AS subtree_ms, count(*) AS n_spans, max(b.ms) AS path_ms FROM below AS b JOIN own AS o ON o.trace_id = b.trace_id AND o.span_id = b.span_id GROUP BY ALL),
+depths AS (SELECT trace_id, span_id, max(far) AS depth FROM below GROUP BY ALL)"""
+
+
+@query(
+    "trace_spans",
+    f"WITH RECURSIVE {_SPANS} SELECT o.trace_id, o.span_id, o.parent_id, depth::BIGINT AS depth, round(self_ms, 6) AS self_ms, round(subtree_ms, 6) AS subtree_ms, n_spans::BIGINT AS n_spans, round(path_ms, 6) AS path_ms"
+    " FROM own AS o JOIN rolled USING (trace_id, span_id) JOIN depths USING (trace_id, span_id)",
+)
+def trace_spans(spark, sf_dir):
+    own = Window.partitionBy("trace_id").orderBy("span_id")  # one trace
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("trace_id"), F.col("event_id").alias("span_id"), F.col("value").alias("latency_ms"), F.get_json_object("props", "$.k").cast("long").alias("k"))
+    turn = staged(e.withColumn("i", F.row_number().over(own)), "turns")
+    parent = F.when(F.col("i") % 40 != 1, F.col("i") - 1 - F.col("k") % 3)
+    p = turn.select("trace_id", F.col("i").alias("p"), F.col("span_id").alias("parent_id"))
+    tree = turn.withColumn("p", parent).join(p, ["trace_id", "p"], "left").select("trace_id", "span_id", "parent_id", "latency_ms")
+    rolled = spans.rolled_up(tree)
+    return rolled.select("trace_id", "span_id", "parent_id", "depth", *[F.round(c, 6).alias(c) for c in ("self_ms", "subtree_ms")], "n_spans", F.round("path_ms", 6).alias("path_ms"))
 
 
 # ------------------------------------------------------------------ dates, costs, formats
