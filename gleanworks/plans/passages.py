@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from gleanworks.functions.text import STOP_WORDS, collapse, iso_date, lexemes, page_label, preview, whole_sentences, words
 from gleanworks.operators import checks, chunking, models, retrieval, sections
-from gleanworks.session import spread, table
+from gleanworks.session import spread, staging_root, table
+from gleanworks.sources import postings
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -209,6 +212,46 @@ def lexical_search(spark, sf_dir):
     return lexical(spark, sf_dir).withColumn("score", F.round(F.col("score").cast("double"), 6))
 
 
+_LEXICAL = f"WITH {_SEARCH} SELECT qid, doc_id, round(score, 6)::DOUBLE AS score, rank::INT AS rank FROM lexical"
+
+
+def _indexed(passages, name):
+    path = f"{staging_root(passages.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    postings.build(passages, path)
+    return path
+
+
+@query("lexical_search_stored", _LEXICAL)
+def lexical_search_stored(spark, sf_dir):
+    found = postings.search(questions(spark, sf_dir), _indexed(docs(spark, sf_dir).select("doc_id", "text"), "postings"))
+    return found.withColumn("score", F.round(F.col("score").cast("double"), 6))
+
+
+@query("lexical_search_replaced", _LEXICAL)
+def lexical_search_replaced(spark, sf_dir):
+    """An index of other texts for a third of the documents, and of some that are no more, put right."""
+    d = docs(spark, sf_dir).select("doc_id", "text")
+    third = F.col("doc_id") % 3 == 0
+    older = d.select("doc_id", F.when(third, F.concat_ws(" ", F.lit("an older text"), F.substring("text", 1, 400))).otherwise(F.col("text")).alias("text"))
+    more = d.select((-1 - F.col("doc_id")).alias("doc_id"), "text")
+    path = _indexed(older.unionByName(more), "postings")
+    postings.replace(spark, path, d.where(third), more.select("doc_id"))
+    return postings.search(questions(spark, sf_dir), path).withColumn("score", F.round(F.col("score").cast("double"), 6))
+
+
+@query(
+    "phrase_search",
+    f"""WITH lex AS (SELECT doc_id, {_lexemes('text')} AS w FROM documents WHERE text IS NOT NULL), asked AS (SELECT item_id AS phrase_id, list_slice({_lexemes('text')}, 2, 4) AS p FROM benchmark),
+    phrases AS (SELECT phrase_id, p, unnest(p) AS lexeme, generate_subscripts(p, 1) AS turn FROM asked), words AS (SELECT doc_id, unnest(w) AS lexeme, generate_subscripts(w, 1) AS place FROM lex),
+    starts AS (SELECT phrase_id, len(p) AS n, doc_id, place - turn AS start, count(*) AS found FROM words JOIN phrases USING (lexeme) GROUP BY ALL)
+    SELECT phrase_id, doc_id, count(*)::BIGINT AS places FROM starts WHERE found = n GROUP BY ALL""",
+)
+def phrase_search(spark, sf_dir):
+    index = postings.open_index(spark, _indexed(docs(spark, sf_dir).select("doc_id", "text"), "postings"))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("phrase_id"), F.slice(lexemes(F.col("text")), 2, 3).alias("lexemes"))
+    return postings.phrases(index, asked).withColumnRenamed("key", "doc_id")
+
+
 @query("lexical_search_stemmed")
 def lexical_search_stemmed(spark, sf_dir):
     return retrieval.lexical_search(questions(spark, sf_dir), docs(spark, sf_dir), stems=True)
