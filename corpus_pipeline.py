@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gleanworks.llm import langid, mixing, neardup, packing, toxicity
 from gleanworks.session import ship_package, staged, table
@@ -26,13 +27,15 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five words, 0.8); of repeated rows, one.
 
-    Rows that repeat an id with different texts are one document: they stay or go together.
+    Rows that repeat an id with different texts are one document: they stay or go together. Of
+    rows with the same id and text the one whose other columns come first in order stays, nulls first.
     """
     judged = staged(neardup.near_duplicates(docs), "judged").where("doc_id is not null")
     gone = judged.where("not kept").select("doc_id").distinct()
     repeated = judged.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id")
     once = docs.join(gone.unionByName(repeated), "doc_id", "left_anti")
-    again = docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    others = F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")])
+    again = docs.join(repeated, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(others).alias("first")).select("doc_id", "text", "first.*")
     return once.select(docs.columns).unionByName(again.select(docs.columns))
 
 
