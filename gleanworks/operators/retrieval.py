@@ -11,13 +11,19 @@ from pyspark.sql import functions as F
 
 from gleanworks.functions.stem import stem
 from gleanworks.functions.text import lexemes, words
-from gleanworks.session import ship_package, small, staged
+from gleanworks.session import ship_package, small, staged, staged_count
 
 CANDIDATES, TOP_K, RRF_K, RERANK_POOL = 20, 5, 60, 20
 #: Lexemes, or pairs of question and lexeme, that are broadcast; beyond, they are joined.
 ASKED = 200_000
 #: Questions, as vectors, that one pass over the vectors answers.
 QUESTION_BLOCK = 16_384
+#: Pairs of question and place from which a first pass over one vector in ``SAMPLE`` pays.
+SAMPLE_FROM, SAMPLE = 20_000, 16
+#: Pivots of a block of questions; questions and vectors of one product; entries kept before they are narrowed.
+PIVOTS, TILE, KEPT = 32, 1024, 1_000_000
+#: What rounding may add to an angle or a cosine.
+SLACK = 1e-6
 #: What one matching position adds to a lexical score.
 POSITION_WEIGHT = 0.1
 
@@ -114,58 +120,126 @@ def vector_search(questions: DataFrame, vectors: DataFrame, limit: int = CANDIDA
 
     Questions (qid, embedding) and vectors (key, embedding) that are null, zero or hold null
     or non-finite components find nothing and are not found. The stated questions go in
-    blocks of ``block``, which are broadcast; vectors pass by where they are read, and a task
-    sends only each question's best on. There are as many passes as blocks.
+    blocks of ``block``, which are broadcast; vectors pass by where they are read. Many
+    questions first meet one vector in ``SAMPLE``: what their ``limit``-th best scores there, it scores at
+    least among all, so tasks send on nothing below it. There is a pass, and such a first one, for each block.
     """
     spark = vectors.sparkSession
     ship_package(spark)
-    asked, held = _valid(questions, "qid"), _valid(vectors, key)
-    blocks = max(1, -(-asked.count() // block))
+    (asked, n), held = staged_count(_valid(questions, "qid"), "asked"), _valid(vectors, key)
+    blocks = max(1, -(-n // block))
+    order = [F.desc(F.round("score", 9)), F.col(key)]
     found = None
     for k in range(blocks):
         own = asked.where(F.pmod(F.xxhash64("k"), F.lit(blocks)) == k) if blocks > 1 else asked
         part = own.toArrow().combine_chunks()  # about ``block`` vectors
-        by_length = dict((n, (ids, x)) for n, ids, x in _by_length(part.column(0).combine_chunks(), part.column(1).combine_chunks())) if part.num_rows else {}
+        by_length = {m: Asked(ids, x) for m, ids, x in _by_length(part.column(0).combine_chunks(), part.column(1).combine_chunks())} if part.num_rows else {}
+        schema = f"qid bigint, {key} bigint, score double"
+        if part.num_rows * limit > SAMPLE_FROM:
+            first = spark.sparkContext.broadcast(by_length)
+            some = held.where(F.pmod(F.xxhash64("k", F.lit(1)), F.lit(SAMPLE)) == 0).mapInArrow(_nearest(first, limit), schema)
+            last = ranked(some, "qid", order, limit).where(F.col("rank") == limit).select("qid", "score").toArrow()  # one number for each question
+            least = dict(zip(last.column(0).to_pylist(), last.column(1).to_pylist(), strict=True))
+            by_length = {m: Asked(a.ids, a.units, np.array([np.round(least.get(q, -np.inf), 9) for q in a.ids.tolist()])) for m, a in by_length.items()}
+            first.destroy()
         shared = spark.sparkContext.broadcast(by_length)
-        best = held.mapInArrow(_nearest(shared, limit), f"qid bigint, {key} bigint, score double")
+        best = held.mapInArrow(_nearest(shared, limit), schema)
         if blocks > 1:  # one block is held at a time
-            best = staged(ranked(best, "qid", [F.desc(F.round("score", 9)), F.col(key)], limit).drop("rank"), "nearest")
+            best = staged(ranked(best, "qid", order, limit).drop("rank"), "nearest")
             shared.destroy()
         found = best if found is None else found.unionByName(best)
-    return ranked(found, "qid", [F.desc(F.round("score", 9)), F.col(key)], limit)
+    return ranked(found, "qid", order, limit)
 
 
-def _first(scores: np.ndarray, ids: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ``limit`` best of each row by rounded score, ties by id, in no order."""
-    if scores.shape[1] <= limit:
-        return scores, ids
-    order = -np.round(scores, 9)
-    at = np.argpartition(order, limit - 1, axis=1)[:, :limit]
-    last = np.take_along_axis(order, at, 1).max(axis=1)
-    tied = np.flatnonzero((order <= last[:, None]).sum(axis=1) > limit)
-    at[tied] = np.lexsort((ids[tied], order[tied]), axis=1)[:, :limit]
-    return np.take_along_axis(scores, at, 1), np.take_along_axis(ids, at, 1)
+class Asked:
+    """Questions of one length: ids, unit vectors and, for each, a score that its first places have at least."""
+
+    def __init__(self, ids: np.ndarray, units: np.ndarray, least: np.ndarray | None = None):
+        self.ids, self.units = ids, units
+        self.least = np.full(len(ids), -np.inf) if least is None else least
+        self.pivots = self._far_apart()
+
+    def _far_apart(self) -> np.ndarray:
+        """Unit vectors of questions, each the one farthest from those before."""
+        at, nearest = [0], np.full(len(self.units), -np.inf)
+        while len(at) < min(PIVOTS, len(self.units)):
+            nearest = np.maximum(nearest, self.units @ self.units[at[-1]])
+            at.append(int(nearest.argmin()))
+        return self.units[at]
+
+
+class Best:
+    """The first ``limit`` vectors of each question, as vectors pass by.
+
+    Vectors are taken by their nearest pivot. By the triangle inequality for angles, a vector
+    within angle r of a pivot is at least a - r from a question at angle a; questions whose
+    least score is out of that reach are not compared with the pivot's vectors.
+    """
+
+    def __init__(self, asked: Asked, limit: int):
+        self.asked, self.limit = asked, limit
+        self.least = asked.least.copy()
+        self.angles = _angle(asked.units @ asked.pivots.T)
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.held = self.compared = 0
+
+    def add(self, ids: np.ndarray, units: np.ndarray) -> None:
+        near = units @ self.asked.pivots.T
+        pivot = near.argmax(axis=1)
+        apart = _angle(near[np.arange(len(units)), pivot])
+        for p in np.unique(pivot).tolist():
+            own = np.flatnonzero(pivot == p)
+            reach = np.cos(np.maximum(0.0, self.angles[:, p] - apart[own].max() - SLACK)) + SLACK
+            alive = np.flatnonzero(reach >= self.least)
+            for low in range(0, len(own), TILE):
+                vectors = own[low : low + TILE]
+                for at in range(0, len(alive), TILE):
+                    questions = alive[at : at + TILE]
+                    scores = self.asked.units[questions] @ units[vectors].T
+                    self.compared += scores.size
+                    rounded = np.round(scores, 9)
+                    q, v = np.nonzero(rounded >= self.least[questions][:, None])
+                    self.parts.append((questions[q], ids[vectors[v]], scores[q, v]))
+                    self.held += len(q)
+                    if self.held > KEPT:
+                        self.narrow()
+
+    def narrow(self) -> None:
+        """Keeps the first places of what was met, and raises the least scores to the last of them."""
+        if not self.parts:
+            return
+        q, ids, scores = (np.concatenate([p[k] for p in self.parts]) for k in range(3))
+        rounded = np.round(scores, 9)
+        order = np.lexsort((ids, -rounded, q))
+        q, ids, scores, rounded = q[order], ids[order], scores[order], rounded[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q, "left")
+        last = place == self.limit - 1
+        self.least[q[last]] = np.maximum(self.least[q[last]], rounded[last])
+        kept = place < self.limit
+        self.parts = [(q[kept], ids[kept], scores[kept])]
+        self.held = int(kept.sum()) if kept.sum() < KEPT // 2 else 0  # a full table is no reason to narrow it at once
+
+
+def _angle(cosine: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(cosine, -1.0, 1.0))
 
 
 def _nearest(shared, limit: int):
-    """Over the batches of a task: the best ``limit`` vectors of each question."""
+    """Over the batches of a task: the best ``limit`` vectors of each question, and none below its least score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        kept: dict[int, Best] = {}
         for batch in batches:
             for length, ids, x in _by_length(batch.column(0), batch.column(1)):
-                if length not in shared.value:
-                    continue
-                asked = shared.value[length][1]
-                for at in range(0, len(ids), 1024):
-                    scores, own = asked @ x[at : at + 1024].T, np.broadcast_to(ids[at : at + 1024], (len(asked), len(ids[at : at + 1024])))
-                    if length in kept:
-                        scores, own = np.hstack([kept[length][0], scores]), np.hstack([kept[length][1], own])
-                    kept[length] = _first(scores, own, limit)
-        for length, (scores, own) in kept.items():
-            qids = np.repeat(shared.value[length][0], scores.shape[1])
-            for at in range(0, len(qids), 10_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 10_000]) for c in (qids, own.ravel(), scores.ravel())], ["qid", "key", "score"])
+                if length in shared.value:
+                    if length not in kept:
+                        kept[length] = Best(shared.value[length], limit)
+                    kept[length].add(ids, x)
+        for best in kept.values():
+            best.narrow()
+            for q, ids, scores in best.parts:
+                for at in range(0, len(q), 10_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 10_000]) for c in (best.asked.ids[q], ids, scores)], ["qid", "key", "score"])
 
     return run
 

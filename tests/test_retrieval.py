@@ -168,3 +168,45 @@ def test_agent_sends_early_and_wrong_answers_back(spark):
 def test_components(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (5, 5), (3, 2)], "a long, b long")
     assert {r.node: r.component for r in connected_components(links).collect()} == {1: 1, 2: 1, 3: 1, 8: 8, 9: 8}
+
+
+def plain_nearest(asked, vectors, limit):
+    out = []
+    unit = lambda v: np.array(v) / np.sqrt((np.array(v) ** 2).sum())
+    for q, a in asked:
+        scored = sorted((-round(float(unit(a) @ unit(v)), 9), k) for k, v in vectors if len(v) == len(a))
+        out += [(q, k, rank) for rank, (_, k) in enumerate(scored[:limit], 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("spread", [0.02, 1.0])
+def test_many_questions_find_the_nearest_vectors(spark, monkeypatch, spread):
+    """With a first pass over some vectors, in blocks and tiles, over clusters and over noise, with ties."""
+    for name, value in (("SAMPLE_FROM", 10), ("SAMPLE", 4), ("TILE", 7), ("KEPT", 200), ("PIVOTS", 5)):
+        monkeypatch.setattr(retrieval, name, value)
+    rng = np.random.default_rng(3)
+    centers = rng.normal(size=(6, 8))
+    points = [(i, (centers[i % 6] + spread * rng.normal(size=8)).round(3).tolist()) for i in range(400)]
+    points += [(1000 + i, points[i][1]) for i in range(40)] + [(2000, [0.0] * 8), (2001, [1.0, 2.0]), (2002, None)]
+    vectors = spark.createDataFrame(points, "vec_id int, embedding array<double>").repartition(5)
+    asked = [(i, points[i][1]) for i in range(0, 400, 9)] + [(7000, [2.0, 4.1])]
+    questions = spark.createDataFrame(asked, "qid int, embedding array<double>")
+    valid = [(k, v) for k, v in points if v and any(v)]
+    for block in (1000, 11):
+        got = retrieval.vector_search(questions, vectors, 5, block=block)
+        assert sorted((r.qid, r.vec_id, r["rank"]) for r in got.collect()) == plain_nearest(asked, valid, 5)
+
+
+def test_pivots_save_comparisons_on_clusters_and_lose_nothing():
+    rng = np.random.default_rng(5)
+    centers = rng.normal(size=(20, 16))
+    unit = lambda x: x / np.sqrt((x * x).sum(axis=1))[:, None]
+    vectors = unit(centers[np.arange(6000) % 20] + 0.05 * rng.normal(size=(6000, 16)))
+    questions = vectors[:200]
+    best = retrieval.Best(retrieval.Asked(np.arange(200), questions), 10)
+    for at in range(0, 6000, 1000):
+        best.add(np.arange(at, at + 1000), vectors[at : at + 1000])
+        best.narrow()
+    assert best.compared < 0.35 * 200 * 6000
+    (q, ids, _), order = best.parts[0], np.lexsort((np.broadcast_to(np.arange(6000), (200, 6000)), -np.round(questions @ vectors.T, 9)), axis=1)[:, :10]
+    assert (ids.reshape(200, 10) == order).all() and (q == np.repeat(np.arange(200), 10)).all()
