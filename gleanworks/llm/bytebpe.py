@@ -31,6 +31,8 @@ KEPT_WORDS = 500_000
 ROWS = 2_000_000
 #: Bytes of a word from which one contraction a round would cost too much: a heap contracts it, in the same order.
 LONG = 512
+#: Rows encoded together.
+ROWS_AT_ONCE = 1024
 #: Words of a text taken at a time, and tokens decoded at a time; they bound memory, never what is read.
 WORDS, TOKENS = 500_000, 500_000
 
@@ -215,21 +217,26 @@ def _loaded(path: str, pattern: str | None) -> ByteBpe:
     return _LOADED[path, pattern]
 
 
-def _append(df: DataFrame, name: str, kind: str, from_column: str, work: Callable[[pa.Array], pa.Array]) -> DataFrame:
-    """``df`` and a column that ``work`` makes of the last column of each slice of a batch."""
-    if name in df.columns:
-        raise ValueError(f"the input has a column {name}")
+def _append(df: DataFrame, from_column: str, made: dict[str, str], work: Callable[[pa.Array], list[pa.Array]]) -> DataFrame:
+    """``df`` and the columns that ``work`` makes of one column, for each slice of a batch."""
+    if clash := set(made) & set(df.columns):
+        raise ValueError(f"the input has columns {sorted(clash)}")
     ship_package(df.sparkSession)
     given = df.withColumn("__of", F.col(f"`{from_column}`"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], work(part.column(part.num_columns - 1))], [*part.schema.names[:-1], name])
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(at, ROWS_AT_ONCE)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *work(part.column(part.num_columns - 1))], [*part.schema.names[:-1], *made])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return given.mapInArrow(run, f"{schema}, `{name}` {kind}")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), *(f"`{name}` {kind}" for name, kind in made.items())])
+    return given.mapInArrow(run, schema)
+
+
+def _lists(ids: list[bytes]) -> pa.ListArray:
+    ends = np.cumsum([0, *(len(i) // 4 for i in ids)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))
 
 
 def encode(df: DataFrame, text_column: str = "text", name: str = "ids", vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -240,31 +247,36 @@ def encode(df: DataFrame, text_column: str = "text", name: str = "ids", vocabula
     that has a column ``name`` is refused. No rows give no rows.
     """
     path = vocabulary or vocabulary_path()
-
-    def work(texts: pa.Array) -> pa.Array:
-        ids = _loaded(path, pattern).encode([t or "" for t in texts.to_pylist()])
-        ends = np.cumsum([0, *(len(i) // 4 for i in ids)])
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))
-
-    return _append(df, name, "array<int>", text_column, work)
+    return _append(df, text_column, {name: "array<int>"}, lambda texts: [_lists(_loaded(path, pattern).encode([t or "" for t in texts.to_pylist()]))])
 
 
 def decode(df: DataFrame, ids_column: str = "ids", name: str = "decoded", vocabulary: str | None = None) -> DataFrame:
     """``df`` with the bytes of every list of ids as a binary column ``name``; null or empty lists give no bytes."""
     path = vocabulary or vocabulary_path()
 
-    def work(lists: pa.Array) -> pa.Array:
+    def work(lists: pa.Array) -> list[pa.Array]:
         whole = pa.array([v or [] for v in lists.to_pylist()], pa.list_(pa.int32())) if lists.null_count else lists
-        return pa.array(_loaded(path, None).decode(lists_of(pa.chunked_array([whole]))), pa.binary())
+        return [pa.array(_loaded(path, None).decode(lists_of(pa.chunked_array([whole]))), pa.binary())]
+
+    return _append(df, ids_column, {name: "binary"}, work)
+
+
+def round_trip(df: DataFrame, text_column: str = "text", vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
+    """``df`` with ``ids`` and ``decoded``: what ``decode`` makes of what ``encode`` makes, by one worker."""
+    path = vocabulary or vocabulary_path()
+
+    def work(texts: pa.Array) -> list[pa.Array]:
+        coder = _loaded(path, pattern)
+        ids = coder.encode([t or "" for t in texts.to_pylist()])
+        return [_lists(ids), pa.array(coder.decode([np.frombuffer(i, "<i4") for i in ids]), pa.binary())]
 
-    return _append(df, name, "binary", ids_column, work)
+    return _append(df, text_column, {"ids": "array<int>", "decoded": "binary"}, work)
 
 
 def op13_bytes(spark, sf_dir: str) -> DataFrame:
     """Every document encoded, and decoded again."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    both = decode(encode(docs).select("doc_id", "ids"))
-    return both.select(
+    return round_trip(docs).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
