@@ -1,7 +1,7 @@
 """Centroid clustering of integer vectors with Spark's own expressions.
 
 Vectors become integers, so every distance and every mean is exact and no order of adding
-can change a result. ``zip_with`` and ``aggregate`` give the squared distance to each
+can change a result. ``zip_with`` and ``aggregate`` give the product with, and so the squared distance to, each
 centroid, an array literal; the least struct of (distance, number) is the assignment. New
 centroids are column sums by cluster, which are added up where the rows lie: a round
 shuffles one row of sums for each cluster and task, whatever the number of vectors. Only
@@ -38,14 +38,20 @@ def long_array(values: list[int]) -> str:
     return f"array({', '.join(f'{v}L' for v in values)})"
 
 
-def squared_distance(vector: str, centroid: list[int]) -> str:
-    """The squared Euclidean distance of integer vectors."""
-    return f"aggregate(zip_with({vector}, {long_array(centroid)}, (a, b) -> (a - b) * (a - b)), 0L, (total, x) -> total + x)"
+def squared_norm(vector: str) -> str:
+    """The sum of the squares of an integer vector."""
+    return f"aggregate({vector}, 0L, (total, x) -> total + x * x)"
 
 
-def nearest(vector: str, centroids: list[list[int]]) -> Column:
-    """Struct (distance, cluster) of the nearest centroid, the smaller number on ties."""
-    each = (f"struct({squared_distance(vector, c)} AS distance, {k} AS cluster)" for k, c in enumerate(centroids))
+def squared_distance(vector: str, norm: str, centroid: list[int]) -> str:
+    """The squared Euclidean distance of integer vectors: both norms less twice the product, all exact."""
+    product = f"aggregate(zip_with({vector}, {long_array(centroid)}, (a, b) -> a * b), 0L, (total, x) -> total + x)"
+    return f"{norm} + {sum(x * x for x in centroid)}L - 2L * {product}"
+
+
+def nearest(vector: str, norm: str, centroids: list[list[int]]) -> Column:
+    """Struct (distance, cluster) of the nearest centroid, the smaller number on ties; ``norm`` is the vector's squared norm."""
+    each = (f"struct({squared_distance(vector, norm, c)} AS distance, {k} AS cluster)" for k, c in enumerate(centroids))
     return F.expr(f"array_min(array({', '.join(each)}))")
 
 
@@ -59,7 +65,7 @@ def seeds(vectors: DataFrame, k: int = K, seed: int = SEED) -> list[list[int]]:
 def moved(vectors: DataFrame, centroids: list[list[int]]) -> list[list[int]]:
     """The centroids after one round: floors of exact means; empty clusters stay."""
     width = range(len(centroids[0]))
-    at = vectors.select("__v", nearest("__v", centroids)["cluster"].alias("c"))
+    at = vectors.select("__v", nearest("__v", "__n", centroids)["cluster"].alias("c"))
     sums = at.groupBy("c").agg(F.expr("count(*) AS n"), *(F.expr(f"sum(__v[{i}]) AS s{i}") for i in width))
     floors = ", ".join(f"(s{i} - pmod(s{i}, n)) div n" for i in width)
     new = {r["c"]: r["m"] for r in sums.selectExpr("c", f"array({floors}) AS m").collect()}
@@ -75,17 +81,17 @@ def cluster(df: DataFrame, id_column: str = "vec_id", vector_column: str = "embe
     many centroids; an empty table gives an empty result. A column ``assigned`` of the input
     is refused. Components whose integers exceed ``LARGEST`` raise rather than overflow.
     """
-    if clash := {"assigned", "__id", "__v"} & set(df.columns):
+    if clash := {"assigned", "__id", "__v", "__n"} & set(df.columns):
         raise ValueError(f"columns of the input have names that clustering adds: {sorted(clash)}")
-    rows = spread(df, id_column).where(usable(F.col(f"`{vector_column}`"), width)).withColumn("__id", F.col(f"`{id_column}`")).withColumn("__v", integers(F.col(f"`{vector_column}`"), scale))
-    vectors = rows.select("__id", "__v")
+    rows = spread(df, id_column).where(usable(F.col(f"`{vector_column}`"), width)).withColumn("__id", F.col(f"`{id_column}`")).withColumn("__v", integers(F.col(f"`{vector_column}`"), scale)).withColumn("__n", F.expr(squared_norm("__v")))
+    vectors = rows.select("__id", "__v", "__n")
     centroids = seeds(vectors, k, seed)
     kind = "assigned struct<cluster int, distance long, cluster_inertia long, inertia long, centroid_sha256 string>"
     if not centroids:
-        return rows.drop("__id", "__v").withColumn("assigned", F.lit(None).cast(kind.removeprefix("assigned ")))
+        return rows.drop("__id", "__v", "__n").withColumn("assigned", F.lit(None).cast(kind.removeprefix("assigned ")))
     for _ in range(rounds):
         centroids = moved(vectors, centroids)
-    final = staged(rows.withColumn("__at", nearest("__v", centroids)).drop("__id", "__v"), "clustered")
+    final = staged(rows.withColumn("__at", nearest("__v", "__n", centroids)).drop("__id", "__v", "__n"), "clustered")
     sums = {r["c"]: r["s"] for r in final.groupBy(F.col("__at.cluster").alias("c")).agg(F.sum("__at.distance").alias("s")).collect()}
     number = F.col("__at.cluster")
     hashes = F.expr(f"array({', '.join(f"sha2('{','.join(map(str, c))}', 256)" for c in centroids)})")

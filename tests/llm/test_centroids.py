@@ -67,7 +67,7 @@ def test_no_vectors_few_vectors_and_refusals(spark):
 
 def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([(i, [i / 7.0] * 64, 1, 1, 1.0) for i in range(20)], SCHEMA)
-    rows = df.where(centroids.usable(df.embedding)).withColumn("v", centroids.integers(df.embedding)).select(centroids.nearest("v", [[1] * 64, [5] * 64]).alias("n"))
+    rows = df.where(centroids.usable(df.embedding)).withColumn("v", centroids.integers(df.embedding)).withColumn("n", centroids.F.expr(centroids.squared_norm("v"))).select(centroids.nearest("v", "n", [[1] * 64, [5] * 64]).alias("at"))
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
