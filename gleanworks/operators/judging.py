@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanworks.operators.intervals import points_in_ranges
+from gleanworks.operators.ledger import ask_once
 from gleanworks.session import staged
 
 #: Metrics that a judge scores, and those of them that need an answer.
@@ -68,6 +71,16 @@ def cleared(scored: DataFrame, again: DataFrame) -> DataFrame:
     return scored.join(again.select("qid").distinct(), "qid", "left_anti")
 
 
+def scoring_pass(questions: DataFrame, judge: Callable[[dict], str], ledger: str, scorer: dict[str, str], columns: list[str], workers: int = 1, per_second: float | None = None) -> DataFrame:
+    """``questions`` with value and error of a judge: saved question by question, so that a pass that is stopped goes on.
+
+    ``scorer`` names the judge, its prompts and what else makes its scores: another scorer scores anew,
+    and no two passes' scores stand side by side. A question that failed is asked again by the next pass.
+    """
+    name = "\n".join(f"{k}={v}" for k, v in sorted(scorer.items()))
+    return ask_once(questions, judge, ledger, name, columns, workers, per_second)
+
+
 def refusals(runs: DataFrame, passages: DataFrame, golden: str) -> DataFrame:
     """run_id, refusal: runs that can't be scored, by passages without text or another golden set.
 

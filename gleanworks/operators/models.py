@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanworks.functions.text import whole_sentences
+from gleanworks.operators.ledger import fan_out
 from gleanworks.session import ship_package
 
 Embedder = Callable[[list[str]], np.ndarray]
@@ -30,25 +32,30 @@ def hash_embedder(dims: int = 64) -> Embedder:
     return embed
 
 
-def embed(rows: DataFrame, embedder: Embedder, key: str = "doc_id", text: str = "text", batch: int = 64) -> DataFrame:
-    """key, embedding: ``batch`` texts a call; a count that differs from the texts' fails the task."""
+def embed(rows: DataFrame, embedder: Embedder, key: str = "doc_id", text: str = "text", batch: int = 64, workers: int = 1, per_second: float | None = None) -> DataFrame:
+    """key, embedding: ``batch`` texts a call; a count that differs from the texts' fails the task.
+
+    A task has ``workers`` calls under way at a time, ``per_second`` of them begun at most; vectors keep their rows' order.
+    """
     ship_package(rows.sparkSession)
 
+    def one(part: pd.DataFrame) -> pd.DataFrame:
+        vectors = embedder(part[text].tolist())
+        if len(vectors) != len(part):
+            raise ValueError(f"{len(vectors)} vectors for {len(part)} texts")
+        return pd.DataFrame({key: part[key], "embedding": [v.tolist() for v in vectors]})
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for at in range(0, len(frame), batch):
-                part = frame.iloc[at : at + batch]
-                vectors = embedder(part[text].tolist())
-                if len(vectors) != len(part):
-                    raise ValueError(f"{len(vectors)} vectors for {len(part)} texts")
-                yield pd.DataFrame({key: part[key], "embedding": [v.tolist() for v in vectors]})
+        yield from fan_out(one, (frame.iloc[at : at + batch] for frame in frames for at in range(0, len(frame), batch)), workers, per_second)
 
     return rows.where(F.col(text).isNotNull()).select(key, text).mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, embedding array<float>")
 
 
-def call_model(rows: DataFrame, model: Callable[[dict], str], key: str, columns: list[str], fallback: Callable[[dict], str] | None = None, check: Callable[[str], str | None] | None = None) -> DataFrame:
+def call_model(rows: DataFrame, model: Callable[[dict], str], key: str, columns: list[str], fallback: Callable[[dict], str] | None = None, check: Callable[[str], str | None] | None = None, workers: int = 1, per_second: float | None = None) -> DataFrame:
     """key, value, error, fallback: one call a row; a row's failure stays in its row.
 
+    A task has ``workers`` calls under way at a time. For calls that are paid for, see ``ledger``.
+
     A time-out or a connection that fails goes to ``fallback``; any other error is recorded.
     ``check`` says what is wrong with a reply: the model is asked once more, with that as
     ``problem`` in its row, and a second wrong reply is the row's error.
@@ -78,9 +85,9 @@ def call_model(rows: DataFrame, model: Callable[[dict], str], key: str, columns:
             return None, f"{type(e).__name__}: {e}".split("\n")[0], False
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            made = [(row[key], *one(row)) for row in frame.to_dict("records")]
-            yield pd.DataFrame(made, columns=[key, "value", "error", "fallback"])
+        made = fan_out(lambda row: (row[key], *one(row)), (row for frame in frames for row in frame.to_dict("records")), workers, per_second)
+        while block := list(islice(made, 1024)):
+            yield pd.DataFrame(block, columns=[key, "value", "error", "fallback"])
 
     return rows.select(key, *columns).mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, value string, error string, fallback boolean")
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from gleanworks.functions import calendar
-from gleanworks.operators import evals, judging, retrieval
+from gleanworks.operators import evals, judging, ledger, retrieval
 from gleanworks.plans.analytics import _ITEMS, hits, items
-from gleanworks.plans.passages import _SEARCH, docs, query
-from gleanworks.session import table
+from gleanworks.plans.passages import _SEARCH, _words, docs, query
+from gleanworks.session import staging_root, table
 
 # labels as verdicts: ten documents make a question, a document is a sentence of it
 _VERDICTS = """
@@ -347,3 +349,24 @@ def window_check(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").where(~leap).select("o_orderkey", born.alias("birth"), F.date_add(F.add_months(born, 780), (F.col("o_orderkey") % 900 - 450).cast("int")).alias("day"))
     x = rows.select("o_orderkey", calendar.window_check(F.col("birth"), F.col("day")).alias("x"))
     return x.select("o_orderkey", "x.turns_65", "x.window.starts", "x.window.ends", "x.position", F.col("x.general.starts").alias("general"), F.col("x.open.ends").alias("open"), F.col("x.advantage.ends").alias("advantage"))
+
+
+def _shared_words(row: dict) -> str:
+    """A stand-in for a judge: how many of a question's different words its passage has."""
+    return str(len(set(row["question"].split(" ")) & set((row["text"] or "").split(" "))))
+
+
+@query(
+    "scoring_pass",
+    rf"""WITH q AS (SELECT doc_id AS qid, array_to_string(list_slice({_words('text')}, 1, 12), ' ') AS question, text FROM documents WHERE doc_id % 20 = 0 AND text IS NOT NULL)
+    SELECT qid, len(list_intersect(list_distinct(string_split(question, ' ')), list_distinct(string_split(text, ' '))))::VARCHAR AS value, NULL::VARCHAR AS error, 1::BIGINT AS times FROM q""",
+)
+def scoring_pass(spark, sf_dir):
+    """A pass over every second question, and one over all of them that asks the rest."""
+    own = retrieval.question_words(docs(spark, sf_dir), 20, 12).join(docs(spark, sf_dir).select(F.col("doc_id").alias("qid"), "text"), "qid").where("text is not null")
+    path, scorer, columns = f"{staging_root(spark)}/ledger-{uuid.uuid4().hex}", {"judge": "shared-words", "prompts": "1"}, ["question", "text"]
+    judging.scoring_pass(own.where("qid % 40 = 0"), _shared_words, path, scorer, columns, workers=2)
+    scored = judging.scoring_pass(own, _shared_words, path, scorer, columns, workers=2)
+    times = ledger.responses(spark, path).select("request_id", "times")
+    name = "\n".join(f"{k}={v}" for k, v in sorted(scorer.items()))
+    return scored.withColumn("request_id", ledger.request_id(name, columns)).join(times, "request_id").select("qid", "value", "error", "times")
