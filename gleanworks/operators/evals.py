@@ -105,31 +105,31 @@ def values_at(rows: DataFrame, by: str, value: str, spots: dict[str, tuple[float
     one's task. A sketch may err: groups whose rank does not lie between, as the counts show, are
     counted by value as a whole.
     """
-    told = rows.where(_told(value)).select(by, F.col(value).alias("v"))
+    told = rows.where(_told(value)).select(F.col(by).alias("__by"), F.col(value).alias("v"))
     made = rank_sketches(rows, by, value) if sketches is None else sketches
     bound = lambda share: F.kll_sketch_get_quantile_double("sketch", F.lit(min(1.0, max(0.0, share))))
     asked = F.array(*[F.struct(F.lit(name).alias("spot"), rank.cast("long").alias("rank"), bound(share - slack).alias("low"), bound(share + slack).alias("high")) for name, (share, rank) in spots.items()])
-    spans = small(made.select(by, asked.alias("spans")), GROUPS, "spans")
-    near = told.join(spans, by).select(by, "v", F.explode("spans").alias("s")).where(F.col("v") <= F.col("s.high"))
+    spans = small(made.select(F.col(by).alias("__by"), asked.alias("spans")), GROUPS, "spans")
+    near = told.join(spans, "__by").select("__by", "v", F.explode("spans").alias("s")).where(F.col("v") <= F.col("s.high"))
     inside = F.when(F.col("v") >= F.col("s.low"), F.col("v"))
-    found = staged(_at_ranks(near.select(by, F.col("s.spot").alias("spot"), F.col("s.rank").alias("rank"), inside.alias("v")), by), "ranks")
-    missed = found.where("v is null").select(by, "spot", "rank")
+    found = staged(_at_ranks(near.select("__by", F.col("s.spot").alias("spot"), F.col("s.rank").alias("rank"), inside.alias("v"))), "ranks")
+    missed = found.where("v is null").select("__by", "spot", "rank")
     if not missed.isEmpty():
-        whole = told.join(small(missed, GROUPS * len(spots), "missed"), by)
-        found = found.where("v is not null").unionByName(_at_ranks(whole.select(by, "spot", "rank", "v"), by))
+        whole = told.join(small(missed, GROUPS * len(spots), "missed"), "__by")
+        found = found.where("v is not null").unionByName(_at_ranks(whole.select("__by", "spot", "rank", "v")))
     kind = dict(rows.dtypes)[value]
-    return found.groupBy(by).agg(*[F.min(F.when(F.col("spot") == name, F.col("v"))).cast(kind).alias(name) for name in spots])
+    return found.groupBy(F.col("__by").alias(by)).agg(*[F.min(F.when(F.col("spot") == name, F.col("v"))).cast(kind).alias(name) for name in spots])
 
 
-def _at_ranks(values: DataFrame, by: str) -> DataFrame:
-    """by, spot, rank, v: the value at the rank of each spot, of (by, spot, rank, v) rows; null where it lies under all values told, or over them.
+def _at_ranks(values: DataFrame) -> DataFrame:
+    """__by, spot, rank, v: the value at the rank of each spot, of (__by, spot, rank, v) rows; null where it lies under all values told, or over them.
 
     A null value is what is only known to lie under the others.
     """
-    counts = values.groupBy(by, "spot", "rank", "v").agg(F.count("*").alias("of"))
-    upto = F.sum("of").over(Window.partitionBy(by, "spot").orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, 0))
+    counts = values.groupBy("__by", "spot", "rank", "v").agg(F.count("*").alias("of"))
+    upto = F.sum("of").over(Window.partitionBy("__by", "spot").orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, 0))
     reached = counts.withColumn("upto", upto).withColumn("upto", F.when(F.col("upto") >= F.col("rank"), F.col("upto")))
-    return reached.groupBy(by, "spot", "rank").agg(F.min_by("v", "upto").alias("v"))
+    return reached.groupBy("__by", "spot", "rank").agg(F.min_by("v", "upto").alias("v"))
 
 
 def manual_pass(verdict: Column) -> Column:

@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from gleanworks.functions import calendar
-from gleanworks.operators import evals, judging, ledger, retrieval
-from gleanworks.plans.analytics import _ITEMS, hits, items
-from gleanworks.plans.passages import _SEARCH, _words, docs, query
+from gleanworks.operators import evals, judging, ledger, retrieval, scoreboard
+from gleanworks.plans.analytics import _CALLS, _ITEMS, calls, hits, items
+from gleanworks.plans.passages import _SEARCH, ORACLES, _words, docs, query
 from gleanworks.session import staging_root, table
 
 # labels as verdicts: ten documents make a question, a document is a sentence of it
@@ -370,3 +370,101 @@ def scoring_pass(spark, sf_dir):
     times = ledger.responses(spark, path).select("request_id", "times")
     name = "\n".join(f"{k}={v}" for k, v in sorted(scorer.items()))
     return scored.withColumn("request_id", ledger.request_id(name, columns)).join(times, "request_id").select("qid", "value", "error", "times")
+
+
+# ------------------------------------------------------------------ scoreboard tables
+
+
+def _cell(x: str, places: int, after: str = "") -> str:
+    """A number as text, halves to the even digit, or a dash."""
+    return f"coalesce(round_even({x}, {places})::DECIMAL(38, {places})::VARCHAR || '{after}', '—')"
+
+
+def _up(x: str, places: int, before: str = "", after: str = "") -> str:
+    return f"coalesce('{before}' || round(({x})::VARCHAR::DECIMAL(38, 12), {places})::DECIMAL(38, {places})::VARCHAR || '{after}', '—')"
+
+
+_REPORT = ORACLES["run_report"]
+
+
+@query(
+    "scoreboard_headline",
+    f"""SELECT config, {_cell('page_hit * 100', 1, '%')} AS page_hit, CASE WHEN manual_reviewed > 0 THEN {_cell('manual_passes / manual_reviewed * 100', 1, '%')} || ' (' || manual_reviewed || ' reviewed)' ELSE '—' END AS manual_pass,
+    {", ".join(f"{_cell(c, 2)} AS {c}" for c in ("context_recall", "context_precision", "faithfulness", "answer_relevance"))}, {_up('cost_per_query_usd', 4, before='$')} AS cost, {_up('p95_latency_ms / 1000', 1, after=' s')} AS p95_latency FROM ({_REPORT})""",
+)
+def scoreboard_headline(spark, sf_dir):
+    return scoreboard.headline(run_report(spark, sf_dir))
+
+
+@query(
+    "scoreboard_secondary",
+    f"""SELECT config, {", ".join(f"{_cell(f'{c} * 100', 1, '%')} AS {c}" for c in ("page_recall", "cited_page_hit", "abstention_accuracy"))}, {_cell('mrr', 2)} AS mrr,
+    CASE WHEN answered > 0 THEN manual_reviewed || ' of ' || answered ELSE '—' END AS reviewed FROM ({_REPORT})""",
+)
+def scoreboard_secondary(spark, sf_dir):
+    return scoreboard.secondary(run_report(spark, sf_dir))
+
+
+@query(
+    "scoreboard_serving",
+    f"""SELECT config, {_up('cost_per_query_usd', 4, before='$')} AS mean_cost, {", ".join(f"{_up(f'{c}_latency_ms / 1000', 1, after=' s')} AS {c}_latency" for c in ("p50", "p95", "max"))},
+    {_cell('generations_per_query', 2)} AS generations, {_cell('tool_calls_per_query', 2)} AS tool_calls, coalesce(fallbacks::VARCHAR, '—') AS fallbacks, CASE WHEN config <> 'de' THEN coalesce(reranks_skipped::VARCHAR, '—') ELSE '—' END AS reranks_skipped
+    FROM ({_REPORT}) WHERE config IN (SELECT lang FROM documents WHERE doc_id % 20 = 0 AND n_chars > 10)""",
+)
+def scoreboard_serving(spark, sf_dir):
+    configs = docs(spark, sf_dir).where("doc_id % 20 = 0").groupBy(F.col("lang").alias("config")).agg(F.bool_or(F.col("n_chars") > 10).alias("traced"))
+    return scoreboard.serving(run_report(spark, sf_dir), configs.withColumn("reranker", F.when(F.col("config") != "de", F.lit("rerank"))))
+
+
+@query(
+    "scoreboard_types",
+    f"""WITH {_ANSWERS}, typed AS (SELECT lang AS config, page_recall, CASE qid % 3 WHEN 0 THEN 'lookup' WHEN 1 THEN 'table' ELSE 'multi_section' END AS type FROM question_scores)
+    SELECT config, {", ".join(f"CASE WHEN count(page_recall) FILTER (type = '{t}') > 0 THEN {_cell(f"avg(page_recall) FILTER (type = '{t}') * 100", 1, '%')} || ' (' || count(page_recall) FILTER (type = '{t}') || ')' ELSE '—' END AS {t}" for t in scoreboard.TYPES)}
+    FROM typed GROUP BY config""",
+)
+def scoreboard_types(spark, sf_dir):
+    kind = F.when(F.col("qid") % 3 == 0, "lookup").when(F.col("qid") % 3 == 1, "table").otherwise("multi_section")
+    return scoreboard.by_type(scores(spark, sf_dir).select(F.col("lang").alias("config"), "page_recall", kind.alias("type")), "page_recall")
+
+
+_STEP_COLUMNS = ", ".join(f"{_up(f'max({k}_{p}) / 1000', 1, after=' s')} AS {k}_{p}" for k in ("retriever", "generation") for p in ("p50", "p95"))
+
+
+@query(
+    "scoreboard_steps",
+    f"""WITH {_CALLS}, t AS (SELECT trace_id, trace_id % 4 AS config, coalesce(sum(latency_ms) FILTER (kind = 'retrieval'), 0) AS retriever, coalesce(sum(latency_ms) FILTER (kind = 'generation'), 0) AS generation,
+      coalesce(sum(latency_ms) FILTER (kind = 'tool'), 0) AS tools, coalesce(sum(latency_ms), 0) AS whole_ms, bool_or(trace_id % 97 = 3) AS lost FROM calls GROUP BY trace_id),
+    u AS (SELECT config, kind, v FROM (SELECT config, unnest(['retriever', 'generation', 'tools', 'share']) AS kind, unnest([retriever, generation, tools, CASE WHEN whole_ms > 0 THEN generation / whole_ms END]) AS v FROM t) WHERE v IS NOT NULL),
+    o AS (SELECT config, kind, v, row_number() OVER (PARTITION BY config, kind ORDER BY v) AS r, count(*) OVER (PARTITION BY config, kind) AS n FROM u),
+    p AS (SELECT config, {", ".join(f"max(v) FILTER (kind = '{k}' AND r = greatest(1, (n * {q} + 99) // 100)) AS {k}_p{q}" for k in ("retriever", "generation", "tools", "share") for q in (50, 95))} FROM o GROUP BY config)
+    SELECT config::VARCHAR AS config, {_STEP_COLUMNS}, {", ".join(f"CASE WHEN config <> 1 THEN {_up(f'max(tools_{p}) / 1000', 1, after=' s')} ELSE '—' END AS tools_{p}" for p in ("p50", "p95"))}, {_cell('max(share_p50) * 100', 1, '%')} AS generation_share
+    FROM p WHERE config NOT IN (SELECT config FROM t WHERE lost) GROUP BY config""",
+)
+def scoreboard_steps(spark, sf_dir):
+    i = F.col("trace_id")
+    own = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("latency_ms"))), F.lit(0.0))
+    t = calls(spark, sf_dir).groupBy("trace_id").agg(own("retrieval").alias("retriever"), own("generation").alias("generation"), own("tool").alias("tools"), F.coalesce(F.sum("latency_ms"), F.lit(0.0)).alias("whole_ms"))
+    kept = lambda c: F.when(i % 97 != 3, F.col(c)).alias(c)
+    times = t.select((i % 4).cast("string").alias("config"), *map(kept, ("retriever", "generation", "tools", "whole_ms")))
+    configs = t.select((i % 4).cast("string").alias("config")).distinct().withColumn("tools", F.col("config") != "1")
+    return scoreboard.steps(times, configs)
+
+
+_IDS = "coalesce(array_to_string(list_sort(list(DISTINCT trace_id::VARCHAR) FILTER (trace_id IS NOT NULL)), ', '), '—')"
+
+
+@query(
+    "scoreboard_tools",
+    f"""WITH {_CALLS}, used AS (SELECT (trace_id % 4)::VARCHAR AS config, trace_id, (k % 3)::VARCHAR AS tool, k >= 90 AS failed FROM calls WHERE kind = 'tool' AND trace_id % 4 <> 2 AND trace_id % 9 <> 0),
+    offered(config, tool) AS (SELECT * FROM (VALUES ('0'), ('1'), ('3')) AS c(config), (VALUES ('0'), ('1'), ('spare')) AS t(tool)),
+    lines AS (SELECT coalesce(o.config, u.config) AS config, coalesce(o.tool, u.tool) AS tool, trace_id, failed FROM offered AS o FULL OUTER JOIN used AS u ON o.config = u.config AND o.tool = u.tool),
+    idle AS (SELECT DISTINCT (trace_id % 4)::VARCHAR AS config, trace_id FROM calls WHERE trace_id % 4 <> 2 AND trace_id NOT IN (SELECT trace_id FROM used))
+    SELECT config, tool, count(DISTINCT trace_id)::VARCHAR AS questions, {_IDS} AS which, count(trace_id)::VARCHAR AS calls, count(*) FILTER (failed)::VARCHAR AS errors FROM lines GROUP BY config, tool
+    UNION ALL SELECT c.config, '(neither tool)', count(DISTINCT trace_id)::VARCHAR, {_IDS}, '—', '—' FROM (SELECT DISTINCT config FROM offered) AS c LEFT JOIN idle USING (config) GROUP BY c.config""",
+)
+def scoreboard_tools(spark, sf_dir):
+    i = F.col("trace_id")
+    c = calls(spark, sf_dir).withColumn("config", (i % 4).cast("string"))
+    used = c.where((F.col("kind") == "tool") & (i % 9 != 0)).select("config", i.alias("qid"), (F.col("k") % 3).cast("string").alias("tool"), F.when(F.col("k") >= 90, "refused").alias("error"))
+    offered = spark.createDataFrame([(config, tool) for config in "013" for tool in ("0", "1", "spare")], "config string, tool string")
+    return scoreboard.tools(used, c.select("config", i.alias("qid")).distinct(), offered)
