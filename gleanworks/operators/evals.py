@@ -89,13 +89,6 @@ def nearest_rank(rows: DataFrame, by: str, value: str, percents: tuple[float, ..
     return values_at(rows, by, value, {f"p{p}": (p / 100, rank(p)) for p in percents}, sketches, slack)
 
 
-def median(rows: DataFrame, by: str, value: str, sketches: DataFrame | None = None) -> DataFrame:
-    """by, median: the middle value, or the mean of the two in the middle."""
-    n = F.col("n")
-    two = values_at(rows, by, value, {"lower": (0.5, F.floor((n + 1) / 2)), "upper": (0.5, F.floor(n / 2) + 1)}, sketches)
-    return two.select(by, ((F.col("lower") + F.col("upper")) / 2).alias("median"))
-
-
 def values_at(rows: DataFrame, by: str, value: str, spots: dict[str, tuple[float, Column]], sketches: DataFrame | None = None, slack: float = SLACK) -> DataFrame:
     """by and a column for each spot: the value at a rank, given as about what share of the rows it is and as an expression of ``n``.
 

@@ -81,12 +81,6 @@ def test_ranks_equal_sorting(spark):
     assert got == {g: tuple(brute_rank(vs, p) for p in (0, 50, 95, 100)) for g, vs in groups.items()}
 
 
-def test_medians(spark):
-    groups = {"even": [1.0, 2.0, 4.0, 9.0] * 50, "odd": [3.0, 1.0, 7.0], "one": [2.0], "equal": [5.0] * 6}
-    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, v double")
-    assert {r.g: r.median for r in evals.median(df, "g", "v").collect()} == {g: statistics.median(vs) for g, vs in groups.items()}
-
-
 def test_sketches_that_err_are_put_right(spark):
     """Bounds of no width miss most ranks; the counts tell, and those groups are counted as a whole."""
     draw = random.Random(8)
