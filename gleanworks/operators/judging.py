@@ -263,9 +263,28 @@ def fault(text: Column) -> Column:
     return F.struct(part(1).alias("target"), part(2).alias("fault"), (part(3) == ":once").alias("once"), (some | (own == "")).alias("valid"))
 
 
-def error_class(code: Column) -> Column:
-    """timeout, unavailable or request: only the first two are worth another model."""
-    return F.when(code.isin(*TIMEOUT_CODES), "timeout").when(code.isin(*UNAVAILABLE_CODES), "unavailable").otherwise("request")
+#: Failures of a call before any reply, by the name of what is raised.
+TIMEOUT_ERRORS = ("ReadTimeoutError", "ConnectTimeoutError", "TimeoutError")
+UNAVAILABLE_ERRORS = (
+    "HTTPClientError", "ConnectionError", "ConnectionClosedError", "EndpointConnectionError", "ProxyConnectionError", "SSLError", "ResponseStreamingError",
+    "ConnectionResetError", "ConnectionRefusedError", "ConnectionAbortedError", "BrokenPipeError",
+)
+
+
+def error_class(code: Column, raised: Column | None = None) -> Column:
+    """timeout, unavailable or request: only the first two are worth another model.
+
+    ``raised`` names what was raised where there was no reply with a code: it is looked at first.
+    """
+    by_code = F.when(code.isin(*TIMEOUT_CODES), "timeout").when(code.isin(*UNAVAILABLE_CODES), "unavailable").otherwise("request")
+    if raised is None:
+        return by_code
+    return F.when(raised.isin(*TIMEOUT_ERRORS), "timeout").when(raised.isin(*UNAVAILABLE_ERRORS), "unavailable").otherwise(by_code)
+
+
+def raised_name(error: Column) -> Column:
+    """What was raised, of an error as ``call_model`` records it; null for another text."""
+    return F.nullif(F.regexp_extract(error, r"^([A-Za-z_][A-Za-z0-9_.]*): ", 1), F.lit(""))
 
 
 def response_problems(results: DataFrame, asked: DataFrame) -> DataFrame:

@@ -96,6 +96,26 @@ def content_lines(spark, sf_dir):
     return chunking.content_lines(docs(spark, sf_dir))
 
 
+_PAGES = f"""
+paged AS (SELECT doc_id, (i // 8 + 1)::INT AS page, (i % 8)::INT AS line_no, {_collapse('raw')} AS line, (raw LIKE '% ' OR {_collapse('raw')} LIKE '%-') AS continues FROM (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents WHERE text IS NOT NULL) WHERE {_collapse('raw')} <> ''),
+opening AS (SELECT doc_id, line, count(DISTINCT page)::BIGINT AS n_pages FROM paged WHERE line_no < 3 GROUP BY doc_id, line HAVING count(DISTINCT page) >= 3)"""
+
+
+@query("page_furniture", f"WITH {_PAGES} SELECT * FROM opening")
+def page_furniture(spark, sf_dir):
+    return chunking.page_furniture(chunking.pages_of_text(docs(spark, sf_dir), 8))
+
+
+@query(
+    "page_content",
+    f"""WITH {_PAGES} SELECT doc_id, page, line_no, line, continues FROM paged AS p WHERE NOT (line_no < 3 AND line IN (page::VARCHAR, page::VARCHAR || page::VARCHAR))
+    AND NOT EXISTS (SELECT 1 FROM opening AS o WHERE o.doc_id = p.doc_id AND o.line = p.line)""",
+)
+def page_content(spark, sf_dir):
+    return chunking.page_content(chunking.pages_of_text(docs(spark, sf_dir), 8))
+
+
 _AMOUNT_ROW = r"""(len(list_filter(string_split(line, ' '), lambda w: regexp_matches(w, '^(\$[0-9,]+(\.[0-9]+)?|[0-9]+(\.[0-9]+)?%\**)$'))) >= 2
   AND 2 * len(list_filter(string_split(line, ' '), lambda w: regexp_matches(w, '^(\$[0-9,]+(\.[0-9]+)?|[0-9]+(\.[0-9]+)?%\**)$'))) >= len(string_split(line, ' ')))"""
 

@@ -25,10 +25,18 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
     chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("document_id", "chunk_set").parquet(path)
 
 
-def upsert(current: DataFrame, changes: DataFrame, key: str, fixed: tuple[str, ...] = ()) -> DataFrame:
-    """Rows of ``current`` with those of ``changes`` in their place; columns ``fixed`` keep the old value."""
+def upsert(current: DataFrame, changes: DataFrame, key: str, fixed: tuple[str, ...] = (), order: list[str] | None = None) -> DataFrame:
+    """Rows of ``current`` with those of ``changes`` in their place; columns ``fixed`` keep the old value.
+
+    Of several changes of one key the last in ``order`` counts (by default in all of its columns), as if
+    they were made one after the other; its fixed columns keep the value of the first.
+    """
+    by = order or [c for c in changes.columns if c != key]
+    named = F.struct(*[c for c in changes.columns if c != key])
+    once = changes.groupBy(key).agg(F.max_by(named, F.struct(*by)).alias("last"), F.min_by(named, F.struct(*by)).alias("first"))
+    last = once.select(key, *[F.col(f"{'first' if c in fixed else 'last'}.{c}").alias(c) for c in changes.columns if c != key])
     old = current.select(key, *[F.col(c).alias(f"__{c}") for c in fixed])
-    new = changes.join(old, key, "left").withColumns({c: F.coalesce(f"__{c}", c) for c in fixed}).select(current.columns)
+    new = last.join(old, key, "left").withColumns({c: F.coalesce(f"__{c}", c) for c in fixed}).select(current.columns)
     return current.join(changes.select(key), key, "left_anti").select(current.columns).unionByName(new)
 
 

@@ -103,3 +103,10 @@ def test_corpus_tables_are_made_and_rewritten(spark, tmp_path):
     assert {r.tableName for r in spark.sql("SHOW TABLES IN corpus_test").collect()} == {"documents", "pages", "chunks"}
     store.create_tables(spark, "corpus_test")
     assert spark.table("corpus_test.chunks").columns[-2:] == ["document_id", "chunk_set"]
+
+
+def test_failures_without_a_reply_have_a_class(spark):
+    rows = [("ReadTimeoutError: no bytes", None), ("ConnectionClosedError: gone", None), ("ClientError: x", "ThrottlingException"), ("ClientError: x", "ValidationException"), ("TimeoutError: t", "ValidationException"), ("no name here", None), (None, "ModelTimeoutException")]
+    df = spark.createDataFrame(rows, "error string, code string")
+    got = [r[0] for r in df.select(judging.error_class(df.code, judging.raised_name(df.error))).collect()]
+    assert got == ["timeout", "unavailable", "unavailable", "request", "timeout", "request", "timeout"]

@@ -9,6 +9,8 @@ def test_upsert_and_replace(spark):
     old = spark.createDataFrame([(1, "a", 1), (2, "b", 2)], "id long, name string, first int")
     new = spark.createDataFrame([(2, "B", 9), (3, "c", 9)], "id long, name string, first int")
     assert sorted(tuple(r) for r in store.upsert(old, new, "id", fixed=("first",)).collect()) == [(1, "a", 1), (2, "B", 2), (3, "c", 9)]
+    twice = spark.createDataFrame([(2, "B", 9, 1), (2, "C", 8, 2), (3, "c", 4, 2), (3, "b", 9, 1)], "id long, name string, first int, at int")
+    assert sorted(tuple(r) for r in store.upsert(old, twice, "id", ("first",), ["at"]).collect()) == [(1, "a", 1), (2, "C", 2), (3, "c", 9)]
     chunks = spark.createDataFrame([(1, "x", 0), (1, "x", 1), (1, "y", 0)], "id long, chunk_set string, ordinal int")
     again = spark.createDataFrame([(1, "x", 7)], "id long, chunk_set string, ordinal int")
     assert sorted(tuple(r) for r in store.replace_set(chunks, again, ["id", "chunk_set"]).collect()) == [(1, "x", 7), (1, "y", 0)]
