@@ -17,10 +17,17 @@ from gleanworks.session import ship_package
 BLOCK_BYTES = 1 << 20
 
 
+#: Rows of the batches that Spark sends to workers, where the session leaves that at Spark's own default: both
+#: sides hold whole batches, and functions work on slices of them anyway.
+BATCH_ROWS, DEFAULT_ROWS = 2048, "10000"
+
+
 def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType, rows: int = 512) -> DataFrame:
     """``mapInArrow`` over single batches, slices of at most ``rows`` rows at a time."""
 
     ship_package(df.sparkSession)
+    if df.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == DEFAULT_ROWS:
+        df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
