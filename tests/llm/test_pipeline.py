@@ -102,3 +102,12 @@ def test_query_runs_over_its_whole_table(spark, name):
     assert {r[0] for r in rows.select(key).collect()} == {r[0] for r in table.select(key).collect()}
     if name == "op1_language_id":
         assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows.collect())
+
+
+def test_of_rows_with_one_id_and_text_the_first_in_order_stays(spark):
+    text = "the lake lies behind the old house on the hill near the river"
+    rows = [(1, text, "en", "b", 5), (1, text, "en", "a", 9), (1, text, None, "z", 1), (1, "quite another text of the same id that tells of ships and grain", "en", "c", 2), (2, text + " and on", "de", "a", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    made = corpus_pipeline.distinct_texts(spark, docs, "")
+    assert made.columns == docs.columns
+    assert sorted((r.doc_id, r.source) for r in made.collect()) == [(1, "c"), (1, "z")]
