@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleanworks.operators.judging import in_order as in_priority
+from gleanworks.session import staged
 
 GOLDEN = (
     "id string, question string, expected_answer string, expected_pages array<bigint>, category string, difficulty string, type string,"
@@ -30,16 +33,27 @@ RUN = (
 )
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line (from 1, within the file, blank ones counted), value: the lines of text files, which are split.
+
+    A split's lines are told apart by where it starts; the lines of the splits before it are counted, not read into one task.
+    """
+    read = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"), "value")
+    lines = staged(read, "lines")
+    splits = lines.groupBy("file", "start").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)  # a row for each split
+    counted = splits.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    return lines.join(counted, ["file", "start"]).select("file", (F.col("before") + F.col("id") - F.col("first") + 1).alias("line"), "value")
+
+
 def read_golden(spark: SparkSession, path: str) -> DataFrame:
     """Golden questions of JSON-lines files, with file, line (from 1), and ``problem``: what a line lacks or has too much.
 
-    Object keys of ``alt_pages`` are texts in JSON and numbers here. Lines are numbered within
-    their file, blank ones counted: a golden set is written by hand, and a file is one task's.
+    Object keys of ``alt_pages`` are texts in JSON and numbers here. Large files are split, and lines keep their numbers.
     """
     schema = T._parse_datatype_string(GOLDEN).add("_corrupt", T.StringType())
     known = [f.name for f in schema.fields[:-1]]
-    read = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("at", "value"))
-    lines = read.where(F.trim("value") != "").select("file", (F.col("at") + 1).alias("line"), "value")
+    lines = numbered_lines(spark, path).where(F.trim("value") != "")
     parsed = lines.withColumn("item", F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})).withColumn("keys", F.coalesce(F.json_object_keys("value"), F.array().cast("array<string>")))
     item = parsed.select("file", "line", "keys", "item.*")
     listed = lambda text, names: F.when(F.size(names) > 0, F.concat(F.lit(text), F.array_join(F.array_sort(names), ", ")))
@@ -61,15 +75,34 @@ def in_order(runs: DataFrame) -> DataFrame:
     return runs.orderBy("created_at", "run_id")
 
 
-def write_run(run: DataFrame, path: str) -> None:
-    """One run as one JSON file; Spark's committer renames the finished one.
+def write_run(run: DataFrame, path: str) -> bool:
+    """One run as one JSON file; false where the file that is there says the same, which is then left alone.
 
-    A run is a row, its questions nested in it, so one task writes no more than that; more
-    rows than one are refused.
+    The file is written beside ``path`` and takes its name when it is whole, so a failed write leaves
+    the old one. A run is a row, its questions nested in it, so one task writes no more than that;
+    more rows than one, or none, are refused.
     """
-    if run.limit(2).count() > 1:
+    if run.limit(2).count() != 1:
         raise ValueError("a file holds one run")
-    run.coalesce(1).write.mode("overwrite").json(path)
+    spark = run.sparkSession
+    beside = f"{path}.{uuid.uuid4().hex}.tmp"
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    folder, target = hadoop.Path(beside), hadoop.Path(path)
+    files = folder.getFileSystem(conf)
+    try:
+        run.coalesce(1).write.json(beside)
+        made = [f.getPath() for f in files.globStatus(hadoop.Path(f"{beside}/part-*"))]
+        text = lambda p: spark.read.text(p, wholetext=True).first()  # noqa: E731 - one run
+        if files.exists(target) and files.getFileStatus(target).isFile() and text(path) == text(made[0].toString()):
+            return False
+        how = getattr(hadoop, "Options$Rename")
+        over = spark.sparkContext._gateway.new_array(how, 1)
+        over[0] = how.OVERWRITE
+        context = hadoop.FileContext.getFileContext(files.getUri(), conf)
+        context.rename(files.makeQualified(made[0]), files.makeQualified(target), over)
+        return True
+    finally:
+        files.delete(folder, True)
 
 
 def question_rows(runs: DataFrame) -> DataFrame:

@@ -46,6 +46,40 @@ def test_runs_are_written_one_to_a_file_and_read_in_order(spark, tmp_path):
         runs.write_run(read, out)
 
 
+def test_large_files_are_split_and_lines_keep_their_numbers(spark, tmp_path):
+    item = {"id": "q001", "question": "?", "expected_pages": [3], "category": "costs", "difficulty": "easy", "type": "lookup"}
+    wanted = {}
+    for name, n in (("a.jsonl", 90), ("b.jsonl", 7)):
+        lines = ["" if k % 4 == 3 else json.dumps(item | {"question": "é" * (k % 9), "id": f"q{k:03}"}) for k in range(1, n + 1)]
+        (tmp_path / name).write_text("\n".join(lines) + ("\n" if n == 90 else ""))
+        wanted |= {(name, k): f"q{k:03}" for k in range(1, n + 1) if k % 4 != 3}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 8
+        rows = runs.read_golden(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {(r.file.rsplit("/", 1)[1], r.line): r.id for r in rows} == wanted and len(rows) == len(wanted)
+    assert all(r.problem is None for r in rows)
+
+
+def test_a_failed_write_leaves_the_old_run(spark, tmp_path):
+    path = tmp_path / "run.json"
+    run = spark.createDataFrame([("r1", 1)], "run_id string, n int")
+    assert runs.write_run(run, str(path)) and path.is_file()
+    old, at = path.read_text(), path.stat().st_mtime_ns
+    assert not runs.write_run(run, str(path)) and path.stat().st_mtime_ns == at
+    broken = run.selectExpr("run_id", "cast(raise_error('no') as int) as n")
+    with pytest.raises(Exception, match="no"):
+        runs.write_run(broken, str(path))
+    assert path.read_text() == old
+    assert runs.write_run(run.selectExpr("run_id", "n + 1 as n"), str(path)) and json.loads(path.read_text()) == {"run_id": "r1", "n": 2}
+    with pytest.raises(ValueError, match="one run"):
+        runs.write_run(run.where("false"), str(path))
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["run.json"]
+
+
 def test_scoreboard(spark):
     report = spark.createDataFrame([("b", 0.5), ("z", None), ("a", 1.0)], "config string, page_hit double")
     text = runs.scoreboard(report, ("z",), {"Times": report.where("config = 'a'"), "Nothing": report.where("false")})
