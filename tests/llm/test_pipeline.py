@@ -95,7 +95,7 @@ def test_every_stage_equals_brute_force(spark, tmp_path):
 @there
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_query_runs_over_its_whole_table(spark, name):
-    kind = {"op3_vector_join": "embeddings", "op5_html": "pages"}.get(name, "documents")
+    kind = {"op3_vector_join": "embeddings", "op11_centroids": "embeddings", "op5_html": "pages"}.get(name, "documents")
     table = spark.read.parquet(f"{SF}/{kind}.parquet")
     rows = queries.QUERIES[name](spark, SF)
     key = {"embeddings": "vec_id", "pages": "page_id"}.get(kind, "doc_id")
