@@ -6,12 +6,15 @@ that repeats what came before becomes a repeated group, and a part that one stre
 becomes an optional one; neither needs alternatives, so the wrapper stays free of unions.
 The wrapper of some pages of a host is aligned with one page after another and grows more
 general. Pages that a host's wrapper does not match are aligned with it in rounds, until it
-matches all of them or the rounds are over.
+matches all of them. Where a host's pages differ so much that some are left after the rounds, those
+are dealt into parts; every part widens a copy of the host's wrapper until it matches all of its
+pages. So each page that was learned from is matched by a wrapper of its host.
 
 Every text of a wrapper (a slot, or a text that never changes) is given a role by where it
 stands in the wrapper, and whether it varies over the host's pages. A page is matched against its
-host's wrapper, and its texts take the roles of the wrapper's texts. A page that the wrapper does
-not match is its own wrapper. Elements such as ``nav`` are furniture and ``article`` and ``main`` are
+host's wrapper, which tells what of its texts varies; their roles are those on the page's own way
+through the wrapper, since an optional part that the page lacks may open an element that another
+one closes. A page that was not learned from and that the wrapper does not match is its own wrapper. Elements such as ``nav`` are furniture and ``article`` and ``main`` are
 main regions by themselves. Names in ``class``, ``id`` and ``role`` are hints only: where a page has no
 main region outside elements with furniture names, its texts decide which of those names to
 believe. An element whose name speaks of furniture but which holds the page's only ``article``, or most
@@ -472,7 +475,8 @@ def generalize(wrapper: list[tuple], stream: list[tuple], depth: int = 0) -> lis
             out.append(part[0] if len(part) == 1 and part[0][0] in ("maybe", "slot") else ("maybe", tuple(part)))
         if skip_s:
             part = stream[at : at + skip_s]
-            out.append(SLOT if all(x[0] == "text" for x in part) else ("maybe", tuple(SLOT if x[0] == "text" else x for x in part)))
+            slots = [SLOT if x[0] == "text" else x for x in part]
+            out.extend(slots if all(x is SLOT for x in slots) else [("maybe", tuple(slots))])
         i, at = i + skip_w, at + skip_s
     return out
 
@@ -687,8 +691,8 @@ def menus(items: list[tuple[str, str]], texts: list[str]) -> set[int]:
 def main_text(page: str, steps: list[tuple] | None = None, constants: frozenset[int] = frozenset()) -> str:
     """The main text of a page: its blocks in order, joined by one space.
 
-    Roles come from the wrapper (``steps``, compiled), or from the page itself where that is missing or
-    does not match. With a main region, its texts are taken. Otherwise names of furniture are
+    What varies comes from the wrapper (``steps``, compiled), or is everything where that is missing or
+    does not match; roles are those of the page's way through it. With a main region, its texts are taken. Otherwise names of furniture are
     weighed (``disbelieved``), texts that vary over the host's pages counting 100 times those that do
     not; then a main region is taken if there is one, or the elements with names of main text where
     they hold at least half of what is left, or what is left without ``constants`` and ``menus``;
@@ -705,7 +709,8 @@ def main_text(page: str, steps: list[tuple] | None = None, constants: frozenset[
     real = [k for k, t in enumerate(texts) if t and not t.isspace()]
     found = follow(steps, stream_of(items, texts)) if steps else None
     if found is None or len(found) != len(real):
-        found = [own[k][0] | VARIES for k in real]
+        found = [VARIES] * len(real)
+    found = [own[k][0] | (role & VARIES) for k, role in zip(real, found, strict=True)]
     roles = [role for role, _ in own]
     for k, role in zip(real, found, strict=True):
         roles[k] = role
@@ -752,10 +757,14 @@ def main_text(page: str, steps: list[tuple] | None = None, constants: frozenset[
 
 @dataclass(frozen=True)
 class Settings:
-    """``pages`` of each host that its wrapper does not match yet, different ones, are aligned in a round."""
+    """``pages`` of each host that its wrapper does not match yet, different ones, are aligned in a round.
+
+    What ``rounds`` leave unmatched is dealt into parts of about ``part_pages``, all of which are aligned.
+    """
 
     pages: int = 6
     rounds: int = 12
+    part_pages: int = 64
     #: Bytes of all wrappers up to which they are broadcast; beyond, they are joined.
     broadcast_bytes: int = 32 << 20
 
@@ -765,6 +774,11 @@ def _hosted(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), host.alias("host"))
 
 
+def _number_of(stream: list[tuple]) -> int:
+    """A hash of a stream."""
+    return xxh3_64_intdigest(json.dumps(stream)) & 0x7FFFFFFFFFFFFFFF
+
+
 def read_streams(pages: DataFrame) -> DataFrame:
     """A row per host and different stream of its pages: host, stream (a hash), tags, texts and candidate keys."""
     hosted = _hosted(pages).where("page_id is not null").select("host", "html")
@@ -774,8 +788,7 @@ def read_streams(pages: DataFrame) -> DataFrame:
         made = [stream_of(*r) for r in read]
         kinds = [[t[1] if t[0] == "tag" else "" for t in s] for s in made]
         hashes = [[t[1] for t in s if t[0] == "text"] for s in made]
-        streams = [xxh3_64_intdigest(json.dumps(s)) & 0x7FFFFFFFFFFFFFFF for s in made]
-        columns = [batch.column(0), pa.array(streams, pa.int64()), pa.array(kinds, pa.list_(pa.string())), pa.array(hashes, pa.list_(pa.int64())), pa.array([candidate_keys(*r) for r in read], pa.list_(pa.int64()))]
+        columns = [batch.column(0), pa.array(map(_number_of, made), pa.int64()), pa.array(kinds, pa.list_(pa.string())), pa.array(hashes, pa.list_(pa.int64())), pa.array([candidate_keys(*r) for r in read], pa.list_(pa.int64()))]
         return pa.RecordBatch.from_arrays(columns, ["host", "stream", "tags", "texts", "keys"])
 
     read = map_batches(hosted, run, "host string, stream bigint, tags array<string>, texts array<bigint>, keys array<bigint>")
@@ -801,58 +814,76 @@ def _unmarked(roles: list) -> list[tuple]:
 
 
 def _aligned(sample: DataFrame) -> DataFrame:
-    """The wrappers of the hosts of (host, stream, tags, texts, pages, roles) rows, made to match these streams as well."""
+    """The wrappers of (host, part, stream, tags, texts, pages, roles) rows, made to match these streams as well.
+
+    A row without stream only brings the wrapper to go on from.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made():
-            row = {"host": name, "pages": pages, "wrapper": regex_of(wrapper), "roles": json.dumps(with_roles(wrapper))}
-            return pa.RecordBatch.from_pylist([row], schema=pa.schema([("host", pa.string()), ("pages", pa.int32()), ("wrapper", pa.string()), ("roles", pa.string())]))
+            row = {"host": key[0], "part": key[1], "pages": pages, "wrapper": regex_of(wrapper), "roles": json.dumps(with_roles(wrapper))}
+            return pa.RecordBatch.from_pylist([row], schema=pa.schema([("host", pa.string()), ("part", pa.int64()), ("pages", pa.int32()), ("wrapper", pa.string()), ("roles", pa.string())]))
 
-        name, wrapper, pages = None, [], 0
+        key, wrapper, steps, pages = None, [], None, 0
         for batch in batches:
-            for host, _, tags, texts, before, roles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                stream = _items(tags, texts)
-                if host != name:
-                    if name is not None:
+            for host, part, number, tags, texts, before, roles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (host, part) != key:
+                    if key is not None:
                         yield made()
-                    name, wrapper, pages = host, _unmarked(json.loads(roles)) if roles else stream, before or 0
-                wrapper, pages = generalize(wrapper, stream), pages + 1
-        if name is not None:
+                    key, pages = (host, part), before or 0
+                    wrapper = _unmarked(json.loads(roles)) if roles else _items(tags, texts)
+                    steps = compiled(with_roles(wrapper))
+                if number is None:
+                    continue
+                stream, pages = _items(tags, texts), pages + 1
+                if follow(steps, stream) is None:  # else an earlier one of this sample has made the wrapper match it
+                    wrapper = generalize(wrapper, stream)
+                    steps = compiled(with_roles(wrapper))
+        if key is not None:
             yield made()
 
-    return sample.repartition("host").sortWithinPartitions("host", "stream").mapInArrow(run, "host string, pages int, wrapper string, roles string")
+    placed = sample.select("host", "part", "stream", "tags", "texts", "pages", "roles")
+    return placed.repartition("host", "part").sortWithinPartitions("host", "part", F.col("stream").asc_nulls_first()).mapInArrow(run, "host string, part bigint, pages int, wrapper string, roles string")
 
 
 def _maybe_broadcast(wrappers: DataFrame, settings: Settings) -> DataFrame:
-    size = wrappers.agg(F.sum(F.length("host") + sum(F.length(F.coalesce(c, F.lit(""))) for c in wrappers.columns if c != "host"))).first()[0] or 0
+    size = wrappers.agg(F.sum(F.length("host") + sum(F.length(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in wrappers.columns if c != "host"))).first()[0] or 0
     return F.broadcast(wrappers) if size <= settings.broadcast_bytes else wrappers
 
 
 def learn_wrappers(streams: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """A row per host: host, streams aligned, the wrapper as text and with its roles (as JSON).
+    """A row per host with part 0, and one for each of its further ``parts``, mostly none.
 
-    Every stream of every host is matched in every round; of those that do not match, some of
-    each host are aligned with its wrapper, until all match or ``rounds`` are over.
+    Columns: host, part, parts, streams aligned, the wrapper as text and with its roles (as JSON). Every
+    stream of every host is matched in every round; of those that do not match, some of each host
+    are aligned with its wrapper, until all match. A stream still left after ``rounds`` belongs to the
+    part ``1 + stream % parts`` of its host, whose wrapper is made to match all of these.
     """
 
     def unmatched(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)
         return batch.select([0, 1, 2, 3]).filter(pa.array([follow(_steps(roles), _items(tags, texts)) is None for tags, texts, roles in rows], pa.bool_()))
 
+    none = {"pages": F.lit(None).cast("int"), "roles": F.lit(None).cast("string")}
     left, wrappers = streams.select("host", "stream", "tags", "texts"), None
     order = Window.partitionBy("host").orderBy("stream")
     for _ in range(settings.rounds):
-        sample = left.withColumn("k", F.row_number().over(order)).where(F.col("k") <= settings.pages).drop("k")
+        sample = left.withColumn("k", F.row_number().over(order)).where(F.col("k") <= settings.pages).drop("k").withColumn("part", F.lit(0).cast("long"))
         if wrappers is None:
-            wrappers = staged(_aligned(sample.withColumns({"pages": F.lit(None).cast("int"), "roles": F.lit(None).cast("string")})), "wrappers")
+            wrappers = staged(_aligned(sample.withColumns(none)), "wrappers")
         else:
             wider = staged(_aligned(sample.join(wrappers.select("host", "pages", "roles"), "host")), "wrappers")
             wrappers = staged(wrappers.join(wider, "host", "left_anti").unionByName(wider), "wrappers")
         tried = left.join(_maybe_broadcast(wrappers.select("host", "roles"), settings), "host").select("host", "stream", "tags", "texts", "roles")
         left = staged(map_batches(tried, unmatched, "host string, stream bigint, tags array<string>, texts array<bigint>"), "unmatched")
         if left.isEmpty():
-            break
-    return wrappers
+            return wrappers.withColumn("parts", F.lit(0).cast("long"))
+    parts = left.groupBy("host").agg(F.ceil(F.count("*") / settings.part_pages).cast("long").alias("parts"))
+    own = staged(wrappers.join(parts, "host", "left").fillna(0, ["parts"]), "wrappers")
+    dealt = left.join(parts, "host").withColumns({"part": F.col("stream") % F.col("parts") + 1, **none}).drop("parts")
+    begun = own.where("parts > 0").select("host", F.explode(F.sequence(F.lit(1).cast("long"), "parts")).alias("part"), "pages", "roles")
+    further = staged(_aligned(dealt.unionByName(begun, allowMissingColumns=True)), "wrappers")
+    return own.unionByName(further.join(parts, "host"))
 
 
 @lru_cache(maxsize=256)
@@ -865,6 +896,19 @@ def _constants(keys: str) -> frozenset[int]:
     return frozenset(json.loads(keys))
 
 
+def _place(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Pages with the part of their host whose wrapper they are matched against: 0 where the host's own matches."""
+    parts = []
+    for page, roles, of in zip(*(batch.column(i).to_pylist() for i in (2, 4, 5)), strict=True):
+        stream = stream_of(*read_page(page))
+        parts.append(1 + _number_of(stream) % of if follow(_steps(roles), stream) is None else 0)
+    return pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(parts, pa.int64())], ["page_id", "url", "html", "host", "part"])
+
+
+def _with_wrappers(hosted: DataFrame, wrappers: DataFrame, keys: list[str], settings: Settings) -> DataFrame:
+    return hosted.join(_maybe_broadcast(wrappers, settings), keys, "left").select("page_id", "url", "host", "html", "roles", "constants")
+
+
 def extract_pages(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """page_id, url, host, text and n_chars of every page, from its whole html.
 
@@ -874,8 +918,15 @@ def extract_pages(pages: DataFrame, settings: Settings = Settings()) -> DataFram
     """
     hosted = _hosted(pages)
     streams = read_streams(pages)
-    wrappers = staged(learn_wrappers(streams, settings).join(host_constants(streams), "host", "left").select("host", "roles", "constants"), "wrappers")
-    joined = hosted.join(_maybe_broadcast(wrappers, settings), "host", "left").select("page_id", "url", "host", "html", "roles", "constants")
+    wrappers = staged(learn_wrappers(streams, settings).join(host_constants(streams), "host", "left").select("host", "part", "parts", "roles", "constants"), "wrappers")
+    own = wrappers.where("part = 0").select("host", "roles", "constants")
+    if wrappers.where("parts > 0").isEmpty():
+        joined = _with_wrappers(hosted, own, ["host"], settings)
+    else:
+        parted = wrappers.where("part = 0 and parts > 0").select("host", "roles", "parts")
+        placed = map_batches(hosted.join(_maybe_broadcast(parted, settings), "host").select(*hosted.columns, "roles", "parts"), _place, "page_id bigint, url string, html string, host string, part bigint")
+        among = wrappers.where("parts > 0").drop("parts")
+        joined = _with_wrappers(hosted.join(parted.select("host"), "host", "left_anti"), own, ["host"], settings).unionByName(_with_wrappers(placed, among, ["host", "part"], settings))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [main_text(p, _steps(w) if w else None, _constants(c) if c else frozenset()) for p, w, c in zip(*(batch.column(i).to_pylist() for i in (3, 4, 5)), strict=True)]

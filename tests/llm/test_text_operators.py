@@ -421,6 +421,43 @@ def test_rounds_match_every_page(spark):
     assert all(wrappers.roles_of(wrapper, wrappers.stream_of(*wrappers.read_page(r[2]))) is not None for r in rows)
 
 
+def test_pages_left_after_the_rounds_are_matched_too(spark):
+    """More kinds of pages than the rounds align: only a wrapper tells that the long part, which one page lacks, never changes, so that the story is no menu."""
+    said = " ".join(["These terms are the same on every page."] * 20)
+    terms = f"<section>{said}</section>"
+    kinds = ["<ul><li>x</li></ul>", "<table><tr><td>y</td></tr></table>", "<h2>z</h2>", "<pre>c</pre>", "<blockquote>q</blockquote>"]
+    rows = [(i, "http://h.example/", f'<body>{terms if i else ""}<div class="main-menu"><p>Story {i}, told at length.</p>{"".join(k for b, k in enumerate(kinds) if i >> b & 1)}</div></body>') for i in range(32)]
+    rows += [(100 + i, "http://few.example/", PAGE.format(i, "")) for i in range(5)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    settings = wrappers.Settings(pages=2, rounds=2, part_pages=4)
+    streams = wrappers.read_streams(pages)
+    learned = {(r.host, r.part): r for r in wrappers.learn_wrappers(streams, settings).collect()}
+    parts = learned["h.example", 0].parts
+    assert parts > 1 and set(learned) == {("few.example", 0), *(("h.example", k) for k in range(parts + 1))}
+    for r in streams.where("host = 'h.example'").collect():
+        part = json.loads(learned["h.example", 1 + r.stream % parts].roles)
+        assert wrappers.roles_of(part, wrappers._items(r.tags, r.texts)) is not None
+    got = {r.page_id: r.text for r in wrappers.extract_pages(pages, settings).collect()}
+    assert got == {i: " ".join([*[said] * (i > 0), f"Story {i}, told at length.", *[x for b, x in enumerate("xyzcq") if i >> b & 1]]) for i in range(32)} | {100 + i: f"Title {i} One & {i} Two" for i in range(5)}
+    joined = wrappers.extract_pages(pages, wrappers.Settings(pages=2, rounds=2, part_pages=4, broadcast_bytes=0)).collect()
+    assert {r.page_id: r.text for r in joined} == got and len(joined) == len(rows)
+
+
+def test_optional_parts_that_open_elements_hide_no_text():
+    """The second part is left out here, so the element that it opens holds nothing of this page."""
+    streams = [wrappers.stream_of(*wrappers.read_page(f"<body>{x}<p>{k}</p></div></body>")) for k, x in enumerate(("<div>", '<div class="menu">'))]
+    steps = wrappers.compiled(wrappers.with_roles(wrappers.infer_wrapper(streams)))
+    page = "<body><div><p>0</p></div></body>"
+    assert wrappers.follow(steps, wrappers.stream_of(*wrappers.read_page(page))) is not None
+    assert wrappers.main_text(page, steps) == "0"
+
+
+def test_a_wrapper_takes_texts_that_a_comment_parts():
+    streams = [wrappers.stream_of(*wrappers.read_page(f"<div><p>{x}</p></div>")) for x in ("", "a<!-- -->b", "a<!-- -->b<!-- -->c")]
+    wrapper = wrappers.with_roles(wrappers.infer_wrapper(streams))
+    assert all(wrappers.roles_of(wrapper, s) is not None for s in streams)
+
+
 # ------------------------------------------------------------------ op6
 
 
